@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, token_counts
+from . import bpe, langid, minhash, quality, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,10 +16,28 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_documents(spark, sf_dir))
+
+
+def op3_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_documents(spark, sf_dir), size=2, threshold=80)
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
     return counted.withColumn("over_limit", counted.n_tokens > 1024)
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op6_token_counts": op6_token_counts}
+QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
+    "op2_language_id": op2_language_id,
+    "op3_minmax_dedup": op3_minmax_dedup,
+    "op4_quality_rules": op4_quality_rules,
+    "op6_token_counts": op6_token_counts,
+}
 ORACLES: dict[str, str] = {}
