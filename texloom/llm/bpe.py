@@ -163,20 +163,31 @@ def coded_words(docs: DataFrame, path: str) -> DataFrame:
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and ids (array of int) of each row."""
+    """doc_id, n_tokens and ids (array of int) of each row."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
+
+    def batch(rows: list[tuple[int | None, list[int]]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([len(r[1]) for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: list[list[int]] = []
+        rows: list[tuple[int | None, list[int]]] = []
+        size = 0
         for doc_id, words, new in _assembled(batches, path):
             if words is not None:
-                ids = [x for w in words for x in known[w]]
-                yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([ids], pa.list_(pa.int32()))], ["doc_id", "ids"])
+                rows.append((doc_id, [x for w in words for x in known[w]]))
+                size += len(rows[-1][1])
+                if size > 500_000:
+                    yield batch(rows)
+                    rows, size = [], 0
             elif new is None:
                 known = []
             else:
                 known += new
+        if rows:
+            yield batch(rows)
 
-    return coded_words(docs, path).mapInArrow(run, "doc_id long, ids array<int>")
+    return coded_words(docs, path).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
 
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:

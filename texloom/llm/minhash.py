@@ -169,3 +169,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = THRESHOLD)
     out = rows.select("doc_id", "n_shingles", "k1", "k2").join(names, ["k1", "k2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(False)))
+
+
+def kept_rows(docs: DataFrame, size: int = 5, threshold: int = THRESHOLD) -> DataFrame:
+    """The rows of `docs`, with all their columns: of each group the row of the smallest doc_id, of repeated rows one.
+
+    Rows with a null doc_id take no part and stay."""
+    kept = near_duplicates(docs, size, threshold).filter("kept").select("doc_id").distinct()
+    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return one.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
