@@ -6,9 +6,9 @@ missed with probability (1 - 0.8^4)^32 < 5e-8.
 
 Documents of equal sets are one class from the start (they are never expanded into pairs). Within a bucket (documents that
 share a band) no pairs are enumerated: every member is confirmed against one pivot, the member that meets the most others.
-What that leaves open goes to the next round with another pivot. Jaccard distance is a metric, so a member already joined
-to the pivot is kept only if the triangle inequality lets it link with a member that is not; rounds go on until no bucket
-is open. So each link that shares a band is found, or its two ends are connected already.
+What that leaves open goes to the next round with twice as many pivots. Jaccard distance is a metric, so a member already
+joined to the first pivot goes on only if the triangle inequality lets it link with a member that is not; rounds go on
+until no bucket is open. So each link that shares a band is found, or its two ends are connected already.
 
 Results: a null or empty text, or one without words, has no shingle and links with nothing; a null doc_id takes no part
 (component_id null, kept false); equal rows are one class; extra columns are not read; an empty table gives no rows.
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import combine, joined, mix, per_document, slices, texts_of, words_of, written
@@ -117,41 +117,71 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return counted.select("x", "p", F.col("common").cast("long"), (F.col("nx") + F.col("np") - F.col("common")).cast("long").alias("total"))
 
 
-def links(classes: DataFrame, docs: DataFrame, size: int, threshold: int) -> DataFrame | None:
-    """Links (a, b) between classes that connect what is linked; None if no two classes share a band."""
+def grouped(classes: DataFrame, docs: DataFrame, size: int, threshold: int) -> DataFrame | None:
+    """node and component of the classes that have a link; None if no two classes share a band."""
     members = classes.select(F.col("node").alias("x"), F.explode("bands").alias("bucket"))
     crowded = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     members = written(members.join(crowded, "bucket"))
     # how many others a member meets over all bands: the centre of a group of copies meets the most
-    weight = members.groupBy("x").agg(F.sum("n").alias("weight"))
-    nodes = written(weight)
+    nodes = written(members.groupBy("x").agg(F.sum("n").alias("weight")))
     if nodes.isEmpty():
         return None
     wanted = docs.join(nodes.select(F.col("x").alias("doc_id")), "doc_id", "left_semi")
-    sets = written(full_sets(wanted, size).withColumnRenamed("doc_id", "node").groupBy("node").agg(F.first("shingles").alias("shingles")))
+    sets = full_sets(wanted, size).withColumnRenamed("doc_id", "node").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    sets = written(sets)
     open_ = members.select("bucket", "x").join(nodes, "x")
     near = 100 * F.col("common") >= threshold * F.col("total")
     distance = 1 - F.col("common") / F.col("total")
     reach = 1 - threshold / 100 + 1e-9
-    found, label = None, None
+    label: DataFrame | None = None
+    pivots = 1
     while True:
-        pivot = open_.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("x")).alias("low"))).alias("top")).select("bucket", (-F.col("top.low")).alias("p"))
-        probes = open_.join(pivot, "bucket").filter("x <> p")
-        judged = written(confirmed(probes.select("x", "p").distinct(), sets).select("x", "p", near.alias("near"), distance.alias("d")))
-        new = judged.filter("near").select(F.col("x").alias("a"), F.col("p").alias("b"))
-        found = new if found is None else found.union(new)
-        label = written(components(found))
-        tag = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-        state = probes.join(judged, ["x", "p"]).join(tag("x"), "x", "left").join(tag("p"), "p", "left")
-        state = state.withColumn("apart", F.coalesce("cx", "x") != F.coalesce("cp", "p"))
-        outside = state.groupBy("bucket").agg(F.min(F.when(F.col("apart"), F.col("d"))).alias("least"), F.count_if("apart").alias("n_apart"), F.count("*").alias("n"))
+        # the first pivot of each bucket, and in later rounds twice as many as before: few buckets are left by then
+        first = open_.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("x")).alias("low"))).alias("top"))
+        first = first.select("bucket", (-F.col("top.low")).alias("p"), F.lit(True).alias("main"))
+        chosen = first
+        if pivots > 1:
+            place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("weight"), "x"))
+            chosen = open_.select("bucket", F.col("x").alias("p"), place.alias("k")).filter(F.col("k") <= pivots).select("bucket", "p", (F.col("k") == 1).alias("main"))
+        probes = open_.join(chosen, "bucket").filter("x <> p").withColumn("a", F.least("x", "p")).withColumn("b", F.greatest("x", "p"))
+        pairs = probes.select(F.col("a").alias("x"), F.col("b").alias("p")).distinct()
+        judged = written(confirmed(pairs, sets).select(F.col("x").alias("a"), F.col("p").alias("b"), near.alias("near"), distance.alias("d")))
+        label = _joined(label, judged.filter("near").select("a", "b"))
+        state = probes.join(judged, ["a", "b"])
+        for c in ("x", "p"):
+            if label is None:
+                state = state.withColumn(f"c{c}", F.col(c))
+            else:
+                named = label.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+                state = state.join(named, c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", c))
+        # against the first pivot of its bucket; the other pivots are done with
+        state = state.filter("main").withColumn("apart", F.col("cx") != F.col("cp"))
+        if pivots > 1:
+            state = state.join(chosen.filter("not main").select("bucket", F.col("p").alias("x")), ["bucket", "x"], "left_anti")
+        outside = state.groupBy("bucket").agg(F.min(F.when(F.col("apart"), F.col("d"))).alias("least"), F.count("*").alias("n"))
         # joined members go on only where one that is apart may be within reach
-        left = state.join(outside.filter("n_apart > 0 and n > 1"), "bucket").filter(F.col("apart") | (F.col("d") >= F.col("least") - reach))
-        left = written(left.select("bucket", "x", "weight"))
-        again = left.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-        open_ = written(left.join(again, "bucket"))
-        if open_.isEmpty():
-            return found
+        left = state.join(outside.filter("least is not null and n > 1"), "bucket").filter(F.col("apart") | (F.col("d") >= F.col("least") - reach))
+        open_ = written(left.select("bucket", "x", "weight"))
+        if open_.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+            return label
+        pivots *= 2
+
+
+def _joined(label: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """The components after more links: only links between components are worked, as links of components."""
+    if label is None:
+        return None if links.isEmpty() else components(links)
+    for c in ("a", "b"):
+        links = links.join(label.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", c))
+    between = links.filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    if between.isEmpty():
+        return label
+    merged = components(between)
+    ends = merged.select("node", F.col("component").alias("to"))
+    moved = label.join(ends.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    # components of one node had no label yet
+    fresh = ends.join(label.select("node"), "node", "left_anti").select("node", F.col("to").alias("component"))
+    return written(moved.unionByName(fresh))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = THRESHOLD) -> DataFrame:
@@ -159,10 +189,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = THRESHOLD)
     rows = written(sketches(docs, size))
     keyed = rows.filter("doc_id is not null and k1 is not null")
     classes = written(keyed.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "bands")).alias("one")).select("k1", "k2", F.col("one.doc_id").alias("node"), "one.bands"))
-    found = links(classes, docs, size, threshold)
+    label = grouped(classes, docs, size, threshold)
     names = classes.select("k1", "k2", "node")
-    if found is not None:
-        names = names.join(components(found), "node", "left")
+    if label is not None:
+        names = names.join(label, "node", "left")
     else:
         names = names.withColumn("component", F.lit(None).cast("long"))
     names = names.select("k1", "k2", F.coalesce("component", "node").alias("component"))
