@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from texloom.functions.scalar import bits, shl, shr
 
-PIXELS = F.sequence(F.lit(0), F.lit(15))
+
+def pixels() -> Column:
+    return F.sequence(F.lit(0), F.lit(15))
 
 
 def byte(block: Column, i: int) -> Column:
@@ -51,11 +53,11 @@ def bc1(block: Column, at: int = 0, force_four: bool = False) -> Column:
     """16 pixels as structs r, g, b, a."""
     palette = F.array(*(F.struct(*(v.alias(n) for v, n in zip(c, "rgba", strict=True))) for c in bc1_palette(block, at, force_four)))
     index = word(block, at + 4, 4)
-    return F.transform(PIXELS, lambda p: F.get(palette, _index(index, p, 2).cast("int")))
+    return F.transform(pixels(), lambda p: F.get(palette, _index(index, p, 2).cast("int")))
 
 
 def bc2_alpha(block: Column) -> Column:
-    return F.transform(PIXELS, lambda p: _index(F.when(p < 8, word(block, 0, 4)).otherwise(word(block, 4, 4)), F.pmod(p, F.lit(8)), 4) * 17)
+    return F.transform(pixels(), lambda p: _index(F.when(p < 8, word(block, 0, 4)).otherwise(word(block, 4, 4)), F.pmod(p, F.lit(8)), 4) * 17)
 
 
 def bc4_palette(block: Column, at: int = 0) -> Column:
@@ -70,7 +72,7 @@ def bc4_palette(block: Column, at: int = 0) -> Column:
 def bc4(block: Column, at: int = 0, palette: Column | None = None) -> Column:
     palette = bc4_palette(block, at) if palette is None else palette
     index = word(block, at + 2, 6)
-    return F.transform(PIXELS, lambda p: F.get(palette, _index(index, p, 3).cast("int")))
+    return F.transform(pixels(), lambda p: F.get(palette, _index(index, p, 3).cast("int")))
 
 
 def bc4_snorm_palette(block: Column, at: int = 0) -> Column:
@@ -111,7 +113,7 @@ def bc7_mode6(block: Column) -> Column:
     ends = [(bit_range(block, 7 + 14 * c, 7) * 2 + p0, bit_range(block, 14 + 14 * c, 7) * 2 + p1) for c in range(4)]
     index = F.array(bit_range(block, 65, 3), *(bit_range(block, 68 + 4 * i, 4) for i in range(15)))
     at = lambda p, e: shr((64 - F.get(weights, F.get(index, p).cast("int"))) * e[0] + F.get(weights, F.get(index, p).cast("int")) * e[1] + 32, 6)
-    return F.transform(PIXELS, lambda p: F.struct(*(at(p, e).alias(n) for e, n in zip(ends, "rgba", strict=True))))
+    return F.transform(pixels(), lambda p: F.struct(*(at(p, e).alias(n) for e, n in zip(ends, "rgba", strict=True))))
 
 
 def nearest(value: Column, palette: Column) -> Column:

@@ -41,25 +41,32 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.xxhash64("path").alias("file_id"), "path", "length", "content")
 
 
-def u32(content: Column, offset: int) -> Column:
+def _swapped(digits: Column) -> Column:
+    """Eight hex digits in the other byte order (`reverse` on binary would work on characters)."""
+    return F.concat(*(digits.substr(i, 2) for i in (7, 5, 3, 1)))
+
+
+def u32(content: Column, offset: Column) -> Column:
     """The little-endian word at a byte offset; null beyond the end."""
-    part = F.substring(content, offset + 1, 4)
-    return F.when(F.length(part) == 4, F.conv(F.hex(F.reverse(part)), 16, 10).cast("long"))
+    part = content.substr(offset + 1, F.lit(4))
+    return F.when((offset >= 0) & (F.length(part) == 4), F.conv(_swapped(F.hex(part)), 16, 10).cast("long"))
 
 
 def raw_words(files: DataFrame, options: ParseOptions = ParseOptions()) -> DataFrame:
     """`files` with a column for each word of the header, and the extension's words where it has one (else null)."""
     base = 0 if options.skip_magic else 4
-    content = F.col("content")
     own = [c for c in files.columns if c != "content"]
-    magic = F.lit(MAGIC) if options.skip_magic else u32(content, 0)
-    words = files.select(*own, "content", magic.alias("magic"), *(u32(content, base + 4 * i).alias(w) for i, w in enumerate(WORDS)))
-    extended = (F.col("pf_flags").bitwiseAND(PF_FOURCC) != 0) & (F.col("four_cc") == DX10)
-    return words.select(*own, "magic", *WORDS, *(F.when(extended, u32(content, base + 124 + 4 * i)).alias(w) for i, w in enumerate(DX10_WORDS)), extended.alias("has_dx10"))
+    # one array of words, so that the byte arithmetic is written once and not for each column
+    every = F.transform(F.sequence(F.lit(0), F.lit(len(WORDS) + len(DX10_WORDS))), lambda i: u32(F.col("content"), (i - 1) * 4 + base))
+    magic = F.lit(MAGIC) if options.skip_magic else u32(F.col("content"), F.lit(0))
+    at = {w: F.get("words", i + 1) for i, w in enumerate([*WORDS, *DX10_WORDS])}
+    found = files.select(*own, magic.cast("long").alias("magic"), every.alias("words"))
+    extended = (at["pf_flags"].bitwiseAND(PF_FOURCC) != 0) & (at["four_cc"] == DX10)
+    return found.select(*own, "magic", *(at[w].alias(w) for w in WORDS), *(F.when(extended, at[w]).alias(w) for w in DX10_WORDS), extended.alias("has_dx10"))
 
 
 def raw_bytes(word: Column) -> Column:
-    return F.reverse(F.unhex(F.lpad(F.hex(word), 8, "0")))
+    return F.unhex(_swapped(F.lpad(F.hex(word), 8, "0")))
 
 
 def write_raw(headers: DataFrame) -> Column:
