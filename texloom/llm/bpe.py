@@ -1,13 +1,15 @@
 """Byte-level BPE encoding and decoding.
 
 One narrow stage of three steps, without a shuffle:
-1. Arrow: split each text by the public pattern, number the words and send on each distinct word once per part of the input;
-2. Spark higher-order functions: fold the ranked merges over each distinct word's bytes, ranks looked up in a literal map;
+1. Arrow: split each text by the public pattern, number the words and send on each distinct word once per part of the
+   input, with the ranks of the merges whose bytes occur in it, in order;
+2. Spark higher-order functions: fold those ranked merges over the word's bytes, each merge read from a literal rank map;
 3. Arrow: put the ids together document by document from the numbered words, and decode by concatenating the tokens' bytes.
 
-The literal rank map is an array of small maps, dealt by the CRC-32 of the key, since Spark searches a map from its start.
-Bytes are held as the 256 first code points, so that a piece is a string of its bytes and merging is concatenation.
-A word longer than `FOLD_BYTES` is merged by a heap in step 3 (the fold is quadratic in the word's length).
+A token is one character (its id as a code point; ids stay below the surrogates), so a word's bytes are a string of
+characters, and a merge replaces two neighbouring characters by one, from the left. Since a merge's parts have lower ranks
+than what it makes, one pass in rank order does all that repeated searches for the lowest pair would do. A word longer than
+`FOLD_BYTES` has too many candidates, and is merged by a heap in step 3.
 
 Results: a null text is encoded as empty; any Unicode text round-trips; repeated rows and null ids each give a row;
 extra columns are not read.
@@ -18,7 +20,6 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
@@ -31,66 +32,45 @@ from pyspark.sql import functions as F
 from .common import slices
 from .pretoken import pieces
 
-BUCKETS, FOLD_BYTES, DICTIONARY_WORDS = 32_768, 64, 300_000
-NEVER = 2**31 - 1
+FOLD_BYTES, DICTIONARY_WORDS, MOST_RANKS = 64, 300_000, 0xD800
 
 
 @lru_cache(maxsize=4)
 def ranks_of(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        found = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    if max(found.values()) >= MOST_RANKS:
+        raise ValueError(f"a vocabulary of {MOST_RANKS} ranks or more has no single characters for its tokens")
+    return found
 
 
 @lru_cache(maxsize=4)
-def rank_map_json(path: str) -> str:
-    dealt: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for token, rank in ranks_of(path).items():
-        key = token.decode("latin-1")
-        dealt[zlib.crc32(key.encode()) % BUCKETS][key] = rank
-    return json.dumps(dealt)
-
-
-def rank_column(path: str):
-    """A function from a piece (a column of bytes as code points) to its rank, NEVER where it has none."""
-    table = F.from_json(F.lit(rank_map_json(path)), "array<map<string,int>>")  # folded to a literal by the optimiser
-
-    def rank(piece: Column) -> Column:
-        return F.coalesce(F.element_at(F.get(table, (F.crc32(piece.cast("binary")) % BUCKETS).cast("int")), piece), F.lit(NEVER))
-
-    return rank
-
-
-def fold_merges(word: Column, path: str) -> Column:
-    """The ids of one word (bytes as code points): merge the leftmost pair of the lowest rank until no pair has one."""
-    rank, never, n = rank_column(path), F.lit(NEVER), F.length(word)
-    single = F.transform(F.sequence(F.lit(1), n), lambda i: word.substr(i, F.lit(1)))
-    pairs = F.concat(F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank(word.substr(i, F.lit(2)))), F.array(never))
-
-    def merge(state: Column, _: Column) -> Column:
-        piece, cost = state["piece"], state["cost"]
-
-        def at(i: Column) -> Column:  # i, from 1: the pair of pieces i and i + 1
-            joined = F.concat(F.get(piece, i - 1), F.get(piece, i))
-            before = F.when(i > 1, F.concat(F.slice(cost, F.lit(1), F.greatest(i - 2, F.lit(0))), F.array(rank(F.concat(F.get(piece, i - 2), joined))))).otherwise(F.slice(cost, F.lit(1), F.lit(0)))
-            after = F.when(i + 1 < F.size(piece), rank(F.concat(joined, F.get(piece, i + 1)))).otherwise(never)
-            return F.struct(
-                F.concat(F.slice(piece, F.lit(1), i - 1), F.array(joined), F.slice(piece, i + 2, F.size(piece))).alias("piece"),
-                F.concat(before, F.array(after), F.slice(cost, i + 2, F.size(cost))).alias("cost"),
-            )
-
-        step = F.get(F.transform(F.array(F.array_position(cost, F.array_min(cost)).cast("int")), at), 0)
-        return F.when(F.array_min(cost) < never, step).otherwise(state)
-
-    folded = F.aggregate(F.sequence(F.lit(1), n - 1), F.struct(single.alias("piece"), pairs.alias("cost")), merge, lambda s: F.transform(s["piece"], rank))
-    whole = rank(word)  # a word that is a token needs no fold
-    return F.when(n == 0, F.array().cast("array<int>")).when(whole < never, F.array(whole)).otherwise(folded)
-
-
-def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same ids by a heap of pairs over linked pieces, for words too long for the fold."""
+def merges_of(path: str) -> list[str]:
+    """By rank: the two tokens, as characters, that the merge of this rank joins; empty for single bytes."""
+    ranks = ranks_of(path)
+    out = [""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        if len(token) > 1:
+            parts = heap_merges(token, ranks, rank)
+            if len(parts) != 2:
+                raise ValueError(f"the token of rank {rank} is not made of two others of lower ranks")
+            out[rank] = chr(parts[0]) + chr(parts[1])
+    return out
+
+
+def fold_merges(word: Column, merges: Column, path: str) -> Column:
+    """The tokens of a word (characters of its bytes) after the merges (ranks, ascending) that may apply to it."""
+    table = merges_of(path)
+    pair = F.from_json(F.lit(json.dumps(table)), "array<string>")  # folded to a literal by the optimiser
+    made = F.from_json(F.lit(json.dumps([chr(r) for r in range(len(table))])), "array<string>")
+    return F.aggregate(merges, word, lambda tokens, rank: F.replace(tokens, F.get(pair, rank), F.get(made, rank)))
+
+
+def heap_merges(word: bytes, ranks: dict[bytes, int], below: int = 1 << 31) -> list[int]:
+    """The ids by a heap of pairs over linked pieces, with merges of ranks under `below`: for words too long for the fold."""
     end, left, right = list(range(1, len(word) + 1)), list(range(-1, len(word) - 1)), list(range(1, len(word) + 1))
     alive = [True] * len(word)
-    heap = [(r, i, i + 2) for i in range(len(word) - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+    heap = [(r, i, i + 2) for i in range(len(word) - 1) if (r := ranks.get(word[i : i + 2], below)) < below]
     heapq.heapify(heap)
     while heap:
         _, i, stop = heapq.heappop(heap)
@@ -100,66 +80,77 @@ def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
         alive[j], end[i], right[i] = False, stop, right[j]
         if right[i] < len(word):
             left[right[i]] = i
-            if (r := ranks.get(word[i : end[right[i]]])) is not None:
+            if (r := ranks.get(word[i : end[right[i]]], below)) < below:
                 heapq.heappush(heap, (r, i, end[right[i]]))
-        if left[i] >= 0 and (r := ranks.get(word[left[i] : stop])) is not None:
+        if left[i] >= 0 and (r := ranks.get(word[left[i] : stop], below)) < below:
             heapq.heappush(heap, (r, left[i], stop))
     return [ranks[word[i : end[i]]] for i in range(len(word)) if alive[i]]
 
 
-_NUMBERED = pa.schema([("doc_id", pa.int64()), ("words", pa.list_(pa.int32())), ("fresh", pa.bool_()), ("new", pa.list_(pa.string())), ("long", pa.list_(pa.binary()))])
+_NUMBERED = pa.schema([("doc_id", pa.int64()), ("words", pa.list_(pa.int32())), ("fresh", pa.bool_()), ("new", pa.list_(pa.string())), ("merges", pa.list_(pa.list_(pa.int32()))), ("long", pa.list_(pa.binary()))])
+
+
+def candidates(word: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
+    """Ranks, ascending, of the tokens of two bytes or more that occur in a word."""
+    n = len(word)
+    get = ranks.get
+    found = {get(word[i:j]) for i in range(n - 1) for j in range(i + 2, min(n, i + longest) + 1)}
+    found.discard(None)
+    return sorted(found)
 
 
-def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text as numbers of distinct words, in order of first use; every slice's last row brings the words that are new.
+def _number(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """Each text as numbers of distinct words, in order of first use, after a row that brings the words new to a slice.
 
     The numbering starts anew (`fresh`) when more than DICTIONARY_WORDS words are known, which bounds both sides' memory."""
+    ranks = ranks_of(path)
+    longest = max(map(len, ranks))
+    byte = {i: chr(ranks[bytes([i])]) for i in range(256)}
     known: dict[str, int] = {}
     for part in slices(batches):
         split = [pieces(t) if t else [] for t in part.column("text").to_pylist()]
         fresh = len(known) > DICTIONARY_WORDS
         if fresh:
             known = {}
-        before = len(known)
-        for w in dict.fromkeys(w for words in split for w in words):
-            if w not in known:
-                known[w] = len(known)
-        raw = [w.encode() for w in list(known)[before:]] if len(known) > before else []
-        short = ["" if len(b) > FOLD_BYTES else b.decode("latin-1") for b in raw]
+        new = [w for w in dict.fromkeys(w for words in split for w in words) if w not in known]
+        known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+        raw = [w.encode() for w in new]
+        short = ["" if len(b) > FOLD_BYTES else b.decode("latin-1").translate(byte) for b in raw]
+        merges = [[] if len(b) > FOLD_BYTES else candidates(b, ranks, longest) for b in raw]
+        long = [b for b in raw if len(b) > FOLD_BYTES]
         rows = part.num_rows
-        # the slice's new words come first, in a row of their own
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.list_(pa.int32())), pa.array([fresh]), pa.array([short], pa.list_(pa.string())), pa.array([[b for b in raw if len(b) > FOLD_BYTES]], pa.list_(pa.binary()))], schema=_NUMBERED)
+        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((None, None, fresh, short, merges, long), _NUMBERED, strict=True)], schema=_NUMBERED)
         flat = np.fromiter((known[w] for words in split for w in words), np.int32)
         offsets = np.concatenate([[0], np.cumsum([len(words) for words in split])]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array([False] * rows), pa.array([None] * rows, pa.list_(pa.string())), pa.array([None] * rows, pa.list_(pa.binary()))], schema=_NUMBERED)
+        words = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+        yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), words, *(pa.nulls(rows, _NUMBERED.field(i).type) for i in range(2, 6))], schema=_NUMBERED)
 
 
-def numbered_words(docs: DataFrame) -> DataFrame:
+def numbered_words(docs: DataFrame, path: str) -> DataFrame:
     """Step 1."""
-    return docs.select("doc_id", "text").mapInArrow(_number, "doc_id long, words array<int>, fresh boolean, new array<string>, long array<binary>")
+    return docs.select("doc_id", "text").mapInArrow(lambda b: _number(b, path), "doc_id long, words array<int>, fresh boolean, new array<string>, merges array<array<int>>, long array<binary>")
+
+
+def coded_words(docs: DataFrame, path: str) -> DataFrame:
+    """Steps 1 and 2: rows of word numbers, after rows with the tokens (characters) of each new word; long words are left as bytes."""
+    coded = F.zip_with("new", "merges", lambda w, m: fold_merges(w, m, path)).alias("tokens")
+    return numbered_words(docs, path).select("doc_id", "words", "fresh", coded, "long")
 
 
-def _assembled(batches: Iterator[pa.RecordBatch], path: str):
-    """Step 3: for each slice of rows the ids of the dictionary's words and the word numbers of each document."""
+def _assembled(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[int | None, list[int] | None, list[list[int]] | None]]:
+    """Step 3: (doc_id, word numbers, None) of a document, (None, None, ids of new words), or three None where numbering starts anew."""
     ranks = ranks_of(path)
-    coded: list[list[int]] = []
     for batch in batches:
-        for i, (words, fresh, ids, long) in enumerate(zip(*(batch.column(c) for c in ("words", "fresh", "ids", "long")), strict=True)):
-            if not words.is_valid:
-                if fresh.as_py():
-                    coded = []
-                    yield None, None, None
-                rest = iter(long.as_py())
-                new = [x or heap_merges(next(rest), ranks) for x in ids.as_py()]
-                coded += new
-                yield None, None, new
+        ids, words = batch.column("doc_id").to_pylist(), batch.column("words")
+        fresh, tokens, long = (batch.column(c) for c in ("fresh", "tokens", "long"))
+        for i in range(batch.num_rows):
+            if words[i].is_valid:
+                yield ids[i], words[i].values.to_pylist(), None
             else:
-                yield batch.column("doc_id")[i].as_py(), words.values.to_pylist() if len(words) else [], None
-
-
-def coded_words(docs: DataFrame, path: str) -> DataFrame:
-    """Steps 1 and 2: rows of word numbers, with the ids of each new word; long words come as bytes and have no ids yet."""
-    return numbered_words(docs).select("doc_id", "words", "fresh", F.transform("new", lambda w: fold_merges(w, path)).alias("ids"), "long")
+                if fresh[i].as_py():
+                    yield None, None, None
+                rest = iter(long[i].as_py())
+                yield None, None, [list(map(ord, t)) if t else heap_merges(next(rest), ranks) for t in tokens[i].as_py()]
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
