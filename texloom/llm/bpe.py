@@ -20,16 +20,18 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import distinct, prefix_sums, slices, window_hashes
 from .pretoken import pieces
 
 FOLD_BYTES, DICTIONARY_WORDS, MOST_RANKS = 64, 300_000, 0xD800
@@ -90,13 +92,39 @@ def heap_merges(word: bytes, ranks: dict[bytes, int], below: int = 1 << 31) -> l
 _NUMBERED = pa.schema([("doc_id", pa.int64()), ("words", pa.list_(pa.int32())), ("fresh", pa.bool_()), ("new", pa.list_(pa.string())), ("merges", pa.list_(pa.list_(pa.int32()))), ("long", pa.list_(pa.binary()))])
 
 
-def candidates(word: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
-    """Ranks, ascending, of the tokens of two bytes or more that occur in a word."""
-    n = len(word)
-    get = ranks.get
-    found = {get(word[i:j]) for i in range(n - 1) for j in range(i + 2, min(n, i + longest) + 1)}
-    found.discard(None)
-    return sorted(found)
+@lru_cache(maxsize=4)
+def token_index(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted hashes of the tokens of two bytes or more, their ranks, and which hashes' low bits occur at all."""
+    tokens = [(t, r) for t, r in ranks_of(path).items() if 1 < len(t) <= FOLD_BYTES]
+    data, ends = b"".join(t for t, _ in tokens), np.cumsum([0] + [len(t) for t, _ in tokens])
+    hashes = window_hashes(prefix_sums(data), ends[:-1], ends[1:])
+    order = np.argsort(hashes)
+    low = np.zeros(1 << 20, bool)
+    low[hashes & np.uint64((1 << 20) - 1)] = True
+    return hashes[order], np.array([r for _, r in tokens], np.int64)[order], low
+
+
+def candidates(words: list[bytes], path: str) -> pa.ListArray:
+    """For each word the ranks, ascending, of the tokens of two bytes or more that occur in it.
+
+    Windows are compared by hash: one too many would do no harm, since the fold only merges what stands side by side."""
+    hashes, ranks, low = token_index(path)
+    sizes = np.array([len(w) for w in words], np.int64)
+    data, ends = b"".join(words), np.cumsum(sizes)
+    sums = prefix_sums(data)
+    at, room, word = np.arange(len(data)), np.repeat(ends, sizes) - np.arange(len(data)), np.repeat(np.arange(len(words)), sizes)
+    found = [np.zeros(0, np.int64)]
+    for length in range(2, int(sizes.max(initial=0)) + 1):
+        fits = room[at] >= length
+        at = at[fits]
+        h = window_hashes(sums, at, at + length)
+        may = np.flatnonzero(low[h & np.uint64((1 << 20) - 1)])
+        place = np.minimum(np.searchsorted(hashes, h[may]), len(hashes) - 1)
+        hit = hashes[place] == h[may]
+        found.append(word[at[may[hit]]] << 16 | ranks[place[hit]])
+    keys = distinct(np.concatenate(found))
+    offsets = np.searchsorted(keys >> 16, np.arange(len(words) + 1))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys & 0xFFFF, pa.int32()))
 
 
 def _number(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -104,26 +132,27 @@ def _number(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
 
     The numbering starts anew (`fresh`) when more than DICTIONARY_WORDS words are known, which bounds both sides' memory."""
     ranks = ranks_of(path)
-    longest = max(map(len, ranks))
     byte = {i: chr(ranks[bytes([i])]) for i in range(256)}
-    known: dict[str, int] = {}
+    known: defaultdict[str, int] = defaultdict()
+    known.default_factory = known.__len__
     for part in slices(batches):
         split = [pieces(t) if t else [] for t in part.column("text").to_pylist()]
+        every = list(chain.from_iterable(split))
         fresh = len(known) > DICTIONARY_WORDS
         if fresh:
-            known = {}
-        new = [w for w in dict.fromkeys(w for words in split for w in words) if w not in known]
-        known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+            known.clear()
+        before = len(known)
+        flat = np.fromiter(map(known.__getitem__, every), np.int32, len(every))
+        new = [] if len(known) == before else list(islice(reversed(known), len(known) - before))[::-1]
         raw = [w.encode() for w in new]
-        short = ["" if len(b) > FOLD_BYTES else b.decode("latin-1").translate(byte) for b in raw]
-        merges = [[] if len(b) > FOLD_BYTES else candidates(b, ranks, longest) for b in raw]
         long = [b for b in raw if len(b) > FOLD_BYTES]
-        rows = part.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((None, None, fresh, short, merges, long), _NUMBERED, strict=True)], schema=_NUMBERED)
-        flat = np.fromiter((known[w] for words in split for w in words), np.int32)
-        offsets = np.concatenate([[0], np.cumsum([len(words) for words in split])]).astype(np.int32)
+        raw = [b"" if len(b) > FOLD_BYTES else b for b in raw] if long else raw
+        short = [b.decode("latin-1").translate(byte) for b in raw]
+        merges = pa.ListArray.from_arrays(pa.array([0, len(raw)], pa.int32()), candidates(raw, path))
+        yield pa.RecordBatch.from_arrays([*(pa.array([x], f.type) for x, f in zip((None, None, fresh, short), _NUMBERED)), merges, pa.array([long], _NUMBERED.field("long").type)], schema=_NUMBERED)
+        offsets = np.cumsum([0] + [len(words) for words in split]).astype(np.int32)
         words = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-        yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), words, *(pa.nulls(rows, _NUMBERED.field(i).type) for i in range(2, 6))], schema=_NUMBERED)
+        yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), words, *(pa.nulls(part.num_rows, _NUMBERED.field(i).type) for i in range(2, 6))], schema=_NUMBERED)
 
 
 def numbered_words(docs: DataFrame, path: str) -> DataFrame:
@@ -145,7 +174,7 @@ def _assembled(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[i
         fresh, tokens, long = (batch.column(c) for c in ("fresh", "tokens", "long"))
         for i in range(batch.num_rows):
             if words[i].is_valid:
-                yield ids[i], words[i].values.to_pylist(), None
+                yield ids[i], words[i].values.to_numpy().tolist(), None
             else:
                 if fresh[i].as_py():
                     yield None, None, None
@@ -201,23 +230,24 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = {rank: token for token, rank in ranks_of(path).items()}
+        digits = {rank: b"%d" % rank for rank in piece}
         written: list[bytes] = []
         decoded: list[bytes] = []
         lengths: list[int] = []
         rows: list[tuple] = []
         for doc_id, words, new in _assembled(batches, path):
             if words is not None:
-                ids = sha256(b" ".join([written[w] for w in words])).hexdigest()
-                data = sha256(b"".join([decoded[w] for w in words])).hexdigest()
-                rows.append((doc_id, sum([lengths[w] for w in words]), ids, data))
+                ids = sha256(b" ".join(map(written.__getitem__, words))).hexdigest()
+                data = sha256(b"".join(map(decoded.__getitem__, words))).hexdigest()
+                rows.append((doc_id, sum(map(lengths.__getitem__, words)), ids, data))
                 if len(rows) >= 1000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
                     rows = []
             elif new is None:
                 written, decoded, lengths = [], [], []
             else:
-                written += [b" ".join(b"%d" % i for i in ids) for ids in new]
-                decoded += [b"".join(piece[i] for i in ids) for ids in new]
+                written += [b" ".join(map(digits.__getitem__, ids)) for ids in new]
+                decoded += [b"".join(map(piece.__getitem__, ids)) for ids in new]
                 lengths += map(len, new)
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)

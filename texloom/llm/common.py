@@ -90,17 +90,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Distinct values, ascending; by sorting, which is several times as fast as np.unique's hash table."""
+    values = np.sort(values)
+    keep = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=keep[1:])
+    return values[keep]
+
+
+def prefix_sums(data: bytes | np.ndarray) -> np.ndarray:
+    """Sums from which `window_hashes` has the hash of any run of the bytes."""
+    codes = np.frombuffer(data, np.uint8)
+    powers, _ = _tables(len(codes))
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * powers[: len(codes)], out=sums[1:])
+    return sums
+
+
+def window_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes from each start to its end."""
+    _, inverses = _tables(len(sums))
+    with np.errstate(over="ignore"):
+        return mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
+
+
 def _piece_words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = np.empty(len(buf) + 2, np.int8)
     inside[0] = inside[-1] = 0
     np.logical_not(_SPACE[buf], out=inside[1:-1].view(bool))
     step = np.diff(inside)
     starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-    powers, inverses = _tables(len(buf))
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * powers[: len(buf)], out=sums[1:])
-        hashes = mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
+    hashes = window_hashes(prefix_sums(buf), starts, ends)
     return starts, ends, hashes
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import combine, joined, mix, per_document, slices, texts_of, words_of, written
+from .common import combine, distinct, joined, mix, per_document, slices, texts_of, words_of, written
 from .components import components
 
 PERMUTATIONS, BAND_PAIRS, THRESHOLD = 480, 5, 80
@@ -38,7 +38,7 @@ def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
     out = np.full(len(hashes) - n + 1, n, np.uint64)
     for i in range(n):
         out = combine(out, hashes[i : len(hashes) - n + 1 + i])
-    return np.unique(out)
+    return distinct(out)
 
 
 def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
