@@ -109,6 +109,25 @@ def test_language_id(spark, docs, empty):
     assert langid.identify(empty).count() == 0
 
 
+def test_language_rejection(spark):
+    """Shuffled letters and an unlearned language are rejected, one junk row sets no limit, clean held-out texts stay."""
+    from texloom.llm import langid
+
+    rng = random.Random(4)
+    base = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    junk = spark.createDataFrame([(-1, "qzxv kjqw xzzq wvkj " * 40, x) for x in ("en", "de", "fr")], base.schema)
+    models = langid.learn(base.filter(~langid.held_out() & (F.col("lang") != "es")).union(junk))
+    held = [r for r in base.filter(langid.held_out()).collect() if r.text and len(r.text) > 60]
+    kept = lambda texts: np.mean([x[3] for x in models.judged([langid.symbols(t) for t in texts])])
+    clean = [r.text for r in held if r.lang != "es"]
+    assert kept(clean) >= 0.98
+    assert kept(["".join(rng.sample(t, len(t))) for t in clean]) == 0
+    assert kept([" ".join("".join(rng.sample(w, len(w))) for w in t.split()) for t in clean]) <= 0.02
+    assert kept([t for t in (r.text for r in held if r.lang == "es") if len(t) > 200]) <= 0.1
+    assert kept([" ".join("".join(rng.choice(["ka", "lo", "mu", "vi", "ty", "kko"]) for _ in range(3)) for _ in range(40)) for _ in range(20)]) == 0
+    assert all(np.isfinite(x) for line in models.limits.values() for x in line)
+
+
 def test_probabilities_sum_to_one():
     """Each context's interpolated probabilities over the whole alphabet, and one for what is unseen."""
     from texloom.llm import langid
