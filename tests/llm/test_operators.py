@@ -215,6 +215,21 @@ def test_quality_rules(spark, docs, rows, empty):
     same([r.doc_id for r in quality.kept_rows(docs, labels).collect()], [r.doc_id for r in got if r.kept])
 
 
+def test_quality_of_held_out_labels(spark):
+    """Good rows whose labels were not given stay, those of words that occur once among them; without evidence a bucket is neutral."""
+    from texloom.llm import quality
+
+    rng = random.Random(6)
+    common = [f"a{i}" for i in range(30)]
+    texts = [" ".join(rng.choice(common) for _ in range(40)) for _ in range(300)] + [" ".join(f"u{k}x{i}" for i in range(15)) for k in range(100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in [*range(200), *range(300, 360)]], "doc_id long, quality int")
+    kept = {r.doc_id: r.kept for r in quality.judge(docs, labels).filter("not base_failed").collect()}
+    for ids in (range(200, 300), range(360, 400)):
+        assert np.mean([kept[i] for i in ids if i in kept]) >= 0.9
+    assert quality.ratios(np.array([5.0, 5.0]), np.array([0.0, 3.0]), 10.0, 3.0)[0] == 0
+
+
 def test_top_k(spark):
     from texloom.llm import topk
 

@@ -3,7 +3,8 @@
 Two multinomials over `BUCKETS` hashed unigrams and bigrams: the raw one from every document, the trusted one from up to
 `MAX_TRUSTED` labelled rows (those of the smallest hash; the bound makes their ids safe to broadcast). A text's verdict is
 the mean of log(trusted / raw) over its n-grams against a threshold learned from the same labelled rows: the lowest score
-but for `TRIM` of them, less `MARGIN`.
+but for `TRIM` of them, less `MARGIN`, where each row's own n-grams are left out of the trusted counts that score it. A
+bucket that no trusted row has says nothing and counts as 0.
 
 Results: a null or empty text has no words, fails the base rules and has score null; ties with the threshold are kept;
 repeated rows and null ids each give a row; extra columns are not read; without labels every ratio is 0 and the base rules
@@ -100,14 +101,31 @@ def bucket_counts(docs: DataFrame, trusted: DataFrame) -> tuple[np.ndarray, np.n
     return raw, good
 
 
-def ratios(raw: np.ndarray, good: np.ndarray) -> np.ndarray:
-    """log(trusted / raw) of each bucket, smoothed; 0 everywhere where nothing is trusted."""
-    if not good.sum():
-        return np.zeros(BUCKETS, np.float32)
-    smooth = SMOOTHING * raw.sum() / BUCKETS / max(raw.sum() / good.sum(), 1.0)
-    prior = (raw + SMOOTHING) / (raw + SMOOTHING).sum()
-    trusted = (good + smooth * BUCKETS * prior) / (good.sum() + smooth * BUCKETS)  # smoothed towards raw
-    return np.log(trusted / prior).astype(np.float32)
+def ratios(raw: np.ndarray, good: np.ndarray, raw_sum: float, good_sum: float) -> np.ndarray:
+    """log(trusted / raw) of buckets by their counts and the sums over all buckets, smoothed; 0 where nothing is trusted."""
+    smooth = SMOOTHING * raw_sum / BUCKETS / max(raw_sum / max(good_sum, 1.0), 1.0)
+    prior = (raw + SMOOTHING) / (raw_sum + SMOOTHING * BUCKETS)
+    trusted = (good + smooth * BUCKETS * prior) / max(good_sum + smooth * BUCKETS, 1.0)  # smoothed towards raw
+    return np.where(good > 0, np.log(np.where(good > 0, trusted, prior) / prior), 0).astype(np.float32)
+
+
+def scores_without_own(docs: DataFrame, raw: np.ndarray, good: np.ndarray) -> DataFrame:
+    """The score of each trusted row of at least `MIN_WORDS` words, its own n-grams left out of the trusted counts."""
+    raw_sum, good_sum = raw.sum(), good.sum()
+    shared = docs.sparkSession.sparkContext.broadcast((raw, good))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw, good = shared.value
+        for part in slices(batches):
+            out = []
+            for _, _, _, hashes in _texts(part):
+                if len(hashes) >= MIN_WORDS:
+                    used, own = np.unique(ngram_buckets(hashes), return_counts=True)
+                    table = ratios(raw[used], good[used] - own, raw_sum, good_sum - own.sum())
+                    out.append(float((table * own).sum(dtype=np.float64) / own.sum()))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64())], ["score"])
+
+    return docs.select("text").mapInArrow(run, "score double")
 
 
 def scored(docs: DataFrame, table: np.ndarray) -> DataFrame:
@@ -129,10 +147,10 @@ def scored(docs: DataFrame, table: np.ndarray) -> DataFrame:
 def learned(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """The table of ratios and the threshold."""
     trusted = trusted_rows(labels)
-    table = ratios(*bucket_counts(docs, trusted))
-    good = scored(docs.select("doc_id", "text").join(F.broadcast(trusted), "doc_id", "left_semi"), table)
-    good = good.filter(f"n_words >= {MIN_WORDS}").agg(F.percentile("score", F.lit(TRIM)).alias("low")).first()
-    return table, (good.low if good.low is not None else 0.0) - MARGIN
+    raw, good = bucket_counts(docs, trusted)
+    own = docs.select("doc_id", "text").join(F.broadcast(trusted), "doc_id", "left_semi")
+    low = scores_without_own(own, raw, good).agg(F.percentile("score", F.lit(TRIM)).alias("low")).first().low
+    return ratios(raw, good, raw.sum(), good.sum()), (low if low is not None else 0.0) - MARGIN
 
 
 def kept_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
