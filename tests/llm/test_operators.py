@@ -184,6 +184,50 @@ def test_near_duplicates(spark, docs, rows, empty, size):
     assert kept.columns == docs.columns and kept.filter("doc_id = 9009").count() == 1
 
 
+def classes_of(nodes, links):
+    label = {i: i for i in nodes}
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for a, b in links:
+        low, high = sorted((find(a), find(b)))
+        label[high] = low
+    return {i: find(i) for i in nodes}
+
+
+def test_near_duplicate_group_with_outsiders(spark):
+    """A large group of copies, many too far from each other and from the centre; one id with two texts; a long text."""
+    from texloom.llm import minhash
+
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(400)}" for _ in range(90)]
+    rows = [(i, " ".join(f"e{rng.randrange(9)}" if rng.random() < rng.choice([0.02, 0.05, 0.08]) else w for w in base)) for i in range(250)]
+    rows += [(7, "quite another text " + " ".join(base[:9])), (900, " ".join(f"v{i}" for i in range(40_000))), (901, " ".join(f"v{i}" for i in range(39_000)))]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, node int").repartition(5)
+    sets = [shingle_sets([(0, t)], 2)[0] for _, t in rows]
+    near = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    part = classes_of(range(len(rows)), [(a, b) for a in range(len(rows)) for b in range(a) if near(a, b)])
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[part[k]] = min(i, least.get(part[k], i))
+    want = [(i, len(sets[k]), least[part[k]], least[part[k]] == i) for k, (i, _) in enumerate(rows)]
+    same([tuple(r)[:4] for r in minhash.near_duplicates(docs, 2).collect()], want)
+    assert 3 < len(set(part.values())) < 200
+    # cells of a few members find the links that one cell finds
+    listed = [[hash(s) for s in x] for x in sets[:250]]
+    shingles = spark.createDataFrame(list(enumerate(listed)), "node long, shingles array<long>")
+    judged = [(k, p, len(sets[k]), near(k, p)) for p in (0, 1) for k in range(2, 250)]
+    frame = spark.createDataFrame(judged, "x long, p long, nx long, near boolean")
+    known = [(x, p) for x, p, _, close in judged if close]
+    want = classes_of(range(250), known + [(a, b) for a in range(250) for b in range(a) if near(a, b)])
+    for cell in (1_000_000, 700):
+        found = [(r.a, r.b) for r in minhash.outsider_links(frame, shingles, 80, cell).collect()]
+        assert classes_of(range(250), known + found) == want
+
+
 def test_quality_rules(spark, docs, rows, empty):
     from texloom.llm import quality
 

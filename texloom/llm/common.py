@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -14,11 +17,13 @@ from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; one is set here only where the session names none (as in tests)."""
+    """The shared folder named by spark.checkpoint.dir; a local one only where the session names none and has no cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
         if not context.getCheckpointDir():
+            if not context.master.startswith("local["):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="texloom-"))
         found = context.getCheckpointDir()
     return found.rstrip("/")
@@ -29,24 +34,39 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/texloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out.written_path = path
+    return out
 
 
-def drop_written(spark: SparkSession, *frames: DataFrame) -> None:
-    """Remove tables made by `written` once nothing reads them any more."""
-    jvm = spark.sparkContext._jvm
+def drop_written(*frames: DataFrame) -> None:
+    """Remove tables that `written` returned, once nothing reads them any more."""
     for frame in frames:
-        for name in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
-            if "/texloom-" in name:
-                path = jvm.org.apache.hadoop.fs.Path(name)
-                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        context = frame.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(frame.written_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run`, after which a reused Python worker gives free memory back, so that idle workers of earlier stages stay small."""
+
+    @wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if libc := ctypes.util.find_library("c"):
+            trim = getattr(ctypes.CDLL(libc), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return whole
 
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Row slices of at most `limit` text bytes each (a longer text comes alone), so that temporary arrays stay bounded."""
     for batch in batches:
         if not batch.num_rows:
@@ -68,7 +88,7 @@ _powers = np.ones(1, np.uint64)
 _inverses = np.ones(1, np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_PIECE = 1 << 22
+_PIECE = 1 << 18
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:

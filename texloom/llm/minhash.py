@@ -5,14 +5,18 @@ Each of `PERMUTATIONS` hash functions gives a set's minimum and its maximum, so
 missed with probability (1 - 0.8^10)^96 < 2e-5 (at 0.85 under 1e-9), while texts that share a long passage and no more (0.5)
 meet in a tenth of the cases: bands of fewer values would bring thousands of such texts together.
 
-Documents of equal sets are one class from the start (they are never expanded into pairs). Within a bucket (documents that
-share a band) no pairs are enumerated: every member is confirmed against one pivot, the member that meets the most others.
-What that leaves open goes to the next round with twice as many pivots. Jaccard distance is a metric, so a member already
-joined to the first pivot goes on only if the triangle inequality lets it link with a member that is not; rounds go on
-until no bucket is open. So each link that shares a band is found, or its two ends are connected already.
+Documents of equal sets are one class from the start (they are never expanded into pairs). Within a bucket (classes that
+share a band) every member is confirmed against one pivot, the member that meets the most others; a pair of member and
+pivot is confirmed once, in however many buckets it meets. Members that link with their pivot are connected by that. What
+may be missing then are the links of the others, the outsiders: each group (a pivot and all that met it) with outsiders is
+searched once more, by an inverted index over the group's full sets which counts what an outsider has in common with every
+member. So each link that shares a band is found, or its two ends are connected already. A group is searched in cells of at
+most `CELL_SHINGLES` shingles a side (a longer set comes alone), so a task's memory is bounded at any size of group; a cell
+returns at most one link for each two parts that it connects, never its pairs.
 
 Results: a null or empty text, or one without words, has no shingle and links with nothing; a null doc_id takes no part
-(component_id null, kept false); equal rows are one class; extra columns are not read; an empty table gives no rows.
+(component_id null, kept false); equal rows are one class; rows of one doc_id with different texts are judged row by row
+(each has the component of its own text); extra columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,13 +25,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import combine, distinct, joined, mix, per_document, slices, texts_of, words_of, written
+from .common import combine, distinct, drop_written, joined, mix, per_document, released, slices, texts_of, words_of, written
 from .components import components
 
 PERMUTATIONS, BAND_PAIRS, THRESHOLD = 480, 5, 80
+CELL_SHINGLES, BROADCAST_NODES = 1_000_000, 2_000_000
 
 
 def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -80,9 +85,10 @@ def _sets(part: pa.RecordBatch, size: int) -> Iterator[np.ndarray]:
 
 
 def sketches(docs: DataFrame, size: int = 2) -> DataFrame:
-    """doc_id, n_shingles, two 64-bit sums that name the set (null for an empty one) and its bands, by rows."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    """doc_id, h (hash of the text), n_shingles, two 64-bit sums that name the set (null for an empty one) and its bands."""
+    names = ["doc_id", "h", "n_shingles", "k1", "k2", "bands"]
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             n, k1, k2, keys = [], [], [], []
@@ -95,30 +101,92 @@ def sketches(docs: DataFrame, size: int = 2) -> DataFrame:
                     keys.append(bands(*signature(values)).view(np.int64))
                 else:
                     k1.append(None), k2.append(None), keys.append(None)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("h"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(run, "doc_id long, h long, n_shingles long, k1 long, k2 long, bands array<long>")
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id and the whole shingle set of each row."""
+    """node and the whole shingle set of each row of `docs` (node, text)."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             sets = [s.view(np.int64) for s in _sets(part, size)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """x, p, common and total (size of intersection and union) of each pair, on full sets."""
+def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """x, p, nx (size of x's set) and near (whether they link) of each pair, on full sets."""
     first = sets.select(F.col("node").alias("x"), F.col("shingles").alias("sx"))
     second = sets.select(F.col("node").alias("p"), F.col("shingles").alias("sp"))
     both = pairs.join(first, "x").join(second, "p")
-    common = F.size(F.array_intersect("sx", "sp"))
-    counted = both.select("x", "p", common.alias("common"), F.size("sx").alias("nx"), F.size("sp").alias("np"))
-    return counted.select("x", "p", F.col("common").cast("long"), (F.col("nx") + F.col("np") - F.col("common")).cast("long").alias("total"))
+    counted = both.select("x", "p", F.size(F.array_intersect("sx", "sp")).cast("long").alias("common"), F.size("sx").cast("long").alias("nx"), F.size("sp").cast("long").alias("np"))
+    return counted.select("x", "p", "nx", (100 * F.col("common") >= threshold * (F.col("nx") + F.col("np") - F.col("common"))).alias("near"))
+
+
+def _cell_links(x: np.ndarray, values: np.ndarray, offsets: np.ndarray, member: np.ndarray, outsider: np.ndarray, near: np.ndarray, threshold: int) -> list[tuple[int, int]]:
+    """Links that connect the outsiders of a cell with its members; those near the group's pivot are one part already."""
+    sizes = np.diff(offsets)
+    row = np.repeat(np.arange(len(x)), sizes)
+    vocabulary = distinct(values)
+    codes = np.searchsorted(vocabulary, values)
+    inside = member[row]
+    order = np.argsort(codes[inside], kind="stable")
+    posting = row[inside][order]  # the members that have a shingle, shingle by shingle
+    ends = np.cumsum(np.bincount(codes[inside], minlength=len(vocabulary)))
+    begins = np.concatenate([[0], ends[:-1]])
+    parent = np.arange(len(x))
+    if near.any():
+        parent[near] = np.flatnonzero(near)[0]
+
+    def top(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    out = []
+    for i in np.flatnonzero(outsider):
+        own = codes[offsets[i] : offsets[i + 1]]
+        n = ends[own] - begins[own]
+        at = np.repeat(begins[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        common = np.bincount(posting[at], minlength=len(x))
+        linked = member & (100 * common >= threshold * (sizes[i] + sizes - common))
+        linked[i] = False
+        for j in np.flatnonzero(linked):
+            a, b = top(i), top(j)
+            if a != b:
+                parent[a] = b
+                out.append((int(x[i]), int(x[j])))
+    return out
+
+
+def outsider_links(judged: DataFrame, sets: DataFrame, threshold: int, cell: int = CELL_SHINGLES) -> DataFrame:
+    """a, b: links of the members that do not link with the pivot of their group; `judged` as from `confirmed`."""
+    far = ~F.col("near")
+    groups = judged.groupBy("p").agg(F.count("*").alias("n"), F.count_if(far).alias("far"), F.sum("nx").alias("all"), F.sum(F.when(far, F.col("nx")).otherwise(0)).alias("out"))
+    groups = groups.filter("far > 0 and n > 1").select("p", F.ceil(F.col("all") / cell).cast("int").alias("nm"), F.ceil(F.col("out") / cell).cast("int").alias("no"))
+    rows = judged.select("p", "x", "near").join(groups, "p")
+    m, o = F.pmod(F.xxhash64("x"), "nm").cast("int"), F.pmod(F.xxhash64("x", F.lit(1)), "no").cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    as_member = F.transform(every("no"), lambda k: F.struct(m.alias("m"), k.alias("o")))
+    as_outsider = F.when(F.col("near"), F.array().cast("array<struct<m:int,o:int>>")).otherwise(F.transform(every("nm"), lambda k: F.struct(k.alias("m"), o.alias("o"))))
+    cells = rows.select("p", "x", "near", m.alias("own_m"), o.alias("own_o"), F.explode(F.array_distinct(F.concat(as_member, as_outsider))).alias("c"))
+    cells = cells.select("p", "c.m", "c.o", "x", "near", (F.col("c.m") == F.col("own_m")).alias("member"), (~F.col("near") & (F.col("c.o") == F.col("own_o"))).alias("outsider"))
+    filled = cells.join(sets.withColumnRenamed("node", "x"), "x")
+
+    def run(group: pa.Table) -> pa.Table:
+        column = lambda c: group.column(c).to_numpy()
+        lists = group.column("shingles").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        found = _cell_links(column("x"), lists.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0], column("member"), column("outsider"), column("near"), threshold)
+        return pa.table([pa.array([f[c] for f in found], pa.int64()) for c in range(2)], ["a", "b"])
+
+    return filled.groupBy("p", "m", "o").applyInArrow(run, "a long, b long")
 
 
 def grouped(classes: DataFrame, docs: DataFrame, size: int, threshold: int) -> DataFrame | None:
@@ -128,87 +196,48 @@ def grouped(classes: DataFrame, docs: DataFrame, size: int, threshold: int) -> D
     members = written(members.join(crowded, "bucket"))
     # how many others a member meets over all bands: the centre of a group of copies meets the most
     nodes = written(members.groupBy("x").agg(F.sum("n").alias("weight")))
-    if nodes.isEmpty():
+    if not (met := nodes.count()):
         return None
-    wanted = docs.join(nodes.select(F.col("x").alias("doc_id")), "doc_id", "left_semi")
-    sets = full_sets(wanted, size).withColumnRenamed("doc_id", "node").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    sets = written(sets)
-    open_ = members.select("bucket", "x").join(nodes, "x")
-    near = 100 * F.col("common") >= threshold * F.col("total")
-    distance = 1 - F.col("common") / F.col("total")
-    reach = 1 - threshold / 100 + 1e-9
-    label: DataFrame | None = None
-    pivots = 1
-    while True:
-        # the first pivot of each bucket, and in later rounds twice as many as before: few buckets are left by then
-        first = open_.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("x")).alias("low"))).alias("top"))
-        first = first.select("bucket", (-F.col("top.low")).alias("p"), F.lit(True).alias("main"))
-        chosen = first
-        if pivots > 1:
-            place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("weight"), "x"))
-            chosen = open_.select("bucket", F.col("x").alias("p"), place.alias("k")).filter(F.col("k") <= pivots).select("bucket", "p", (F.col("k") == 1).alias("main"))
-        probes = open_.join(chosen, "bucket").filter("x <> p").withColumn("a", F.least("x", "p")).withColumn("b", F.greatest("x", "p"))
-        pairs = probes.select(F.col("a").alias("x"), F.col("b").alias("p")).distinct()
-        judged = written(confirmed(pairs, sets).select(F.col("x").alias("a"), F.col("p").alias("b"), near.alias("near"), distance.alias("d")))
-        label = _joined(label, judged.filter("near").select("a", "b"))
-        state = probes.join(judged, ["a", "b"])
-        for c in ("x", "p"):
-            if label is None:
-                state = state.withColumn(f"c{c}", F.col(c))
-            else:
-                named = label.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-                state = state.join(named, c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", c))
-        # against the first pivot of its bucket; the other pivots are done with
-        state = state.filter("main").withColumn("apart", F.col("cx") != F.col("cp"))
-        if pivots > 1:
-            state = state.join(chosen.filter("not main").select("bucket", F.col("p").alias("x")), ["bucket", "x"], "left_anti")
-        outside = state.groupBy("bucket").agg(F.min(F.when(F.col("apart"), F.col("d"))).alias("least"), F.count("*").alias("n"))
-        # joined members go on only where one that is apart may be within reach
-        left = state.join(outside.filter("least is not null and n > 1"), "bucket").filter(F.col("apart") | (F.col("d") >= F.col("least") - reach))
-        open_ = written(left.select("bucket", "x", "weight"))
-        if open_.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
-            return label
-        pivots *= 2
-
-
-def _joined(label: DataFrame | None, links: DataFrame) -> DataFrame | None:
-    """The components after more links: only links between components are worked, as links of components."""
-    if label is None:
-        return None if links.isEmpty() else components(links)
-    for c in ("a", "b"):
-        links = links.join(label.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", c))
-    between = links.filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    if between.isEmpty():
-        return label
-    merged = components(between)
-    ends = merged.select("node", F.col("component").alias("to"))
-    moved = label.join(ends.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-    # components of one node had no label yet
-    fresh = ends.join(label.select("node"), "node", "left_anti").select("node", F.col("to").alias("component"))
-    return written(moved.unionByName(fresh))
+    pivots = members.join(nodes, "x").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("x")).alias("low"))).alias("top"))
+    pivots = pivots.select("bucket", (-F.col("top.low")).alias("p"))
+    probes = written(members.join(pivots, "bucket").filter("x <> p").select("x", "p").distinct())
+    wanted = classes.join(nodes.select(F.col("x").alias("node")), "node", "left_semi").select("node", "doc_id", "h")
+    wanted = F.broadcast(wanted) if met <= BROADCAST_NODES else wanted
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(wanted, ["doc_id", "h"])
+    sets = written(full_sets(texts.dropDuplicates(["node"]), size))
+    judged = written(confirmed(probes, sets, threshold))
+    links = written(judged.filter("near").select(F.col("x").alias("a"), F.col("p").alias("b")).unionByName(outsider_links(judged, sets, threshold)))
+    drop_written(members, nodes, probes, sets, judged)
+    label = components(links)
+    drop_written(links)
+    return label
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept of each row; `threshold` in hundredths."""
+    """doc_id, n_shingles, component_id (smallest doc_id reachable), kept and h (hash of the text) of each row.
+
+    `threshold` is in hundredths."""
     rows = written(sketches(docs, size))
     keyed = rows.filter("doc_id is not null and k1 is not null")
-    classes = written(keyed.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "bands")).alias("one")).select("k1", "k2", F.col("one.doc_id").alias("node"), "one.bands"))
+    classes = keyed.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "h", "bands")).alias("one"))
+    classes = written(classes.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "one.doc_id", "one.h", "one.bands"))
     label = grouped(classes, docs, size, threshold)
-    names = classes.select("k1", "k2", "node")
+    names = classes.select("k1", "k2", "node", "doc_id")
     if label is not None:
-        names = names.join(label, "node", "left")
+        part = names.join(label, "node", "left").select("k1", "k2", "doc_id", F.coalesce("component", "node").alias("part"))
+        least = part.groupBy("part").agg(F.min("doc_id").alias("component"))
+        names = part.join(least, "part").select("k1", "k2", "component")
     else:
-        names = names.withColumn("component", F.lit(None).cast("long"))
-    names = names.select("k1", "k2", F.coalesce("component", "node").alias("component"))
-    out = rows.select("doc_id", "n_shingles", "k1", "k2").join(names, ["k1", "k2"], "left")
+        names = names.select("k1", "k2", F.col("doc_id").alias("component"))
+    out = rows.select("doc_id", "h", "n_shingles", "k1", "k2").join(names, ["k1", "k2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(False)))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"), "h")
 
 
 def kept_rows(docs: DataFrame, size: int = 5, threshold: int = THRESHOLD) -> DataFrame:
     """The rows of `docs`, with all their columns: of each group the row of the smallest doc_id, of repeated rows one.
 
     Rows with a null doc_id take no part and stay."""
-    kept = near_duplicates(docs, size, threshold).filter("kept").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    kept = near_duplicates(docs, size, threshold).filter("kept").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
+    one = docs.join(kept, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_h")), "left_semi").dropDuplicates(["doc_id", "text"])
     return one.unionByName(docs.filter("doc_id is null")).select(*docs.columns)

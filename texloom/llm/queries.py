@@ -23,7 +23,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(_documents(spark, sf_dir), size=2, threshold=80)
+    return minhash.near_duplicates(_documents(spark, sf_dir), size=2, threshold=80).drop("h")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
