@@ -104,9 +104,11 @@ def test_language_id(spark, docs, empty):
     held = [r for r in got if r.held_out and truth.get(r.doc_id)]
     assert sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.95 * len(held)
     # the prediction looks at the text alone
-    blind = langid.predict(docs.withColumn("lang", F.lit("xx")), langid.learn(docs.filter(~langid.held_out())))
+    blind = langid.predict(docs.withColumn("lang", F.lit("xx")), *langid.learn(docs.filter(~langid.held_out())))
     same([(r.doc_id, r.lang_pred) for r in blind.collect()], [(r.doc_id, r.lang_pred) for r in got])
     assert langid.identify(empty).count() == 0
+    # a model too large to be sent to every task is joined slice by slice, with the same result
+    same([tuple(r) for r in langid.identify(docs, bound=0).collect()], [tuple(r) for r in got])
 
 
 def test_language_rejection(spark):
@@ -116,9 +118,9 @@ def test_language_rejection(spark):
     rng = random.Random(4)
     base = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     junk = spark.createDataFrame([(-1, "qzxv kjqw xzzq wvkj " * 40, x) for x in ("en", "de", "fr")], base.schema)
-    models = langid.learn(base.filter(~langid.held_out() & (F.col("lang") != "es")).union(junk))
+    models, model = langid.learn(base.filter(~langid.held_out() & (F.col("lang") != "es")).union(junk))
     held = [r for r in base.filter(langid.held_out()).collect() if r.text and len(r.text) > 60]
-    kept = lambda texts: np.mean([x[3] for x in models.judged([langid.symbols(t) for t in texts])])
+    kept = lambda texts: np.mean([x[3] for x in models.judged(model.shared.value, texts)])
     clean = [r.text for r in held if r.lang != "es"]
     assert kept(clean) >= 0.98
     assert kept(["".join(rng.sample(t, len(t))) for t in clean]) == 0
@@ -128,18 +130,57 @@ def test_language_rejection(spark):
     assert all(np.isfinite(x) for line in models.limits.values() for x in line)
 
 
-def test_probabilities_sum_to_one():
-    """Each context's interpolated probabilities over the whole alphabet, and one for what is unseen."""
+def kneser_ney(texts):
+    """log2 P(c | h) of one language by the textbook's recursion on dictionaries."""
+    from collections import Counter, defaultdict
+
     from texloom.llm import langid
 
-    text = "the cat sat on the mat and the rat ate the oat " * 3
-    keys, counts = np.unique(langid.keys_of(langid.symbols(text)), return_counts=True)
-    models = langid.fitted({"en": (keys, counts)})
-    alphabet = sorted({int(k) & 0xFFFF for k in keys})
-    for key in keys[:20]:
-        base = (int(key) >> 16) << 16
-        logs = models.log_probs(np.array([base | c for c in [*alphabet, 0x4E00]], np.uint64))[:, 0]
-        assert abs(np.exp2(logs.astype(float)).sum() - 1) < 1e-4
+    seqs = [[32, 32, *map(int, langid.symbols(t))] for t in texts]
+    levels = {4: Counter(tuple(s[i : i + 4]) for s in seqs for i in range(len(s) - 3))}
+    for k in (3, 2, 1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    size = len(levels[1]) + 1
+    cuts, totals, types = {}, {}, {}
+    for k, level in levels.items():
+        once, twice = sum(n == 1 for n in level.values()), sum(n == 2 for n in level.values())
+        cuts[k] = min(max(once / (once + 2 * twice), 0.1), 0.95) if once and twice else 0.5
+        totals[k], types[k] = defaultdict(int), defaultdict(int)
+        for g, n in level.items():
+            totals[k][g[:-1]] += n
+            types[k][g[:-1]] += 1
+
+    def p(g):
+        k = len(g)
+        below = p(g[1:]) if k > 1 else 1 / size
+        if not totals[k][g[:-1]]:
+            return below
+        return (max(levels[k][g] - cuts[k], 0) + cuts[k] * types[k][g[:-1]] * below) / totals[k][g[:-1]]
+
+    return seqs, p, sorted(g[0] for g in levels[1])
+
+
+@pytest.mark.parametrize("lang", ["en", "xx"])
+def test_one_model_by_brute_force(spark, lang):
+    from texloom.llm import langid
+    from texloom.llm.common import written
+    from texloom.llm.lookup import Entries
+
+    texts = ["the cat sat on the mat", "and the rat ate the oat"] * 2 if lang == "en" else ["ana banana nab", "a", "\u0431\u0430\u043d banana"]
+    counts = written(langid.ngram_counts(spark.createDataFrame([(lang, t) for t in texts], "lang string, text string")))
+    found, langs, unseen, uniform, _ = langid.entries(counts)
+    entries = Entries.read(found.withColumn("col", F.lit(0)).toArrow())
+    models = langid.Models(langs, unseen, uniform)
+    seqs, p, letters = kneser_ney(texts)
+    for s in seqs:
+        for i in range(len(s) - 3):
+            g = s[i : i + 4]
+            key = np.array([g[0] << 48 | g[1] << 32 | g[2] << 16 | c for c in [g[3], *letters, 0x4E00]], np.uint64)
+            logs = models.log_probs(entries, key)[:, 0].astype(float)
+            assert abs(logs[0] - np.log2(p(tuple(g)))) < 1e-4
+            assert abs(np.exp2(logs[1:]).sum() - 1) < 1e-4
+            bits = models.entropies(entries, [np.array(s[2:], np.uint64)])[0, 0]
+        assert abs(bits + np.mean([np.log2(p(tuple(s[i : i + 4]))) for i in range(len(s) - 3)])) < 1e-4
 
 
 def shingle_sets(rows, size):
@@ -271,7 +312,39 @@ def test_quality_of_held_out_labels(spark):
     kept = {r.doc_id: r.kept for r in quality.judge(docs, labels).filter("not base_failed").collect()}
     for ids in (range(200, 300), range(360, 400)):
         assert np.mean([kept[i] for i in ids if i in kept]) >= 0.9
-    assert quality.ratios(np.array([5.0, 5.0]), np.array([0.0, 3.0]), 10.0, 3.0)[0] == 0
+
+
+def test_quality_ratio_by_brute_force(spark):
+    """Scores by dictionaries over the n-grams themselves (few enough to have a bucket each); the joined way gives the same."""
+    import math
+    from collections import Counter
+
+    from texloom.llm import quality
+
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcdefgh" if k % 3 else "ghijklm") for _ in range(rng.randrange(10, 40))) for k in range(60)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(0, 60, 2)] + [(None, 1, 0), (999, 1, 0)], "doc_id long, quality int, toxic int")
+    trusted = {i for i in range(0, 60, 2) if i % 3}
+    grams = [Counter([(w,) for w in (t or "").split()] + list(zip((t or "").split(), (t or "").split()[1:]))) for t in texts]
+    raw, good = sum(grams, Counter()), sum((grams[i] for i in trusted), Counter())
+
+    def score(i, own):
+        n = sum(grams[i].values())
+        share = (sum(good.values()) - n * own) / (sum(raw.values()) - n)
+        s = quality.SMOOTHING
+        return sum(k * math.log((good[g] - k * own + s * share) / ((raw[g] - k + s) * share)) for g, k in grams[i].items()) / n
+
+    lows = sorted(score(i, True) for i in trusted)
+    rank = quality.TRIM * (len(lows) - 1)
+    threshold = lows[0] + rank * (lows[1] - lows[0]) - quality.MARGIN
+    got = {r.doc_id: r for r in quality.judge(docs, labels).collect()}
+    for i, t in enumerate(texts):
+        assert (got[i].score is None) == (not t)
+        if t:
+            assert abs(got[i].score - score(i, False)) < 2e-6
+            assert got[i].base_failed or got[i].kept == (score(i, False) >= threshold)
+    same([tuple(r) for r in quality.judge(docs, labels, bound=0).collect()], [tuple(r) for r in got.values()])
 
 
 def test_top_k(spark):

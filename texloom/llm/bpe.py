@@ -31,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import distinct, prefix_sums, slices, window_hashes
+from .common import distinct, prefix_sums, released, slices, window_hashes
 from .pretoken import pieces
 
-FOLD_BYTES, DICTIONARY_WORDS, MOST_RANKS = 64, 300_000, 0xD800
+FOLD_BYTES, DICTIONARY_WORDS, MOST_RANKS = 64, 150_000, 0xD800
 
 
 @lru_cache(maxsize=4)
@@ -157,7 +157,7 @@ def _number(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
 
 def numbered_words(docs: DataFrame, path: str) -> DataFrame:
     """Step 1."""
-    return docs.select("doc_id", "text").mapInArrow(lambda b: _number(b, path), "doc_id long, words array<int>, fresh boolean, new array<string>, merges array<array<int>>, long array<binary>")
+    return docs.select("doc_id", "text").mapInArrow(released(lambda batches: _number(batches, path)), "doc_id long, words array<int>, fresh boolean, new array<string>, merges array<array<int>>, long array<binary>")
 
 
 def coded_words(docs: DataFrame, path: str) -> DataFrame:
@@ -189,6 +189,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def batch(rows: list[tuple[int | None, list[int]]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([len(r[1]) for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], schema=schema)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: list[list[int]] = []
         rows: list[tuple[int | None, list[int]]] = []
@@ -213,6 +214,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 def decode(tokens: DataFrame, path: str) -> DataFrame:
     """doc_id and the bytes of each row's ids: binary pieces laid end to end (an id without a piece adds nothing)."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = {rank: token for token, rank in ranks_of(path).items()}
         for batch in batches:
@@ -228,6 +230,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     A word's ids are written, and its tokens' bytes concatenated, once per dictionary; a document joins those."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = {rank: token for token, rank in ranks_of(path).items()}
         digits = {rank: b"%d" % rank for rank in piece}

@@ -1,10 +1,11 @@
 """Quality rules: base counts of each text, and a hashed n-gram log-likelihood ratio of trusted against raw text.
 
-Two multinomials over `BUCKETS` hashed unigrams and bigrams: the raw one from every document, the trusted one from up to
-`MAX_TRUSTED` labelled rows (those of the smallest hash; the bound makes their ids safe to broadcast). A text's verdict is
-the mean of log(trusted / raw) over its n-grams against a threshold learned from the same labelled rows: the lowest score
-but for `TRIM` of them, less `MARGIN`, where each row's own n-grams are left out of the trusted counts that score it. A
-bucket that no trusted row has says nothing and counts as 0.
+Two multinomials over hashed unigrams and bigrams: the raw one from every document, the trusted one from every document
+labelled good. The number of buckets follows the size of the corpus (`BYTES_PER_BUCKET`), so that a bucket mixes as many
+n-grams at any size. A text's verdict is the mean of log(trusted / raw) over its n-grams against a threshold learned from
+the labelled rows: the lowest score but for `TRIM` of them, less `MARGIN`. A row's own n-grams are always left out of the
+raw counts that score it, and of the trusted ones where the threshold is set. Smoothing by `SMOOTHING` expected n-grams keeps buckets with little evidence near 0. The
+counts are a table of entries; lookup.py says how texts are scored with it when it gets too large to be sent to every task.
 
 Results: a null or empty text has no words, fails the base rules and has score null; ties with the threshold are kept;
 repeated rows and null ids each give a row; extra columns are not read; without labels every ratio is 0 and the base rules
@@ -13,26 +14,35 @@ decide alone; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import combine, joined, mix, per_document, slices, texts_of, words_of
+from .common import combine, drop_written, joined, mix, per_document, released, slices, texts_of, words_of, written
+from .lookup import BROADCAST_ENTRIES, Asked, Entries, Model, Tally
 
-BUCKETS, MAX_TRUSTED, TRIM, MARGIN, SMOOTHING = 1 << 16, 20_000, 0.002, 0.02, 1.0
+BYTES_PER_BUCKET, MIN_BITS, TRIM, MARGIN, SMOOTHING, BROADCAST_LABELS = 8192, 16, 0.002, 0.02, 20.0, 4_000_000
 MIN_WORDS, WINDOW, MAX_REPEATED = 10, 5, 20
+COUNTS, RAW, GOOD = 0, 0, 1
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
 
-def ngram_buckets(hashes: np.ndarray) -> np.ndarray:
+def ngram_buckets(hashes: np.ndarray, bits: int) -> np.ndarray:
     """Buckets of a text's words and of its pairs of neighbours."""
-    pairs = combine(hashes[:-1], hashes[1:])
-    return (np.concatenate([mix(hashes), pairs]) % np.uint64(BUCKETS)).astype(np.int64)
+    return np.concatenate([mix(hashes), combine(hashes[:-1], hashes[1:])]) & np.uint64((1 << bits) - 1)
+
+
+def bucket_bits(docs: DataFrame) -> int:
+    """Bits of a bucket's number: the least at which a bucket stands for at most `BYTES_PER_BUCKET` bytes of text."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(MIN_BITS, (size // BYTES_PER_BUCKET).bit_length())
 
 
 def base_counts(data: bytes, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[int, int, int, int]:
@@ -70,108 +80,115 @@ def _texts(part: pa.RecordBatch) -> Iterator[tuple[bytes, np.ndarray, np.ndarray
         yield text or b"", starts[cut] - offsets[i], ends[cut] - offsets[i], hashes[cut]
 
 
-def trusted_rows(labels: DataFrame, limit: int = MAX_TRUSTED) -> DataFrame:
-    """At most `limit` ids of rows labelled good, chosen by their hash alone."""
-    good = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-
-
-def bucket_counts(docs: DataFrame, trusted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of each bucket over all documents and over the trusted ones: one pass, pre-aggregated in each task."""
-    marked = docs.select("doc_id", "text").join(F.broadcast(trusted.withColumn("good", F.lit(True))), "doc_id", "left")
+def bucket_counts(docs: DataFrame, good: DataFrame, bits: int) -> DataFrame:
+    """bucket, raw and good: counts over all documents and over those whose doc_id is in `good`, in one pass."""
+    marked = docs.select("doc_id", "text").join(good.withColumn("good", F.lit(True)), "doc_id", "left")
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        tally = Tally(1_000_000)
         for part in slices(batches):
+            found: dict[str, list[np.ndarray]] = {"raw": [], "good": []}
             for mark, (_, _, _, hashes) in zip(part.column("good").to_pylist(), _texts(part), strict=True):
                 if len(hashes):
-                    counts = np.bincount(ngram_buckets(hashes), minlength=BUCKETS) if len(hashes) > 4096 else None
-                    for total in (raw, good) if mark else (raw,):
-                        if counts is None:
-                            np.add.at(total, ngram_buckets(hashes), 1)
-                        else:
-                            total += counts
-        used = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(raw[used]), pa.array(good[used])], ["bucket", "raw", "good"])
-
-    counts = marked.mapInArrow(run, "bucket long, raw long, good long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
-    raw, good = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for r in counts.toLocalIterator():  # at most BUCKETS rows
-        raw[r.bucket], good[r.bucket] = r.raw, r.good
-    return raw, good
-
-
-def ratios(raw: np.ndarray, good: np.ndarray, raw_sum: float, good_sum: float) -> np.ndarray:
-    """log(trusted / raw) of buckets by their counts and the sums over all buckets, smoothed; 0 where nothing is trusted."""
-    smooth = SMOOTHING * raw_sum / BUCKETS / max(raw_sum / max(good_sum, 1.0), 1.0)
-    prior = (raw + SMOOTHING) / (raw_sum + SMOOTHING * BUCKETS)
-    trusted = (good + smooth * BUCKETS * prior) / max(good_sum + smooth * BUCKETS, 1.0)  # smoothed towards raw
-    return np.where(good > 0, np.log(np.where(good > 0, trusted, prior) / prior), 0).astype(np.float32)
-
-
-def scores_without_own(docs: DataFrame, raw: np.ndarray, good: np.ndarray) -> DataFrame:
-    """The score of each trusted row of at least `MIN_WORDS` words, its own n-grams left out of the trusted counts."""
-    raw_sum, good_sum = raw.sum(), good.sum()
-    shared = docs.sparkSession.sparkContext.broadcast((raw, good))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, good = shared.value
-        for part in slices(batches):
-            out = []
-            for _, _, _, hashes in _texts(part):
-                if len(hashes) >= MIN_WORDS:
-                    used, own = np.unique(ngram_buckets(hashes), return_counts=True)
-                    table = ratios(raw[used], good[used] - own, raw_sum, good_sum - own.sum())
-                    out.append(float((table * own).sum(dtype=np.float64) / own.sum()))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64())], ["score"])
-
-    return docs.select("text").mapInArrow(run, "score double")
-
-
-def scored(docs: DataFrame, table: np.ndarray) -> DataFrame:
+                    found["good" if mark else "raw"].append(ngram_buckets(hashes, bits))
+            for group, keys in found.items():
+                if keys:
+                    tally.add(group, np.concatenate(keys))
+            if tally.full():
+                yield from tally.rows(("part", "bucket", "n"))
+        yield from tally.rows(("part", "bucket", "n"))
+
+    counts = marked.mapInArrow(run, "part string, bucket long, n long")
+    return counts.groupBy("bucket").agg(F.sum("n").alias("raw"), F.sum(F.when(F.col("part") == "good", F.col("n")).otherwise(0)).alias("good"))
+
+
+def ratios(raw: np.ndarray, good: np.ndarray, share: float) -> np.ndarray:
+    """log(trusted / raw) by counts, smoothed towards 0; `share` is the trusted part of all n-grams."""
+    return np.log((good + SMOOTHING * share) / ((raw + SMOOTHING) * share)) if share > 0 else np.zeros(len(raw))
+
+
+def asked(part: pa.RecordBatch, bits: int) -> Asked:
+    keys = [ngram_buckets(hashes, bits) for _, _, _, hashes in _texts(part) if len(hashes)]
+    return {COUNTS: np.unique(np.concatenate(keys))} if keys else {}
+
+
+@dataclass
+class Judge:
+    bits: int
+    total: int  # n-grams of all documents, and of the trusted ones
+    trusted: int
+    threshold: float = 0.0
+
+    def score_of(self, hashes: np.ndarray, entries: Entries, labelled: bool = False) -> float | None:
+        """The mean ratio of a text's n-grams, null without words. A text says nothing about itself: its own n-grams are left
+        out of the raw counts, and of the trusted ones if it is `labelled` good."""
+        if not len(hashes):
+            return None
+        used, own = np.unique(ngram_buckets(hashes, self.bits), return_counts=True)
+        both = np.zeros((len(used), 2))
+        rows, cols, values = entries.find(COUNTS, used)
+        both[rows, cols] = values
+        n = own.sum()
+        share = (self.trusted - n * labelled) / max(self.total - n, 1)
+        return round(float((ratios(np.maximum(both[:, RAW] - own, 0), both[:, GOOD] - own * labelled, share) * own).sum() / n), 6)
+
+
+def over(docs: DataFrame, model: Model, bits: int, answer: Callable[[pa.RecordBatch, Entries], pa.RecordBatch], schema: str | StructType) -> DataFrame:
+    return model.score(docs, lambda part: asked(part, bits), answer, schema)
+
+
+def learned(docs: DataFrame, labels: DataFrame, bound: int = BROADCAST_ENTRIES) -> tuple[Judge, Model]:
+    """What judges, and the raw and trusted counts of each bucket."""
+    bits = bucket_bits(docs)
+    good = written(labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct())
+    marks = F.broadcast(good) if good.count() <= BROADCAST_LABELS else good
+    counts = written(bucket_counts(docs, marks, bits))
+    total, trusted = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
+    cells = F.array(F.struct(F.lit(RAW).alias("col"), F.col("raw").cast("double").alias("value")), F.struct(F.lit(GOOD).alias("col"), F.col("good").cast("double").alias("value")))
+    model = Model(written(counts.select(F.lit(COUNTS).alias("kind"), F.col("bucket").alias("gram"), F.inline(cells))), bound)
+    out = Judge(bits, total, trusted)
+
+    def answer(part: pa.RecordBatch, entries: Entries) -> pa.RecordBatch:
+        scores = [out.score_of(hashes, entries, True) for _, _, _, hashes in _texts(part) if len(hashes) >= MIN_WORDS]
+        return pa.RecordBatch.from_arrays([pa.array(scores, pa.float64())], ["score"])
+
+    own = docs.select("doc_id", "text").join(marks, "doc_id", "left_semi")
+    low = over(own, model, bits, answer, "score double").agg(F.percentile("score", F.lit(TRIM)).alias("low")).first().low
+    drop_written(good, counts)
+    out.threshold = (low if low is not None else 0.0) - MARGIN
+    return out, model
+
+
+def scored(docs: DataFrame, judge: Judge, model: Model) -> DataFrame:
     """The base counts and the score of each row."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("score", pa.float64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            rows = []
-            for text, starts, ends, hashes in _texts(part):
-                score = round(float(table[ngram_buckets(hashes)].mean(dtype=np.float64)), 9) if len(hashes) else None
-                rows.append((len(hashes), *base_counts(text, starts, ends, hashes), score))
-            columns = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:], strict=True))], schema=schema)
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double")
-
+    def answer(part: pa.RecordBatch, entries: Entries) -> pa.RecordBatch:
+        rows = [(len(hashes), *base_counts(text, starts, ends, hashes), judge.score_of(hashes, entries)) for text, starts, ends, hashes in _texts(part)]
+        return pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *(pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(schema)[1:], strict=True))], schema=schema)
 
-def learned(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
-    """The table of ratios and the threshold."""
-    trusted = trusted_rows(labels)
-    raw, good = bucket_counts(docs, trusted)
-    own = docs.select("doc_id", "text").join(F.broadcast(trusted), "doc_id", "left_semi")
-    low = scores_without_own(own, raw, good).agg(F.percentile("score", F.lit(TRIM)).alias("low")).first().low
-    return ratios(raw, good, raw.sum(), good.sum()), (low if low is not None else 0.0) - MARGIN
+    return over(docs.select("doc_id", "text"), model, judge.bits, answer, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double")
 
 
 def kept_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs`, with all their columns, that the rules and the ratio keep."""
-    table, threshold = learned(docs, labels)
+    judge, model = learned(docs, labels)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            keep = []
-            for text, starts, ends, hashes in _texts(part):
-                n = len(hashes)
-                good = n >= MIN_WORDS and round(float(table[ngram_buckets(hashes)].mean(dtype=np.float64)), 9) >= threshold
-                keep.append(good and 100 * base_counts(text, starts, ends, hashes)[3] <= MAX_REPEATED * n)
-            yield part.filter(pa.array(keep, pa.bool_()))
+    def answer(part: pa.RecordBatch, entries: Entries) -> pa.RecordBatch:
+        keep = []
+        for text, starts, ends, hashes in _texts(part):
+            n = len(hashes)
+            good = n >= MIN_WORDS and judge.score_of(hashes, entries) >= judge.threshold
+            keep.append(good and 100 * base_counts(text, starts, ends, hashes)[3] <= MAX_REPEATED * n)
+        return part.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return over(docs, model, judge.bits, answer, docs.schema)
 
 
-def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, bound: int = BROADCAST_ENTRIES) -> DataFrame:
     """Base counts, score, base_failed and kept of every row of `docs` (doc_id, text); labels: doc_id, quality."""
-    table, threshold = learned(docs, labels)
-    out = scored(docs, table)
+    found, model = learned(docs, labels, bound)
+    out = scored(docs, found, model)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.coalesce("score", F.lit(0.0)) >= threshold))
+    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.coalesce("score", F.lit(0.0)) >= found.threshold))

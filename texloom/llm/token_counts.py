@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import released, slices
 from .pretoken import pattern_for
 
 CHUNK_CHARS, OVERLAP_CHARS, CACHE_PIECES = 32_768, 512, 400_000
@@ -107,6 +107,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, chunk_chars: int = CHUNK_
     """doc_id, n_bytes (UTF-8), n_tokens, n_chunks and n_widened of each row of `docs` (doc_id, text)."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("n_chunks", pa.int32()), ("n_widened", pa.int32())])
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(tokenizer_path)
         for part in slices(batches):
