@@ -15,7 +15,7 @@ from texloom.llm import bpe, common, langid, minhash, mixing, quality
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects what no learned language explains, texts without a letter among them."""
-    return langid.accepted_rows(docs, langid.learn(docs.filter(~langid.held_out())))
+    return langid.accepted_rows(docs, *langid.learn(docs.filter(~langid.held_out())))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,6 +46,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for _, stage in STAGES[:-1]:
         docs = common.written(stage(spark, docs, sf_dir))
+        if before is not None:
+            common.drop_written(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
