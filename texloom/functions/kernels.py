@@ -81,9 +81,9 @@ def convert(raster: np.ndarray, source: str, channels: str, precision: str) -> n
     now = {np.dtype(np.uint8): "u8", np.dtype(np.uint16): "u16"}.get(raster.dtype, "f32")
     if now != precision:
         if now == "u8" and precision == "u16":
-            raster = raster.astype(np.uint16) * np.uint16(257)
+            raster = scaled(raster, 8, 16).astype(np.uint16)
         elif now == "u16" and precision == "u8":
-            raster = ((raster.astype(np.uint32) * 255 + 32895) >> 16).astype(np.uint8)
+            raster = scaled(raster, 16, 8).astype(np.uint8)
         else:
             raster = real(np.nan_to_num(unit(raster)), precision) if precision != "f32" else unit(raster).astype(np.float32)
     if source == channels:

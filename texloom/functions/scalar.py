@@ -1,7 +1,7 @@
 """Scalar number formats of pixels as Column expressions, in integer arithmetic where the formats define one.
 
-Names read from-to: n5 is a 5-bit UNORM number, s8 an 8-bit SNORM one, f32 a float. Multiply-add constants replace a rounded
-division and give exactly the rounded real value over the whole domain; products need 64 bits, so columns are cast to long.
+Names read from-to: n5 is a 5-bit UNORM number, s8 an 8-bit SNORM one, f32 a float. Widening is a
+rounded integer division; products need 64 bits, so columns are cast to long.
 """
 
 from __future__ import annotations
@@ -26,19 +26,14 @@ def bits(x: Column, at: int, n: int) -> Column:
     return shr(x, at).bitwiseAND((1 << n) - 1)
 
 
-# Fixed values: (multiplier, addend, shift) of x -> round(x * target / source) for UNORM widths.
-EXPAND = {
-    (5, 8): (2108, 92, 8), (5, 16): (138547200, 0, 16), (6, 8): (1036, 132, 8), (6, 16): (68173056, 30976, 16),
-    (10, 8): (16336, 32656, 16), (10, 16): (4198340, 32660, 16), (16, 8): (255, 32895, 16),
-    (1, 8): (255, 0, 0), (1, 16): (65535, 0, 0), (2, 8): (85, 0, 0), (2, 16): (21845, 0, 0), (4, 8): (17, 0, 0), (4, 16): (4369, 0, 0), (8, 16): (257, 0, 0), (8, 8): (1, 0, 0), (16, 16): (1, 0, 0),
-}
+def rounded(x: Column, top: int, source: int) -> Column:
+    """round(x * top / source) of integers, halves up."""
+    return F.call_function("div", _l(x) * (2 * top) + source, F.lit(2 * source).cast("long"))
 
 
 def unorm(x: Column, source: int, target: int) -> Column:
     """An n-bit UNORM number as 8 or 16 bits."""
-    m, a, s = EXPAND[source, target]
-    out = _l(x) * m + a
-    return shr(out, s) if s else out
+    return rounded(x, (1 << target) - 1, (1 << source) - 1)
 
 
 def clamp01(x: Column) -> Column:
@@ -59,13 +54,11 @@ def snorm_code(x: Column, width: int) -> Column:
 
 
 def snorm8(x: Column, target: int) -> Column:
-    n = snorm_code(x, 8)
-    return shr(n * 258 + 2, 8) if target == 8 else F.floor((n * 65535 * 2 + 254) / F.lit(508.0)).cast("long")
+    return rounded(snorm_code(x, 8), (1 << target) - 1, 254)
 
 
 def snorm16(x: Column, target: int) -> Column:
-    n = snorm_code(x, 16)
-    return F.floor((n * ((1 << target) - 1) * 2 + 65534) / F.lit(131068.0)).cast("long")
+    return rounded(snorm_code(x, 16), (1 << target) - 1, 65534)
 
 
 def to_snorm(x: Column, width: int) -> Column:
@@ -79,7 +72,7 @@ def to_snorm(x: Column, width: int) -> Column:
 def xr10(x: Column, target: int) -> Column:
     """Biased 2.8 fixed point, clamped to the unit range."""
     n = F.least(F.greatest(_l(x) - 384, F.lit(0).cast("long")), F.lit(510).cast("long"))
-    return shr(n + 1, 1) if target == 8 else F.floor((n * 65535 * 2 + 510) / F.lit(1020.0)).cast("long")
+    return rounded(n, (1 << target) - 1, 510)
 
 
 # Channel conversion: what each set of channels shows of a pixel (r, g, b, a), with ONE for alpha and ZERO for colour that is missing.

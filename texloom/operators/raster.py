@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from texloom.functions import bc_tables
 from texloom.functions import scalar as S
 
 # Channels of packed formats from the lowest bit up: (channel, bits).
@@ -66,7 +67,7 @@ def fragments(pixels: DataFrame, rows: int) -> DataFrame:
 def gather(parts: DataFrame, keys: list[str], order: str, data: Column) -> DataFrame:
     """Pieces of binary laid end to end in order, by key."""
     held = parts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), data.alias("d")))).alias("all"))
-    return held.select(*keys, F.unhex(F.array_join(F.transform("all", lambda s: F.hex(s["d"])), "")).alias("data"))
+    return held.select(*keys, F.aggregate("all", F.lit(b""), lambda a, s: F.concat(a, s["d"])).alias("data"))
 
 
 def chroma_420(yuv: DataFrame) -> DataFrame:
@@ -104,10 +105,10 @@ def _bayer(n: int) -> list[list[int]]:
 
 
 def pack_r1(pixels: DataFrame, channel: str) -> DataFrame:
-    """One bit a pixel, eight a byte from the high bit, by an 8 x 8 ordered dither."""
+    """One bit a pixel, eight a byte from the high bit, by an 8 x 8 ordered dither: on from v + m / 64 - 1/2 >= 1/2 on."""
     matrix = F.array(*(F.lit(v) for row in _bayer(3) for v in row))
     at = (F.pmod("y", F.lit(8)) * 8 + F.pmod("x", F.lit(8))).cast("int")
-    on = F.col(channel) * 64 > F.get(matrix, at) * 255 + 127
+    on = F.col(channel) * 64 >= (64 - F.get(matrix, at)) * 255
     bit = F.when(on, F.call_function("shiftleft", F.lit(1), (7 - F.pmod("x", F.lit(8))).cast("int"))).otherwise(0)
     return pixels.groupBy("y", F.floor(F.col("x") / 8).cast("long").alias("byte_x")).agg(F.sum(bit).cast("long").alias("packed"))
 
@@ -149,10 +150,14 @@ def psnr(a: Column, b: Column) -> Column:
 
 
 def region_error(pixels: DataFrame, a: str, b: str) -> DataFrame:
-    """Mean over 4 x 4 regions of the absolute difference of means (partial regions count as regions)."""
+    """Mean over the whole 4 x 4 regions of the absolute difference of means; the count of regions is width / 4 * height / 4
+    in integers from the left, as the published quality tables have it."""
+    size = pixels.agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
     cell = [F.floor(F.col(c) / 4).cast("long") for c in "xy"]
-    each = pixels.groupBy(cell[0].alias("bx"), cell[1].alias("by")).agg(F.sum(a).alias("s1"), F.sum(b).alias("s2"), F.count("*").alias("n"))
-    return each.agg(F.round(F.sum(F.abs(F.col("s1") - F.col("s2")) / F.col("n")) / F.count("*"), 6).alias("region_error"))
+    each = pixels.groupBy(cell[0].alias("bx"), cell[1].alias("by")).agg(F.sum(a).alias("s1"), F.sum(b).alias("s2"))
+    whole = each.join(F.broadcast(size), (F.col("bx") * 4 + 4 <= F.col("w")) & (F.col("by") * 4 + 4 <= F.col("h")))  # one row
+    total = whole.agg(F.sum(F.abs(F.col("s1") - F.col("s2")) / 16).alias("e"), F.max("w").alias("w"), F.max("h").alias("h"))
+    return total.select(F.round(F.col("e") / F.floor(F.floor(F.col("w") / 4) * F.col("h") / 4), 6).alias("region_error"))
 
 
 def blur_row(pixels: DataFrame, channel: str) -> DataFrame:
@@ -194,3 +199,17 @@ def byte_histogram(data: DataFrame) -> DataFrame:
 def block_stats(pixels: DataFrame, keys: list[str]) -> DataFrame:
     """Extremes, opacity and distinct colours of each block."""
     return pixels.groupBy(*keys).agg(F.min("r").alias("min_r"), F.max("r").alias("max_r"), F.min("a").alias("min_a"), F.every(F.col("a") == 255).alias("opaque"), F.count_distinct(F.struct("r", "g", "b")).cast("long").alias("n_colors"))
+
+
+def top_partitions(pixels: DataFrame, block: str, k: int) -> DataFrame:
+    """block, part, rank, error: of the 64 partitions into two subsets the k with the least squared distance of the colours
+    (r, g, b) from the mean of their subset; ties go to the smaller number. `pixels` has block, i (0 to 15), r, g, b."""
+    spark = pixels.sparkSession
+    table = spark.createDataFrame([(i, [int(row[i]) for row in bc_tables.TWO]) for i in range(16)], "i long, subs array<int>")
+    each = pixels.join(F.broadcast(table), "i").select(block, "r", "g", "b", F.posexplode("subs").alias("part", "sub"))
+    square = sum(F.col(c) * F.col(c) for c in "rgb")
+    sums = each.groupBy(block, "part", "sub").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in "rgb"), F.sum(square).alias("q"))
+    error = F.col("q") - sum(F.col(c) * F.col(c) for c in "rgb") / F.col("n")
+    errors = sums.groupBy(block, "part").agg(F.round(F.sum(error), 6).alias("error"))
+    rank = F.row_number().over(Window.partitionBy(block).orderBy("error", "part"))
+    return errors.select(block, F.col("part").cast("long").alias("part"), rank.cast("long").alias("rank"), "error").filter(F.col("rank") <= k)

@@ -12,11 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """x, y, r, g, b, a (8 bits): one surface of width 100."""
+def pixels(spark: SparkSession, sf_dir: str, width: int = WIDTH) -> DataFrame:
+    """x, y, r, g, b, a (8 bits): one surface."""
     ev = table(spark, sf_dir, "events").select("event_id", "value", "user_id", "event_type")
     return ev.select(
-        (F.col("event_id") % WIDTH).alias("x"), F.floor(F.col("event_id") / WIDTH).cast("long").alias("y"),
+        (F.col("event_id") % width).alias("x"), F.floor(F.col("event_id") / width).cast("long").alias("y"),
         F.floor(F.least(F.col("value") / 500, F.lit(1.0)) * 255 + 0.5).cast("long").alias("r"), ((F.col("event_id") * 37) % 256).alias("g"),
         (F.col("user_id") % 256).alias("b"), F.when(F.col("event_type") == "error", 0).otherwise(255).cast("long").alias("a"),
     )
@@ -38,6 +38,13 @@ BLOCKS_SQL = """dg AS (SELECT doc_id, k, md5(concat(doc_id, '-', k)) AS digest F
 bl AS (SELECT doc_id, k, list_transform(range(16), lambda j: CAST(concat('0x', substr(digest, CAST(2 * j + 1 AS INTEGER), 2)) AS BIGINT)) AS block FROM dg)"""
 
 
+def block_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, k, data: the same 16 bytes as binary."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
+    digest = F.md5(F.concat_ws("-", F.col("doc_id").cast("string"), F.col("k").cast("string")).cast("binary"))
+    return docs.select("doc_id", F.col("k").cast("long").alias("k"), F.unhex(digest).alias("data"))
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, i, r, g, b, a: each embedding as a block of 16 pixels of 8 bits."""
     emb = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.sequence(F.lit(0), F.lit(15))).alias("i", "_n"), "embedding")

@@ -1,15 +1,19 @@
 """Texture container headers as DataFrames: read raw words, parse strictly or permissively, repair, write.
 
-Everything is Column expressions over the first 148 bytes of `content`; bad files become rows with an `error`, they never
-fail the job. Flag values are those of the public DDS header documentation.
+The words of the first 148 bytes are read batch by batch, all else is Column expressions over them; bad files become rows
+with an `error`, they never fail the job. Flag values are those of the public DDS header documentation.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from texloom.functions import formats as dims
 from texloom.operators import layout
@@ -46,23 +50,30 @@ def _swapped(digits: Column) -> Column:
     return F.concat(*(digits.substr(i, 2) for i in (7, 5, 3, 1)))
 
 
-def u32(content: Column, offset: Column) -> Column:
-    """The little-endian word at a byte offset; null beyond the end."""
-    part = content.substr(offset + 1, F.lit(4))
-    return F.when((offset >= 0) & (F.length(part) == 4), F.conv(_swapped(F.hex(part)), 16, 10).cast("long"))
-
-
 def raw_words(files: DataFrame, options: ParseOptions = ParseOptions()) -> DataFrame:
-    """`files` with a column for each word of the header, and the extension's words where it has one (else null)."""
+    """`files` with a column for each word of the header, and the extension's words where it has one (else null).
+
+    One view of each batch's first bytes as little-endian words: the columns are plain ones for whatever is built on them.
+    Words beyond the end of the content are null."""
     base = 0 if options.skip_magic else 4
+    names = [*WORDS, *DX10_WORDS]
+    length = base + 4 * len(names)
     own = [c for c in files.columns if c != "content"]
-    # one array of words, so that the byte arithmetic is written once and not for each column
-    every = F.transform(F.sequence(F.lit(0), F.lit(len(WORDS) + len(DX10_WORDS))), lambda i: u32(F.col("content"), (i - 1) * 4 + base))
-    magic = F.lit(MAGIC) if options.skip_magic else u32(F.col("content"), F.lit(0))
-    at = {w: F.get("words", i + 1) for i, w in enumerate([*WORDS, *DX10_WORDS])}
-    found = files.select(*own, magic.cast("long").alias("magic"), every.alias("words"))
-    extended = (at["pf_flags"].bitwiseAND(PF_FOURCC) != 0) & (at["four_cc"] == DX10)
-    return found.select(*own, "magic", *(at[w].alias(w) for w in WORDS), *(F.when(extended, at[w]).alias(w) for w in DX10_WORDS), extended.alias("has_dx10"))
+    schema = StructType([files.schema[c] for c in own] + [StructField(c, LongType()) for c in ("magic", *names)] + [StructField("has_dx10", BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads = [x or b"" for x in batch.column("content").to_pylist()]
+            table = np.frombuffer(b"".join(x[:length].ljust(length, b"\0") for x in heads), "<u4").reshape(len(heads), length // 4).astype(np.int64)
+            there = np.minimum(np.array([len(x) for x in heads], np.int64), length)[:, None] >= 4 * np.arange(1, length // 4 + 1)
+            magic = pa.array(np.full(len(heads), MAGIC)) if options.skip_magic else pa.array(table[:, 0], mask=~there[:, 0])
+            table, there = table[:, base // 4 :], there[:, base // 4 :]
+            at = {w: i for i, w in enumerate(names)}
+            extended = (table[:, at["pf_flags"]] & PF_FOURCC != 0) & (table[:, at["four_cc"]] == DX10) & there[:, at["four_cc"]]
+            words = [pa.array(table[:, i], mask=~(there[:, i] & (extended if w in DX10_WORDS else True))) for w, i in at.items()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), magic, *words, pa.array(extended)], [*own, "magic", *names, "has_dx10"])
+
+    return files.select(*own, F.substring("content", 1, length).alias("content")).mapInArrow(run, schema)
 
 
 def raw_bytes(word: Column) -> Column:
