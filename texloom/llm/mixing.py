@@ -1,14 +1,18 @@
 """Mixing sources to target weights: iterative proportional fitting, then sampling by calibrated probabilities.
 
-Token totals are raked to target shares of sources, languages and topics at once. A row of the fitted table is a source
-(there may be many: they stay distributed), its columns are the pairs of language and topic (bounded by `MAX_LANGS`; rarer
-languages share one column). An iteration is one narrow scale of the rows and one sum over them of the columns' totals.
-A document's probability is the lesser of 1 and its cell's weight times one factor, which bisection sets so that the
-expected tokens are `keep_share` of all; a document is drawn by a hash of its id and text, so the draw repeats.
-
-Targets are tempered shares (share ** exponent, normed), so that they follow the data's own categories; null categories
-are one more category. Results: a null or empty text weighs nothing and is kept (it costs no budget); equal rows are drawn
-alike; an empty table gives no rows; extra columns pass through `mixed` untouched.
+Token totals of cells (source, language, topic) are raked to target shares of sources, languages and topics at once: each
+step scales the cells of a category so that its expected tokens meet its target, and no probability passes 1 (a cell held
+at 1 leaves the rest to the others of its category). The budget is `keep_share` of all tokens, or less where some category
+has too few tokens for its share of that. A document is drawn with its cell's probability by a hash of its id and text, so
+the draw repeats. Up to `LOCAL_CELLS` cells (checked) are raked on the driver; more stay a table, and each step is a sum by
+category and a join. `reached` tells each category's target and what the probabilities give.
+
+Targets are shares by category for any of the three dimensions; categories that a given dimension does not list have
+share 0. A dimension without targets gets tempered shares (share ** exponent, normed) of what is there. Null categories are
+one more category, named by an empty string.
+
+Results: a null or empty text weighs nothing and is kept (it costs no budget); equal rows are drawn alike; an empty table
+gives no rows; extra columns pass; columns of `docs` named like a result are replaced in `mixed` and kept in `drawn_rows`.
 """
 
 from __future__ import annotations
@@ -17,10 +21,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop_written, written
 
-MAX_LANGS, ITERATIONS, TOLERANCE, BROADCAST_CELLS = 64, 25, 1e-4, 50_000
-TOPICS = ("notice", "table", "contact", "long", "prose")
+DIMENSIONS = ("source", "lang", "topic")
+POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.7}
+ITERATIONS, TOLERANCE, SLACK, LOCAL_CELLS, BROADCAST_CELLS = 400, 1e-7, 0.95, 100_000, 50_000
+RESULT = ("topic", "n_tokens", "probability", "drawn")
 
 
 def topic_of(text: Column) -> Column:
@@ -29,77 +35,124 @@ def topic_of(text: Column) -> Column:
     return F.when(t.contains("icense") | t.contains("ights reserved"), "notice").when(t.contains(" | "), "table").when(t.contains("@") | t.contains("://"), "contact").when(F.length(t) > 4000, "long").otherwise("prose")
 
 
-def tempered(totals: np.ndarray, exponent: float) -> np.ndarray:
-    share = np.where(totals > 0, np.maximum(totals, 1e-12) ** exponent, 0.0)
-    return share / share.sum() if share.sum() else share
-
-
-def fitted(cells: DataFrame, source_power: float, lang_power: float, topic_power: float, keep_share: float) -> DataFrame:
-    """source, lang, topic, probability from cells (source, lang, topic, tokens; categories not null)."""
-    spark = cells.sparkSession
-    langs = [r.lang for r in cells.groupBy("lang").agg(F.sum("tokens").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()]
-    names = [*sorted(langs), None]
-    columns = {(x, t): i * len(TOPICS) + j for i, x in enumerate(names) for j, t in enumerate(TOPICS)}
-    width = len(columns)
-    lang_at = F.coalesce(F.array_position(F.array(*(F.lit(x) for x in sorted(langs))), F.col("lang")), F.lit(0)).cast("int") if langs else F.lit(0)
-    slot = F.when(lang_at > 0, lang_at - 1).otherwise(len(names) - 1) * len(TOPICS) + F.array_position(F.array(*map(F.lit, TOPICS)), F.col("topic")).cast("int") - 1
-    placed = cells.select("source", "lang", "topic", "tokens", slot.cast("int").alias("slot"))
-    # a row for each source: its tokens by column
-    rows = placed.groupBy("source").agg(*(F.sum(F.when(F.col("slot") == i, F.col("tokens")).otherwise(0)).cast("double").alias(f"t{i}") for i in range(width)))
-    rows = written(rows.select("source", F.array(*(F.col(f"t{i}") for i in range(width))).alias("tokens")))
-    every = F.aggregate("tokens", F.lit(0.0), lambda a, x: a + x)
-    norm = rows.agg(F.sum(F.when(every > 0, F.pow(every, F.lit(source_power)))).alias("p"), F.sum(every).alias("n")).first()
-    if not norm.n:
-        return placed.select("source", "lang", "topic", F.lit(1.0).alias("probability"))
-    goal = F.when(every > 0, F.pow(every, F.lit(source_power)) / F.lit(float(norm.p))).otherwise(0.0)
-    rows = rows.withColumn("goal", goal)
-    totals = np.array(rows.agg(*(F.sum(F.get("tokens", i)) for i in range(width))).first(), float).reshape(len(names), len(TOPICS))
-    lang_goal, topic_goal = tempered(totals.sum(1), lang_power), tempered(totals.sum(0), topic_power)
-    by_lang, by_topic = np.ones(len(names)), np.ones(len(TOPICS))
-
-    def scale() -> tuple[Column, Column]:
-        weight = F.array(*map(F.lit, (by_lang[:, None] * by_topic[None, :]).ravel().tolist()))
-        mass = F.aggregate(F.zip_with("tokens", weight, lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x)
-        return weight, F.when(mass > 0, F.col("goal") / mass).otherwise(0.0)
-
+def goals(cells: DataFrame, targets: dict[str, dict[str, float]], powers: dict[str, float]) -> dict[str, DataFrame]:
+    """By dimension: category, n (its tokens) and share (its target), of the categories that have tokens."""
+    out = {}
+    for d in DIMENSIONS:
+        found = cells.groupBy(F.col(d).alias("category")).agg(F.sum("tokens").alias("n")).filter("n > 0")
+        if d in targets:
+            wanted = cells.sparkSession.createDataFrame([(k or "", float(v)) for k, v in targets[d].items()], "category string, weight double")
+            found = found.join(F.broadcast(wanted), "category", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+        else:
+            found = found.withColumn("weight", F.pow("n", F.lit(powers[d])))
+        whole = found.agg(F.sum("weight")).first()[0]
+        out[d] = found.select("category", "n", (F.col("weight") / F.lit(float(whole)) if whole else F.lit(0.0)).alias("share"))
+    return out
+
+
+def raked(at: list[np.ndarray], tokens: np.ndarray, shares: list[np.ndarray], budget: float) -> np.ndarray:
+    """Probabilities of the cells: `at` has each cell's category in each dimension."""
+    p = np.full(len(tokens), min(1.0, budget / tokens.sum()))
     for _ in range(ITERATIONS):
-        weight, by_source = scale()
-        sums = rows.select("tokens", by_source.alias("a")).agg(*(F.sum(F.get("tokens", i) * F.col("a")) for i in range(width))).first()
-        base = np.array(sums, float).reshape(len(names), len(TOPICS))
-        before = by_lang.copy(), by_topic.copy()
-        got = (base * by_topic).sum(1)
-        by_lang = np.where(got > 0, lang_goal / np.maximum(got, 1e-300), 0.0)
-        got = (base * by_lang[:, None]).sum(0)
-        by_topic = np.where(got > 0, topic_goal / np.maximum(got, 1e-300), 0.0)
-        change = max(np.abs(by_lang / np.where(before[0] > 0, before[0], 1) - 1)[by_lang > 0].max(), np.abs(by_topic / np.where(before[1] > 0, before[1], 1) - 1)[by_topic > 0].max())
+        change = 0.0
+        for category, share in zip(at, shares, strict=True):
+            got = np.bincount(category, tokens * p, len(share))
+            factor = np.where(got > 0, budget * share / np.maximum(got, 1e-300), 0.0)
+            after = np.minimum(1.0, p * factor[category])
+            change = max(change, float(np.abs(after - p).max(initial=0.0)))
+            p = after
         if change < TOLERANCE:
             break
-    weight, by_source = scale()
-    exploded = rows.select("source", F.posexplode(F.arrays_zip("tokens", weight.alias("w"))).alias("slot", "cell"), by_source.alias("a"))
-    weights = written(exploded.select("source", "slot", F.col("cell.tokens").alias("tokens"), (F.col("a") * F.col("cell.w")).alias("weight")).filter("tokens > 0"))
-    # one factor for all cells: bisection on its logarithm, 16 candidates in each pass over the cells
-    low, high, target = -10.0, 60.0, keep_share * float(norm.n)
-    for _ in range(8):
-        steps = np.linspace(low, high, 18)[1:-1]
-        kept = weights.agg(*(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("weight") * F.lit(float(np.exp(s))))) for s in steps)).first()
-        under = [k for k, v in enumerate(kept) if v < target]
-        low, high = (steps[under[-1]] if under else low), (steps[under[-1] + 1] if under and under[-1] + 1 < len(steps) else high if under else steps[0])
-    chance = F.least(F.lit(1.0), F.col("weight") * F.lit(float(np.exp(high))))
-    return placed.join(weights.select("source", "slot", chance.alias("probability")), ["source", "slot"], "left").select("source", "lang", "topic", F.round(F.coalesce("probability", F.lit(1.0)), 9).alias("probability"))
-
-
-def mixed(docs: DataFrame, source_power: float = 0.5, lang_power: float = 0.7, topic_power: float = 0.7, keep_share: float = 0.8) -> DataFrame:
-    """`docs` (doc_id, text, lang, source, ...) with topic, n_tokens, probability and drawn."""
-    own = docs.columns
+    return p
+
+
+def fitted(cells: DataFrame, targets: dict[str, dict[str, float]], powers: dict[str, float], keep_share: float, local: int = LOCAL_CELLS) -> DataFrame:
+    """source, lang, topic, tokens, probability from a written table of cells (source, lang, topic, tokens)."""
+    spark = cells.sparkSession
+    total = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    if not total:
+        return cells.withColumn("probability", F.lit(1.0))
+    goal = goals(cells, targets, powers)
+    # a category can give no more than it has, and near that the steps close in slowly
+    room = min(x for x in (g.filter("share > 0").agg(F.min(F.col("n") / F.col("share"))).first()[0] for g in goal.values()) if x is not None)
+    budget = min(keep_share * total, SLACK * room)
+    used = cells.filter("tokens > 0")
+    if used.count() <= local:
+        rows = used.toArrow().to_pylist()
+        at, shares = [], []
+        for d in DIMENSIONS:
+            share = {r.category: r.share for r in goal[d].collect()}
+            names = {c: i for i, c in enumerate(sorted(share))}
+            at.append(np.array([names[r[d]] for r in rows]))
+            shares.append(np.array([share[c] for c in sorted(share)]))
+        p = raked(at, np.array([r["tokens"] for r in rows], float), shares, budget)
+        out = spark.createDataFrame([(r["source"], r["lang"], r["topic"], float(x)) for r, x in zip(rows, p, strict=True)], "source string, lang string, topic string, p double")
+    else:
+        out, last = used.withColumn("p", F.lit(min(1.0, budget / total))), []
+        kept = {d: written(g) for d, g in goal.items()}
+        for _ in range(ITERATIONS):
+            before, made = out, []
+            for d in DIMENSIONS:
+                got = out.groupBy(F.col(d).alias("category")).agg(F.sum(F.col("tokens") * F.col("p")).alias("got"))
+                factor = got.join(kept[d], "category").select(F.col("category").alias(d), F.when(F.col("got") > 0, F.lit(budget) * F.col("share") / F.col("got")).otherwise(0.0).alias("factor"))
+                out = written(out.join(factor, d).select(*DIMENSIONS, "tokens", F.least(F.lit(1.0), F.col("p") * F.col("factor")).alias("p")))
+                made.append(out)
+            moved = out.join(before.select(*DIMENSIONS, F.col("p").alias("was")), list(DIMENSIONS)).agg(F.max(F.abs(F.col("p") - F.col("was")))).first()[0]
+            drop_written(*last, *made[:-1])
+            last = [out]
+            if moved < TOLERANCE:
+                break
+        drop_written(*kept.values())
+        out = out.drop("tokens")
+    return cells.join(out, list(DIMENSIONS), "left").select(*DIMENSIONS, "tokens", F.when(F.col("tokens") > 0, F.round("p", 9)).otherwise(1.0).alias("probability"))
+
+
+def _key(c: str) -> Column:
+    return F.coalesce(F.col(c), F.lit(""))
+
+
+def _facts(docs: DataFrame) -> DataFrame:
+    """`docs` as one struct, with what is raked of each row."""
     word = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     draw = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11) / F.lit(float(1 << 53))
-    facts = docs.select(*own, topic_of(F.col("text")).alias("topic"), word.alias("n_tokens"))
-    key = lambda c: F.coalesce(F.col(c), F.lit("\0"))  # noqa: E731  a null is a category of its own
-    cells = written(facts.groupBy(key("source").alias("source"), key("lang").alias("lang"), "topic").agg(F.sum("n_tokens").alias("tokens")))
-    chances = fitted(cells, source_power, lang_power, topic_power, keep_share)
-    chances = written(chances.select(F.col("source").alias("_s"), F.col("lang").alias("_l"), F.col("topic").alias("_t"), "probability"))
+    return docs.select(F.struct(*docs.columns).alias("row"), _key("source").alias("source"), _key("lang").alias("lang"), topic_of(F.col("text")).alias("topic"), word.alias("n_tokens"), draw.alias("draw"))
+
+
+def _weighed(docs: DataFrame, targets: dict[str, dict[str, float]] | None, powers: dict[str, float], keep_share: float) -> tuple[DataFrame, DataFrame]:
+    """The rows with their probability and whether they are drawn, and the table of cells."""
+    facts = _facts(docs)
+    cells = written(facts.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")))
+    chances = written(fitted(cells, targets or {}, powers, keep_share))
+    drop_written(cells)
+    joined = chances.drop("tokens")
     if chances.count() <= BROADCAST_CELLS:  # else a sort-merge join, of which skew handling splits a hot source
-        chances = F.broadcast(chances)
-    out = facts.join(chances, (key("source") == F.col("_s")) & (key("lang") == F.col("_l")) & (F.col("topic") == F.col("_t")), "left").drop("_s", "_l", "_t")
+        joined = F.broadcast(joined)
+    out = facts.join(joined, list(DIMENSIONS), "left")
     probability = F.when(F.col("n_tokens") == 0, F.lit(1.0)).otherwise(F.coalesce("probability", F.lit(1.0)))
-    return out.withColumn("probability", probability).withColumn("drawn", F.coalesce(draw < F.col("probability"), F.lit(True)))
+    return out.withColumn("probability", probability).withColumn("drawn", (F.col("draw") < F.col("probability")) | (F.col("n_tokens") == 0)), chances
+
+
+def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, powers: dict[str, float] = POWERS, keep_share: float = 0.8) -> DataFrame:
+    """`docs` (doc_id, text, lang, source, ...) with topic, n_tokens, probability and drawn."""
+    out, _ = _weighed(docs, targets, powers, keep_share)
+    return out.select(*(F.col(f"row.{c}") for c in docs.columns if c not in RESULT), *RESULT)
+
+
+def drawn_rows(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, powers: dict[str, float] = POWERS, keep_share: float = 0.8) -> DataFrame:
+    """The rows that are drawn, with their own columns."""
+    out, _ = _weighed(docs, targets, powers, keep_share)
+    return out.filter("drawn").select("row.*")
+
+
+def reached(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, powers: dict[str, float] = POWERS, keep_share: float = 0.8) -> DataFrame:
+    """dimension, category, target and reached: each category's target share and its share of the expected tokens."""
+    _, cells = _weighed(docs, targets, powers, keep_share)
+    goal = goals(cells, targets or {}, powers)
+    expected = F.sum(F.col("tokens") * F.col("probability"))
+    whole = float(cells.agg(expected).first()[0] or 1)
+    out = None
+    for d in DIMENSIONS:
+        got = cells.groupBy(F.col(d).alias("category")).agg(expected.alias("got"))
+        part = goal[d].join(got, "category").select(F.lit(d).alias("dimension"), "category", F.col("share").alias("target"), (F.col("got") / F.lit(whole)).alias("reached"))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -7,10 +7,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, licenses, minhash, mixing, quality, resharding, token_counts, topk, urlfilter
+from . import bpe, common, langid, licenses, minhash, mixing, quality, resharding, token_counts, topk, urlfilter
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

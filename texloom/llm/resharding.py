@@ -17,9 +17,9 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop_written, written
 
-ROWS_PER_BUCKET, MIN_BUCKETS, MAX_BUCKETS = 20_000, 256, 1 << 15
+ROWS_PER_BUCKET, MIN_BUCKETS, BROADCAST_BUCKETS = 20_000, 256, 1 << 17
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -92,39 +92,49 @@ def _before(totals: DataFrame, by: str, values: list[str]) -> DataFrame:
     return totals.select("bucket", by, *(F.coalesce(F.sum(v).over(order), F.lit(0)).alias(f"{v}_before") for v in values))
 
 
-def reshard(docs: DataFrame, old_shard: Column, shards: int) -> DataFrame:
-    """doc_id, size, text_crc32, old_shard, shard and slot (gapless from 0 in each shard) of each row of `docs`."""
+def reshard(docs: DataFrame, old_shard: Column, shards: int, with_rows: bool = False) -> DataFrame:
+    """doc_id, size, text_crc32, old_shard, shard and slot (gapless from 0 in each shard) of each row of `docs`; `with_rows` adds
+    row, a struct of all the row's columns, which `rewrite` needs."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), old_shard.cast("int").alias("old_shard"))
+    own = [F.struct(*docs.columns).alias("row")] if with_rows else []
+    rows = docs.select(*own, F.col("doc_id").alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), old_shard.cast("int").alias("old_shard"))
     n = docs.count()
-    buckets = min(MAX_BUCKETS, max(MIN_BUCKETS, n // ROWS_PER_BUCKET))
-    # equal rows of one id are told apart by nothing, and may stand in any order
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", F.when(F.col("doc_id").isNull(), F.col("size"))), F.lit(buckets)).cast("int"))
-    rows = written(rows.repartition("bucket"))
+    buckets = max(MIN_BUCKETS, n // ROWS_PER_BUCKET)
+    # equal rows of one id are told apart by nothing, and may stand in any order; rows without an id are dealt by their text
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("id", "text_crc32", F.when(F.col("id").isNull(), F.col("size"))), F.lit(buckets)).cast("int"))
     old = written(rows.groupBy("bucket", "old_shard").agg(F.sum("size").alias("size")))
     sizes = {r.old_shard: r.size for r in old.groupBy("old_shard").agg(F.sum("size").alias("size")).collect()}
     blocks, _ = transfers(sizes, shards)
-    placed = rows.join(F.broadcast(_before(old, "old_shard", ["size"])), ["bucket", "old_shard"])
-    placed = placed.repartition("bucket")
-    line = Window.partitionBy("bucket", "old_shard").orderBy("doc_id", "text_crc32", "size")
+    before = _before(old, "old_shard", ["size"])
+    placed = rows.join(F.broadcast(before) if buckets <= BROADCAST_BUCKETS else before, ["bucket", "old_shard"])
+    line = Window.partitionBy("bucket", "old_shard").orderBy("id", "text_crc32", "size")
     middle = F.col("size_before") + F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.ceil(F.col("size") / 2).cast("long")
     placed = placed.withColumn("middle", middle)
     shard = F.lit(None).cast("int")
     for i, j, first, end in blocks:
         shard = F.when((F.col("old_shard") == i) & (F.col("middle") >= first) & (F.col("middle") < end), F.lit(j)).otherwise(shard)
-    placed = written(placed.select("doc_id", "size", "text_crc32", "old_shard", "bucket", shard.alias("shard")))
+    placed = written(placed.select(*(["row"] if with_rows else []), "id", "size", "text_crc32", "old_shard", "bucket", shard.alias("shard")))
     new = placed.groupBy("bucket", "shard").agg(F.count("*").alias("n"))
-    slotted = placed.join(F.broadcast(_before(new, "shard", ["n"])), ["bucket", "shard"])
-    slot = F.col("n_before") + F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("doc_id", "text_crc32", "size")) - 1
-    return slotted.repartition("bucket").select("doc_id", "size", "text_crc32", "old_shard", "shard", slot.cast("long").alias("slot"))
+    before = _before(new, "shard", ["n"])
+    slotted = placed.join(F.broadcast(before) if buckets <= BROADCAST_BUCKETS else before, ["bucket", "shard"])
+    slot = F.col("n_before") + F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("id", "text_crc32", "size")) - 1
+    drop_written(old)
+    return slotted.select(*(["row"] if with_rows else []), F.col("id").alias("doc_id"), "size", "text_crc32", "old_shard", "shard", slot.cast("long").alias("slot"))
 
 
-def rewrite(docs: DataFrame, plan: DataFrame, path: str) -> list[int]:
-    """Write the files of the shards that gain or lose rows, one folder a shard, in slot order; returns those shards.
-
-    doc_id must be unique and not null here: it joins the rows with the plan."""
+def affected(plan: DataFrame) -> list[int]:
+    """The shards that gain or lose rows; at most one number for each old and new shard comes to the driver."""
     changed = plan.filter("old_shard <> shard")
-    touched = sorted({r[0] for r in changed.select(F.explode(F.array("old_shard", "shard"))).distinct().collect()})
-    rows = docs.join(plan.filter(F.col("shard").isin(touched)).select("doc_id", "shard", "slot"), "doc_id")
-    rows.repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(path)
+    return sorted(r[0] for r in changed.select(F.explode(F.array("old_shard", "shard"))).distinct().collect())
+
+
+def rewrite(plan: DataFrame, path: str, rows_per_file: int = 100_000) -> list[int]:
+    """Write the files of the affected shards, one folder a shard, in slot order; returns those shards.
+
+    `plan` is from `reshard` with rows: it carries them itself, so null and repeated ids are written like others."""
+    touched = affected(plan)
+    rows = plan.filter(F.col("shard").isin(touched)).withColumn("part", F.floor(F.col("slot") / rows_per_file))
+    # a column named like the folder's is the folder's
+    flat = rows.select("shard", "slot", "part", *(F.col(f"row.{c}") for c in plan.schema["row"].dataType.names if c not in ("shard", "slot", "part")))
+    flat.repartition("shard", "part").sortWithinPartitions("shard", "slot").drop("part").write.option("maxRecordsPerFile", rows_per_file).partitionBy("shard").mode("overwrite").parquet(path)
     return touched
