@@ -15,26 +15,31 @@ from texloom.llm import bpe, common, langid, minhash, mixing, quality
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects what no learned language explains, texts without a letter among them."""
+    common.small_batches(spark)
     return langid.accepted_rows(docs, *langid.learn(docs.filter(~langid.held_out())))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects what fails the base rules or reads unlike the rows labelled good."""
+    common.small_batches(spark)
     return quality.kept_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group, by shingles of five words at a similarity of 0.8."""
+    common.small_batches(spark)
     return minhash.kept_rows(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Draws documents so that sources, languages and topics meet their target weights."""
-    return mixing.mixed(docs).filter("drawn").select(*docs.columns)
+    common.small_batches(spark)
+    return mixing.drawn_rows(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and ids of each document."""
+    common.small_batches(spark)
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
