@@ -432,6 +432,41 @@ def test_license_scan(docs, rows, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_license_templates_by_brute_force(spark):
+    """Each notice whole, with words changed, with words lost, several in one text, and a long text, against every place."""
+    from texloom.llm import licenses
+
+    rng = random.Random(9)
+    texts = []
+    for t in licenses.TEMPLATES:
+        line = t.text.split()
+        texts += [t.text.title() + ".", "x y " + t.text + " z " + t.text]
+        for rate in (0.1, 0.2, 0.3):
+            texts.append("a " + " ".join(rng.choice(["the", "of", "q"]) if rng.random() < rate else w for w in line) + " b")
+            texts.append(" ".join(w for w in line if rng.random() > rate))
+    texts += [" ".join(t.text for t in licenses.TEMPLATES), "the license " * 30 + licenses.TEMPLATES[6].text, " ".join(rng.choice(["license", "the", "of", "gnu", "w"]) for _ in range(20_000)), None, ""]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k, text in enumerate(texts):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower())
+        base = {label for phrase, label in licenses.BASE if f" {phrase} " in f" {' '.join(w)} "}
+        best, labels = 0.0, set(base)
+        for t in licenses.TEMPLATES:
+            line = t.text.split()
+            for s in range(-len(line) + 1, len(w)):
+                share = sum(0 <= s + i < len(w) and w[s + i] == v for i, v in enumerate(line)) / len(line)
+                if share >= licenses.MIN_SHARE - 1e-9:
+                    for phrase in t.mandatory:
+                        part = phrase.split()
+                        at = s + next(i for i in range(len(line)) if line[i : i + len(part)] == part)
+                        if at < 0 or w[at : at + len(part)] != part:
+                            break
+                    else:
+                        best = max(best, share)
+                        labels.add(t.label)
+        assert got[k].labels == ",".join(sorted(labels)), text
+        assert abs(got[k].score - best) < 1e-9
+
+
 def test_url_filter(spark):
     from texloom.llm import queries, urlfilter
 
