@@ -15,6 +15,7 @@ labels are distinct; equal rows are judged alike; null ids give rows; extra colu
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .urlfilter import LOWER, UPPER
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BLANKS = "".join(chr(i) for i in range(128) if not chr(i).isalnum() and i != 32)
 MIN_SHARE = 0.8
 
 # Phrases of the base rule and their labels (fixed values).
@@ -63,7 +64,8 @@ TEMPLATES = (
 
 
 def words_column(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    """Runs of a-z, 0-9 and characters beyond ASCII, A-Z lower-cased: all else becomes a blank, at which a text is cut."""
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER + BLANKS, LOWER + " " * len(BLANKS)), " "), "")
 
 
 def texts(values: list[str]) -> Column:
@@ -95,13 +97,18 @@ def document_frequencies(worded: DataFrame, vocabulary: list[str]) -> tuple[int,
     return counts.pop("", 0), counts
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is worked out once, also where it is used within a lambda."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def score_of(words: Column, here: Column, template: Template, idf: dict[str, float]) -> Column:
-    """The highest share of the template's words at their places, 0 where no verified place has MIN_SHARE of them. here: the file's licence words."""
+    """The highest share of the template's words at their places, 0 where no verified place has MIN_SHARE of them. here: the
+    file's licence words."""
     line = template.text.split()
     ranked = sorted(set(line), key=lambda w: (-idf[w], w))
-    own = F.array_intersect(texts(ranked), here)  # in order of IDF
-    absent = F.lit(len(line)) - F.aggregate(own, F.lit(0), lambda n, w: n + F.element_at(counts_of(line), w))
-    spare = F.lit(len(line) - math.ceil(MIN_SHARE * len(line) - 1e-9)) - absent
+    allowed = len(line) - math.ceil(MIN_SHARE * len(line) - 1e-9)
+    share = lambda s: sum((F.when(F.get(words, s + i) == w, F.lit(1)).otherwise(F.lit(0)) for i, w in enumerate(line)), F.lit(0)) / F.lit(float(len(line)))
 
     def verified(s: Column) -> Column:
         out = F.lit(True)
@@ -111,13 +118,21 @@ def score_of(words: Column, here: Column, template: Template, idf: dict[str, flo
             out = out & stands(words, s + at, part)
         return out
 
-    asked = F.slice(own, 1, F.greatest(spare, F.lit(0)) + 1)
-    near = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.array_contains(asked, F.get(words, i)))
-    proposed = F.array_distinct(F.flatten(F.transform(near, lambda i: F.transform(F.element_at(postings_of(line), F.get(words, i)), lambda at: i - at))))
-    share = lambda s: sum((F.when(F.get(words, s + i) == w, F.lit(1)).otherwise(F.lit(0)) for i, w in enumerate(line)), F.lit(0)) / F.lit(float(len(line)))
-    best = F.coalesce(F.array_max(F.transform(F.filter(proposed, verified), share)), F.lit(0.0))
-    reached = F.when(best >= MIN_SHARE - 1e-9, best).otherwise(F.lit(0.0))
-    return F.when((spare >= 0) & (F.size(own) > 0), reached).otherwise(F.lit(0.0))
+    def best(asked: Column) -> Column:
+        near = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.array_contains(asked, F.get(words, i)))
+        proposed = F.flatten(F.transform(near, lambda i: F.transform(F.element_at(postings_of(line), F.get(words, i)), lambda at: i - at)))
+        return F.coalesce(F.array_max(F.transform(F.filter(proposed, verified), share)), F.lit(0.0))
+
+    def looked_up(own: Column) -> Column:
+        spare = F.lit(allowed - len(line)) + F.aggregate(own, F.lit(0), lambda n, w: n + F.element_at(counts_of(line), w))
+        return F.when(spare >= 0, let(F.slice(own, 1, spare + 1), best)).otherwise(F.lit(0.0))
+
+    # a place can be verified only where every word of the mandatory phrases is
+    possible = F.lit(True)
+    for word in sorted({w for phrase in template.mandatory for w in phrase.split()}, key=lambda w: (-idf[w], w)):
+        possible = possible & F.array_contains(here, word)
+    found = let(F.array_intersect(texts(ranked), here), looked_up)  # in order of IDF
+    return F.when(possible, F.when(found >= MIN_SHARE - 1e-9, found).otherwise(F.lit(0.0))).otherwise(F.lit(0.0))
 
 
 def counts_of(line: list[str]) -> Column:
