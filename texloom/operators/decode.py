@@ -70,12 +70,13 @@ def strip_pixels(strips: DataFrame, name: str) -> DataFrame:
             for i, (data, w, h) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("data", "width", "rows")), strict=True)):
                 if data is None or not w or not h or len(data) != length(w, h):
                     continue
-                parts.append(kernels.decode(name, data, w, h).reshape(w * h, -1))
+                parts.append(data if kind == "fixed" else kernels.decode(name, data, w, h).reshape(w * h, -1))
                 row.append(np.full(w * h, i))
                 xs.append(np.tile(np.arange(w), h))
                 ys.append(np.repeat(np.arange(h), w))
             if parts:
-                pixels = np.concatenate(parts)
+                # pixels of a fixed size need no rows: all strips of the batch are one
+                pixels = kernels.decode(name, b"".join(parts), sum(map(len, row)), 1)[0] if kind == "fixed" else np.concatenate(parts)
                 if pixels.dtype == np.float32:
                     pixels = pixels.view(np.uint32)
                 at = pa.array(np.concatenate(row))

@@ -45,11 +45,6 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.xxhash64("path").alias("file_id"), "path", "length", "content")
 
 
-def _swapped(digits: Column) -> Column:
-    """Eight hex digits in the other byte order (`reverse` on binary would work on characters)."""
-    return F.concat(*(digits.substr(i, 2) for i in (7, 5, 3, 1)))
-
-
 def raw_words(files: DataFrame, options: ParseOptions = ParseOptions()) -> DataFrame:
     """`files` with a column for each word of the header, and the extension's words where it has one (else null).
 
@@ -76,14 +71,18 @@ def raw_words(files: DataFrame, options: ParseOptions = ParseOptions()) -> DataF
     return files.select(*own, F.substring("content", 1, length).alias("content")).mapInArrow(run, schema)
 
 
-def raw_bytes(word: Column) -> Column:
-    return F.unhex(_swapped(F.lpad(F.hex(word), 8, "0")))
+def _digits(word: Column) -> Column:
+    """Eight hex digits of a word's bytes in little-endian order: the word with its bytes turned round."""
+    byte = lambda at: F.shiftright(word, at).bitwiseAND(255)
+    turned = byte(0) * (1 << 24) + byte(8) * (1 << 16) + byte(16) * (1 << 8) + byte(24)
+    return F.lpad(F.hex(turned), 8, "0")
 
 
 def write_raw(headers: DataFrame) -> Column:
     """The bytes of a header's words, with the magic bytes."""
-    plain = F.concat(raw_bytes(F.lit(MAGIC)), *(raw_bytes(F.col(w)) for w in WORDS))
-    return F.when(F.col("has_dx10"), F.concat(plain, *(raw_bytes(F.col(w)) for w in DX10_WORDS))).otherwise(plain)
+    plain = [_digits(F.lit(MAGIC).cast("long")), *(_digits(F.col(w)) for w in WORDS)]
+    extension = F.when(F.col("has_dx10"), F.concat(*(_digits(F.col(w)) for w in DX10_WORDS))).otherwise("")
+    return F.unhex(F.concat(*plain, extension))
 
 
 def has(flags: str, bit: int) -> Column:
