@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -347,23 +348,39 @@ def test_quality_ratio_by_brute_force(spark):
     same([tuple(r) for r in quality.judge(docs, labels, bound=0).collect()], [tuple(r) for r in got.values()])
 
 
-def test_top_k(spark):
+def test_top_k(spark, monkeypatch):
     from texloom.llm import topk
 
     rng = np.random.default_rng(5)
     vectors = [(i, [float(x) for x in rng.normal(0, 0.3, 8)], "x") for i in range(400)]
     vectors += [(i, vectors[7][1], "x") for i in range(400, 460)]  # ties
-    odd = [(900, None, "x"), (901, [], "x"), (902, [1.0, None] + [0.0] * 6, "x"), (903, [float("nan")] * 8, "x"), (950, [1.0] * 3, "x"), (None, [0.5] * 8, "x")]
-    df = spark.createDataFrame(vectors + odd, "vec_id long, embedding array<float>, score string")
-    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.search(df, F.col("vec_id") % 50 == 0).collect()}
-    ids = np.array([v[0] for v in vectors])
-    codes = np.floor(256 * np.array([np.float32(v[1]) for v in vectors], float)).astype(int)
-    want = {}
-    for i in np.flatnonzero(ids % 50 == 0):
-        s = codes @ codes[i]
-        for k, j in enumerate([j for j in np.lexsort((ids, -s)) if ids[j] != ids[i]][:5]):
-            want[int(ids[i]), k + 1] = (int(ids[j]), int(s[j]))
-    assert got == want
+    # short and empty vectors are filled up with zeros, nulls and what is not finite take no part
+    vectors += [(901, [], "x"), (950, [1.0] * 3, "x"), (905, [0.25], "x")]
+    odd = [(900, None, "x"), (902, [1.0, None] + [0.0] * 6, "x"), (903, [float("nan")] * 8, "x"), (904, [float("-inf")] * 8, "x"), (None, [0.5] * 8, "x")]
+
+    def brute(rows):
+        codes = [[math.floor(256 * float(np.float32(x))) for x in v] + [0] * (8 - len(v)) for _, v, _ in rows]
+        out = {}
+        for i in (i for i, r in enumerate(rows) if r[0] % 50 == 0):
+            scores = [(max(1 - 2**63, min(2**63 - 1, sum(a * b for a, b in zip(codes[i], c, strict=True)))), r[0]) for r, c in zip(rows, codes, strict=True) if r[0] != rows[i][0]]
+            for k, (score, to) in enumerate(sorted(scores, key=lambda s: (-s[0], s[1]))[:5]):
+                out[rows[i][0], k + 1] = (to, score)
+        return out
+
+    def found(rows):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
+        return {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.search(df, F.col("vec_id") % 50 == 0).collect()}
+
+    assert found(vectors + odd) == brute(vectors)
+    # small blocks and rings that lie far apart; long vectors next to short ones, beyond what doubles and longs hold
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(topk, "PIVOTS", 8)
+    apart = [(i, [float(x) for x in rng.normal(0, 0.02, 8) + rng.permutation(8)[0] * np.eye(8)[i % 8]], "x") for i in range(600)]
+    assert found(apart) == brute(apart)
+    huge = vectors[:120] + [(1000 + i, [float(x) for x in rng.normal(0, 10.0 ** (3 + 3 * i), 8)], "x") for i in range(12)]
+    assert found(huge) == brute(huge)
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, score string")
     assert topk.search(df.filter("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
