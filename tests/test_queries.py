@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from texloom.plans import texture_queries
+from texloom.plans import codec_queries as texture_queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = ["events", "documents", "embeddings", "orders"]

@@ -49,26 +49,47 @@ def small_float(x: np.ndarray, mantissa: int) -> np.ndarray:
     return (x.astype(np.uint16) << np.uint16(10 - mantissa)).view(np.float16).astype(np.float32)
 
 
-YUV = np.array([[1.164383561643836, 0.0, 1.596026785714286], [1.164383561643836, -0.391762290094914, -0.812967647237771], [1.164383561643836, 2.017232142857142, 0.0]])
+# The published six-digit coefficients (fixed values): luma, blue and red chroma of each colour; colours of the three codes.
+TO_YUV = ((0.256788, 0.504129, 0.097906), (-0.148223, -0.290993, 0.439216), (0.439216, -0.367788, -0.071427))
+TO_RGB = ((1.164383, 0.0, 1.596027), (1.164383, -0.391762, -0.812968), (1.164383, 2.017232, 0.0))
 
 
 def yuv_to_rgb(yuv: np.ndarray, bits: int, precision: str) -> np.ndarray:
-    """Limited-range YUV codes of `bits` bits as RGB."""
-    step = 1 << (bits - 8)
-    centred = (yuv.astype(np.float64) - np.array([16, 128, 128]) * step) / (255.0 * step) * (255.0 * step / ((1 << bits) - 1) if bits > 8 else 1.0)
-    return real(np.clip(centred @ YUV.T, 0, 1), precision)
+    """Limited-range YUV codes of `bits` bits as RGB, in single precision."""
+    f, step = np.float32, 1 << (bits - 8)
+    y, u, v = (yuv[..., i].astype(f) - f(zero * step) for i, zero in enumerate((16, 128, 128)))
+    rgb = np.stack([f(a) * y + f(b) * u + f(c) * v for a, b, c in TO_RGB], -1)
+    if bits == 8 and precision == "u8":
+        return np.clip(np.floor(rgb + f(0.5)), 0, 255).astype(np.uint8)
+    return real(np.clip(rgb * (f(1) / f((1 << bits) - 1)), 0, 1), precision)
 
 
 def rgb_to_yuv(rgb: np.ndarray, bits: int) -> np.ndarray:
-    step = 1 << (bits - 8)
-    top = (1 << bits) - 1
-    coded = rgb.astype(np.float64) @ np.linalg.inv(YUV).T * top + np.array([16, 128, 128]) * step
-    return np.clip(np.floor(coded + 0.5), 0, top).astype(np.int64)
+    """RGB, one for one, as limited-range codes, in single precision."""
+    f, step, top = np.float32, 1 << (bits - 8), (1 << bits) - 1
+    r, g, b = (rgb[..., i].astype(f) * f(top) for i in range(3))
+    coded = np.stack([f(x) * r + f(y) * g + f(z) * b + f(zero * step + 0.5) for (x, y, z), zero in zip(TO_YUV, (16, 128, 128), strict=True)], -1)
+    return np.clip(np.floor(coded), 0, top).astype(np.int64)
+
+
+def float_code(x: np.ndarray, mantissa: int) -> np.ndarray:
+    """Numbers as unsigned floats of five exponent bits: the mantissa is rounded half up, then the half is cut.
+
+    Below zero is 0, too large is infinite, NaN has all bits; what a half holds as a subnormal is cut after its rounding."""
+    x = x.astype(np.float32)
+    drop = np.uint32(23 - mantissa)
+    positive = np.where(np.isfinite(x) & (x > 0), x, np.float32(0))
+    near = (((positive.view(np.uint32) + (np.uint32(1) << (drop - np.uint32(1)))) >> drop) << drop).view(np.float32)
+    near = np.where(positive < np.finfo(np.float32).tiny, 0, np.minimum(near, np.float32(2.0**17)))
+    with np.errstate(over="ignore"):
+        code = near.astype(np.float16).view(np.uint16).astype(np.uint64) >> np.uint64(10 - mantissa)
+    code = np.where(x == np.inf, np.uint64(31 << mantissa), code)
+    return np.where(np.isnan(x), np.uint64((32 << mantissa) - 1), code)
 
 
 def real(x: np.ndarray, precision: str) -> np.ndarray:
     """Numbers in [0, 1] in a precision, rounded."""
-    return x.astype(np.float32) if precision == "f32" else np.floor(np.clip(x, 0, 1) * ONE[precision] + 0.5).astype(TYPES[precision])
+    return x.astype(np.float32) if precision == "f32" else np.floor(np.clip(x, 0, 1) * x.dtype.type(ONE[precision]) + x.dtype.type(0.5)).astype(TYPES[precision])
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -130,7 +151,7 @@ def _packed(name: str, data: np.ndarray, n: int) -> np.ndarray:
     def one(c: str) -> np.ndarray:
         x, bits = lanes[c], spec[c]
         if "XR_BIAS" in name and c != "A":
-            return ((x.astype(np.float32) - 384) / 510).astype(np.float32)
+            return (x.astype(np.float32) - np.float32(384)) * (np.float32(1) / np.float32(510))
         if "XR_BIAS" in name:
             return (x.astype(np.float32) / 3).astype(np.float32)
         if "FLOAT" in name:
@@ -370,11 +391,10 @@ def _encode_packed(name: str, rgba: np.ndarray) -> bytes:
         if "FLOAT" in name and bits == 32:
             return x.astype(np.float32).view(np.uint32).astype(np.uint64)
         if "FLOAT" in name:
-            half = (np.maximum(np.nan_to_num(x, nan=0.0), 0) if bits < 16 else x).astype(np.float16).view(np.uint16).astype(np.uint64)
-            return half if bits == 16 else np.minimum((half + np.uint64(1 << (14 - bits))) >> np.uint64(15 - bits), np.uint64((1 << bits) - 1))
+            return x.astype(np.float32).astype(np.float16).view(np.uint16).astype(np.uint64) if bits == 16 else float_code(x, bits - 5)
         if "SNORM" in name:
             top = (1 << bits) - 2
-            stored = np.floor(np.clip(np.nan_to_num(x), 0, 1) * top + 0.5).astype(np.int64) + 1
+            stored = np.floor(np.clip(np.nan_to_num(x, nan=1.0), 0, 1) * top + 0.5).astype(np.int64) + 1
             return ((stored + (1 << (bits - 1))) % (1 << bits)).astype(np.uint64)
         return code(x, bits)
 
@@ -392,13 +412,13 @@ def _encode_pairs(name: str, rgb: np.ndarray) -> bytes:
         rgb = np.concatenate([rgb, rgb[:, -1:]], 1)
     wide = name in ("Y210", "Y216")
     if "UNORM" in name:
-        mean = (rgb[:, ::2] + rgb[:, 1::2]) / 2
-        codes = np.floor(np.stack([rgb[:, ::2, 1], rgb[:, 1::2, 1], mean[..., 0], mean[..., 2]], -1).clip(0, 1) * 255 + 0.5)
+        rgb = rgb.astype(np.float32)
+        mean = (rgb[:, ::2] + rgb[:, 1::2]) * np.float32(0.5)
+        codes = np.floor(np.stack([rgb[:, ::2, 1], rgb[:, 1::2, 1], mean[..., 0], mean[..., 2]], -1).clip(0, 1) * np.float32(255) + np.float32(0.5))
     else:
-        bits = {"Y210": 10, "Y216": 16}.get(name, 8)
-        yuv = rgb_to_yuv(rgb.clip(0, 1), bits)
+        yuv = rgb_to_yuv(rgb.clip(0, 1), 16 if wide else 8)
         shared = (yuv[:, ::2, 1:] + yuv[:, 1::2, 1:]) // 2
-        codes = np.stack([yuv[:, ::2, 0], yuv[:, 1::2, 0], shared[..., 0], shared[..., 1]], -1) << (6 if bits == 10 else 0)
+        codes = np.stack([yuv[:, ::2, 0], yuv[:, 1::2, 0], shared[..., 0], shared[..., 1]], -1) & (0xFFC0 if name == "Y210" else 0xFFFF)
     out = np.zeros_like(codes)
     for source, place in enumerate(PAIRS[name]):
         out[..., place] = codes[..., source]
