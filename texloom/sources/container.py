@@ -185,8 +185,7 @@ def to_words(headers: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("long")
     bit = lambda cond, flag: F.when(cond, F.lit(flag)).otherwise(0).cast("long")
     flags = F.lit(F_CAPS | F_HEIGHT | F_WIDTH | F_PIXEL_FORMAT).cast("long") + bit(fits & fixed, F_PITCH) + bit(fits & ~fixed, F_LINEAR_SIZE) + bit(F.col("mipmap_count") >= 1, F_MIPMAP_COUNT) + bit(F.col("depth").isNotNull(), F_DEPTH)
-    many = (F.col("mipmap_count") > 1) | F.coalesce(F.col("caps2").bitwiseAND(C2_CUBE | C2_VOLUME) != 0, F.lit(False)) | F.coalesce((F.col("misc").bitwiseAND(MISC_CUBE) != 0) | (F.col("resource_dim") == 4), F.lit(False))
-    caps = F.lit(C_TEXTURE).cast("long") + bit(many, C_COMPLEX) + bit(F.col("mipmap_count") > 1, C_MIPMAP)
+    caps = F.lit(C_TEXTURE).cast("long") + bit(F.col("mipmap_count") > 1, C_COMPLEX | C_MIPMAP)
     cube = F.coalesce(F.col("misc").bitwiseAND(MISC_CUBE) != 0, F.lit(False))
     caps2 = F.when(dx10, bit(cube, C2_CUBE | C2_FACES) + bit(F.col("resource_dim") == 4, C2_VOLUME)).otherwise(F.coalesce("caps2", zero))
     four_cc = F.when(dx10, F.lit(DX10).cast("long")).otherwise(F.coalesce("four_cc", zero))
