@@ -73,3 +73,43 @@ def test_block_strips(spark):
     out = encode.strips(frame, ["BC7_UNORM"]).selectExpr("id", "data", "8 AS width", "8 AS rows")
     for r in decode.strip_pixels(out, "BC7_UNORM").collect():
         assert all(abs(int(v) - int(s)) <= 8 for v, s in zip((r.r, r.g, r.b, r.a), sources[r.id][r.y, r.x], strict=True))
+
+
+def test_block_query(spark):
+    """No block is worse than its best single colour, by a search over all of them; alpha of BC2 is the nearest code."""
+    from texloom.plans import codec_queries, fixtures
+
+    sf = "/root/testdata/sf0.001"
+    source = {}
+    for r in fixtures.vectors(spark, sf).collect():
+        source.setdefault(r.vec_id, np.zeros((16, 4), int))[r.i] = (r.r, r.g, r.b, r.a)
+    rows = codec_queries.QUERIES["q_encode_blocks"](spark, sf).collect()
+    assert len(rows) == len(source) * len(codec_queries._BLOCKS)
+    steps = [np.floor(np.arange(n) * 255 / (n - 1) + 0.5) for n in (32, 64, 32)]
+    flat = lambda px, c, codes: ((px[:, c, None] - codes[None]) ** 2).sum(0).min()
+    for r in rows:
+        pixels = source[r.vec_id]
+        got = kernels.decode(r.format, bytes.fromhex(r.block), 4, 4).reshape(16, -1).astype(int)
+        error = ((got - pixels[:, : got.shape[1]]) ** 2).sum(0)
+        if r.format.startswith(("BC4", "BC5")):
+            top = 1 if r.format.startswith("BC4") else 2
+            assert all(error[c] <= flat(pixels, c, np.arange(256)) for c in range(top))
+        elif r.format == "BC7_UNORM":
+            assert error.sum() <= sum(flat(pixels, c, np.arange(256)) for c in range(4)) + 16 * 4
+        elif "PREMULTIPLIED" not in r.format and r.format not in ("BC3_UNORM_NORMAL", "BC3_UNORM_RXGB") and not (r.format == "BC1_UNORM" and (pixels[:, 3] < 128).any()):
+            assert error[:3].sum() <= sum(flat(pixels, c, steps[c]) for c in range(3)) + 1
+        if r.format == "BC2_UNORM":
+            assert (got[:, 3] == np.floor(pixels[:, 3] / 17 + 0.5) * 17).all()
+
+
+@pytest.mark.parametrize("name", ["BC1_UNORM", "BC7_UNORM", "YUY2", "R1_UNORM", "R8G8_UNORM", "NV12"])
+def test_strips_of_mixed_sizes(spark, name):
+    """Encoding a batch gives each strip the bytes it has alone, whatever lies beside it."""
+    from texloom.operators import encode
+
+    sizes = [(8, 8), (5, 3), (8, 8), (4, 4), (5, 3), (6, 4), (8, 8)]
+    sources = {i: smooth(w, h, i) for i, (w, h) in enumerate(sizes)}
+    frame = spark.createDataFrame([(i, s.tobytes(), s.shape[1], s.shape[0]) for i, s in sources.items()], "id long, data binary, width int, rows int").coalesce(1)
+    for r in encode.strips(frame, [name]).collect():
+        odd = name == "NV12" and (sources[r.id].shape[0] % 2 or sources[r.id].shape[1] % 2)
+        assert r.data is None if odd else bytes(r.data) == kernels.encode(name, sources[r.id], "rgba")

@@ -12,13 +12,16 @@ from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 from texloom.functions import kernels
 from texloom.functions.formats import pixel_info
 
+#: Pixels encoded at once.
+STACK = 1 << 16
+
 
 def strips(frame: DataFrame, names: list[str], channels: str = "rgba", precision: str = "u8") -> DataFrame:
     """A row for each strip and format: the other columns of `frame`, format, and data encoded in it.
 
     `frame` has columns data (pixels row by row, in the given channels and precision), width and rows. What does not hold
     exactly width x rows pixels becomes null; so does an odd size in a bi-planar format, whose chroma needs whole cells.
-    Pixels of a fixed size need no rows: all strips of a batch are encoded by one call."""
+    Pixels of a fixed size need no rows: all strips of a batch are encoded by one call, and so are blocks in equal strips."""
     own = [c for c in frame.columns if c not in ("data", "width", "rows", "format")]
     dtype, n = np.dtype(kernels.TYPES[precision]), {"grayscale": 1, "alpha": 1, "rgb": 3, "rgba": 4}[channels]
 
@@ -30,8 +33,24 @@ def strips(frame: DataFrame, names: list[str], channels: str = "rgba", precision
             out = kernels.encode(name, raster, channels) if whole else b""
             ends = iter(np.cumsum([r[1] * r[2] * size for r in whole]).tolist())
             return [out[(end := next(ends)) - r[1] * r[2] * size : end] if r else None for r in rows]
-        fits = [r if r and not (kind == "biplanar" and (r[1] % 2 or r[2] % 2)) else None for r in rows]
-        return [kernels.encode(name, np.frombuffer(r[0], dtype).reshape(r[2], r[1], n), channels) if r else None for r in fits]
+        one = lambda r: kernels.encode(name, np.frombuffer(r[0], dtype).reshape(r[2], r[1], n), channels)
+        if kind == "biplanar":
+            return [one(r) if r and not (r[1] % 2 or r[2] % 2) else None for r in rows]
+        # strips of one size lie below each other as one raster, where each ends with whole blocks
+        result: list[bytes | None] = [None] * len(rows)
+        sizes: dict[tuple[int, int], list[int]] = {}
+        for i, r in enumerate(rows):
+            if r:
+                sizes.setdefault(r[1:], []).append(i)
+        for (width, height), at in sizes.items():
+            step = max(1, STACK // (width * height)) if height % pixel_info(name)[3] == 0 else 1
+            for start in range(0, len(at), step):
+                some = at[start : start + step]
+                out = one((b"".join(rows[i][0] for i in some), width, height * len(some)))
+                each = len(out) // len(some)
+                for k, i in enumerate(some):
+                    result[i] = out[k * each : (k + 1) * each]
+        return result
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

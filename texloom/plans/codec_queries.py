@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from texloom.functions import kernels
-from texloom.operators import decode, encode
+from texloom.operators import decode, encode, raster
 from texloom.plans import fixtures as X
 from texloom.plans import header_queries  # noqa: F401  registers its queries
 from texloom.plans.texture_queries import ORACLES, QUERIES, query
@@ -274,4 +274,18 @@ def q_encode_yuv(spark, sf_dir):
     return _encoded(spark, sf_dir, lines, 4, 1).unionByName(_encoded(spark, sf_dir, squares, 2, 2))
 
 
+_BLOCKS = ["BC1_UNORM", "BC2_UNORM", "BC2_UNORM_PREMULTIPLIED_ALPHA", "BC3_UNORM", "BC3_UNORM_PREMULTIPLIED_ALPHA", "BC3_UNORM_RXGB", "BC3_UNORM_NORMAL", "BC4_UNORM", "BC4_SNORM", "BC5_UNORM", "BC5_SNORM", "BC7_UNORM"]
+
+
+@query()
+def q_encode_blocks(spark, sf_dir):
+    """Each embedding as 16 pixels in each block format, as hexadecimal bytes.
+
+    Encoders are free in their choices, so there is no SQL; tests decode the blocks and bound the error by brute force."""
+    byte = lambda c: F.unhex(F.lpad(F.hex(c), 2, "0"))
+    pixels = raster.gather(X.vectors(spark, sf_dir), ["vec_id"], "i", F.concat(*(byte(c) for c in "rgba")))
+    blocks = encode.strips(pixels.select("vec_id", "data", F.lit(4).alias("width"), F.lit(4).alias("rows")), _BLOCKS)
+    return blocks.select("vec_id", "format", F.hex("data").alias("block"))
+
+
 __all__ = ["ORACLES", "QUERIES"]
