@@ -21,6 +21,9 @@ from texloom.functions.formats import pixel_info
 #: Channels of a native raster, by number of channels.
 CHANNELS = {"grayscale": ["gray"], "alpha": ["a"], "rgb": ["r", "g", "b"], "rgba": ["r", "g", "b", "a"]}
 
+#: Pixels decoded at once.
+STACK = 1 << 18
+
 
 def _schema(frame: DataFrame, own: list[str], more: list[StructField]) -> StructType:
     return StructType([frame.schema[c] for c in own] + more)
@@ -64,23 +67,29 @@ def strip_pixels(strips: DataFrame, name: str) -> DataFrame:
             return -(-w // bw) * -(-h // bh) * size
         return p1 * w * h + p2 * -(-w // sx) * -(-h // sy)
 
+    def stacked(parts: list[bytes], w: int, h: int) -> bytes:
+        """Equal strips below each other as one; planes are laid one after the other."""
+        if kind != "biplanar":
+            return b"".join(parts)
+        return b"".join(p[: p1 * w * h] for p in parts) + b"".join(p[p1 * w * h :] for p in parts)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts, row, xs, ys = [], [], [], []
-            for i, (data, w, h) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("data", "width", "rows")), strict=True)):
-                if data is None or not w or not h or len(data) != length(w, h):
-                    continue
-                parts.append(data if kind == "fixed" else kernels.decode(name, data, w, h).reshape(w * h, -1))
-                row.append(np.full(w * h, i))
-                xs.append(np.tile(np.arange(w), h))
-                ys.append(np.repeat(np.arange(h), w))
-            if parts:
-                # pixels of a fixed size need no rows: all strips of the batch are one
-                pixels = kernels.decode(name, b"".join(parts), sum(map(len, row)), 1)[0] if kind == "fixed" else np.concatenate(parts)
-                if pixels.dtype == np.float32:
-                    pixels = pixels.view(np.uint32)
-                at = pa.array(np.concatenate(row))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in own), pa.array(np.concatenate(xs)), pa.array(np.concatenate(ys)), *(pa.array(pixels[:, i].astype(np.int64)) for i in range(len(channels)))], [*own, "x", "y", *channels])
+            sizes: dict[tuple[int, int], list[int]] = {}
+            columns = [batch.column(c).to_pylist() for c in ("data", "width", "rows")]
+            for i, (data, w, h) in enumerate(zip(*columns, strict=True)):
+                if data is not None and w and h and len(data) == length(w, h):
+                    sizes.setdefault((w, h), []).append(i)
+            for (w, h), rows in sizes.items():
+                # strips that end within a block or a cell of chroma stand alone
+                step = max(1, STACK // (w * h)) if h % (sy if kind == "biplanar" else bh if kind == "block" else 1) == 0 else 1
+                for start in range(0, len(rows), step):
+                    some = rows[start : start + step]
+                    pixels = kernels.decode(name, stacked([columns[0][i] for i in some], w, h), w, h * len(some)).reshape(len(some) * w * h, -1)
+                    if pixels.dtype == np.float32:
+                        pixels = np.ascontiguousarray(pixels).view(np.uint32)
+                    at, x, y = np.repeat(some, w * h), np.tile(np.arange(w), h * len(some)), np.tile(np.repeat(np.arange(h), w), len(some))
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at)) for c in own), pa.array(x), pa.array(y), *(pa.array(pixels[:, i].astype(np.int64)) for i in range(len(channels)))], [*own, "x", "y", *channels])
 
     return strips.mapInArrow(run, _schema(strips, own, [StructField(c, LongType()) for c in ("x", "y", *channels)]))
 

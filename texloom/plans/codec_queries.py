@@ -142,14 +142,13 @@ def _yuv_pixels() -> list[tuple[str, int, int, list[str], str]]:
     for x in range(2):
         for y in range(2):
             out.append(("P010", x, y, [f"({_word(2 * (2 * y + x), 2)} >> 6)", f"({_word(8, 2)} >> 6)", f"({_word(10, 2)} >> 6)"], "65535"))
-    for x in range(3):
-        out.append(("P016", x, 0, [_word(2 * x, 2), _word(6 + 4 * (x // 2), 2), _word(8 + 4 * (x // 2), 2)], "65535"))
+            out.append(("P016", x, y, [_word(2 * (2 * y + x), 2), _word(8, 2), _word(10, 2)], "65535"))
     return out
 
 
 _YUV_BITS = {"AYUV": 8, "Y410": 10, "Y416": 16, "YUY2": 8, "UYVY": 8, "Y210": 10, "Y216": 16, "NV12": 8, "P010": 10, "P016": 16}
 #: Width, rows and bytes of the strip cut from a block; odd widths where the format has them.
-_YUV_STRIPS = {"AYUV": (4, 1, 16), "Y410": (4, 1, 16), "Y416": (2, 1, 16), "YUY2": (7, 1, 16), "UYVY": (7, 1, 16), "Y210": (3, 1, 16), "Y216": (3, 1, 16), "NV12": (5, 2, 16), "P010": (2, 2, 12), "P016": (3, 1, 14)}
+_YUV_STRIPS = {"AYUV": (4, 1, 16), "Y410": (4, 1, 16), "Y416": (2, 1, 16), "YUY2": (7, 1, 16), "UYVY": (7, 1, 16), "Y210": (3, 1, 16), "Y216": (3, 1, 16), "NV12": (5, 2, 16), "P010": (2, 2, 12), "P016": (2, 2, 12)}
 
 
 def _yuv_sql() -> str:
