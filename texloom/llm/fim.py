@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import hashlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -86,43 +86,35 @@ def restore(output: str, form: str) -> str:
     return prefix + middle + suffix
 
 
-def _rows(batches: Iterator[tuple[pd.Series, pd.Series]], rates: Rates) -> Iterator[tuple[Cut, str]]:
-    for ids, texts in batches:
-        yield [transform(doc_id, text, rates) for doc_id, text in zip(ids, texts, strict=True)]
-
-
 def _inputs() -> tuple:
     return F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))
 
 
-def fill_in_middle(docs: DataFrame, rates: Rates = Rates()) -> DataFrame:
-    """doc_id, n, form, prefix_chars, middle_chars and the transformed text, `output`, of each row of `docs`."""
+def _applied(docs: DataFrame, rates: Rates, more: str, extra: Callable[[Cut], tuple]) -> DataFrame:
+    """doc_id, n, form, prefix_chars and middle_chars of each row, and the columns `more` that `extra` makes of its cut."""
 
-    @pandas_udf("n long, form string, prefix_chars long, middle_chars long, output string")
+    @pandas_udf(f"n long, form string, prefix_chars long, middle_chars long, {more}")
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for rows in _rows(batches, rates):
-            yield pd.DataFrame({
-                "n": pd.Series([r.n for r in rows], dtype="int64"), "form": [r.form for r in rows],
-                "prefix_chars": pd.array([r.prefix_chars for r in rows], dtype="Int64"), "middle_chars": pd.array([r.middle_chars for r in rows], dtype="Int64"),
-                "output": [r.output for r in rows],
-            })
+        names = ["n", "form", "prefix_chars", "middle_chars", *(x.split()[0] for x in more.split(", "))]
+        for ids, texts in batches:
+            rows = []
+            for doc_id, text in zip(ids, texts, strict=True):
+                made = transform(doc_id, text, rates)
+                rows.append((made.n, made.form, made.prefix_chars, made.middle_chars, *extra(made)))
+            yield pd.DataFrame(rows, columns=names).astype({"prefix_chars": "Int64", "middle_chars": "Int64"})
 
     return docs.select("doc_id", cut(*_inputs()).alias("r")).select("doc_id", "r.*")
 
 
+def fill_in_middle(docs: DataFrame, rates: Rates = Rates()) -> DataFrame:
+    """doc_id, n, form, prefix_chars, middle_chars and the transformed text, `output`, of each row of `docs`."""
+    return _applied(docs, rates, "output string", lambda made: (made.output,))
+
+
 def digests(docs: DataFrame, rates: Rates = Rates()) -> DataFrame:
     """As `fill_in_middle`, with digests of the output and of the text rebuilt from it instead of the output."""
 
     def sha256(text: str) -> str:
         return hashlib.sha256(text.encode()).hexdigest()
 
-    @pandas_udf("n long, form string, prefix_chars long, middle_chars long, output_sha256 string, restored_sha256 string")
-    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for rows in _rows(batches, rates):
-            yield pd.DataFrame({
-                "n": pd.Series([r.n for r in rows], dtype="int64"), "form": [r.form for r in rows],
-                "prefix_chars": pd.array([r.prefix_chars for r in rows], dtype="Int64"), "middle_chars": pd.array([r.middle_chars for r in rows], dtype="Int64"),
-                "output_sha256": [sha256(r.output) for r in rows], "restored_sha256": [sha256(restore(r.output, r.form)) for r in rows],
-            })
-
-    return docs.select("doc_id", cut(*_inputs()).alias("r")).select("doc_id", "r.*")
+    return _applied(docs, rates, "output_sha256 string, restored_sha256 string", lambda made: (sha256(made.output), sha256(restore(made.output, made.form))))

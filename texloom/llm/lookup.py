@@ -2,7 +2,8 @@
 
 A table of at most `BROADCAST_ENTRIES` entries is sent to every task as sorted arrays. A larger one stays a table: the
 documents are dealt to slices of about `SLICE_BYTES` of text, each slice's distinct grams are joined with the table, and a
-slice is scored with its own entries. Both ways give the same rows; only what is in memory differs.
+slice is scored with its own entries. A slice that copies of one row make too large is dealt on to several tasks, each with
+all of the slice's entries. Both ways give the same rows; only what is in memory differs.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql.types import StructType
 from .common import distinct, drop_written, released, slices
 
 BROADCAST_ENTRIES, SLICE_BYTES = 4_000_000, 32 << 20
-_SLICE = "texloom slice"
+_SLICE, _SALT, _PARTS = "texloom slice", "texloom salt", "texloom parts"
 
 #: kind -> the sorted distinct grams that a text asks for
 Asked = dict[int, np.ndarray]
@@ -91,15 +92,20 @@ class Model:
                         for kind, keys in asked(part).items():
                             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), k, np.int32)), pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64))], [_SLICE, "kind", "gram"])
 
+        # at most a row for each SLICE_BYTES of text: the slices that need more than one task
+        parts = (1 + F.sum(F.octet_length("text")) / SLICE_BYTES / 2).cast("int")
+        heavy = F.broadcast(marked.groupBy(_SLICE).agg(F.coalesce(parts, F.lit(1)).alias(_PARTS)).filter(F.col(_PARTS) > 1))
+        n = F.coalesce(_PARTS, F.lit(1))
         needed = marked.mapInArrow(grams, f"`{_SLICE}` int, kind int, gram long").distinct()
-        entries = needed.join(self.table, ["kind", "gram"]).select(_SLICE, "kind", "gram", "col", "value")
+        entries = needed.join(self.table, ["kind", "gram"]).join(heavy, _SLICE, "left").select(_SLICE, F.explode(F.sequence(F.lit(0), n - 1)).alias(_SALT), "kind", "gram", "col", "value")
+        dealt = marked.join(heavy, _SLICE, "left").withColumn(_SALT, F.floor(F.rand() * n).cast("int")).drop(_PARTS)
 
         def both(left: pa.Table, right: pa.Table) -> pa.Table:
             found = Entries.read(right)
-            rows = left.drop_columns([_SLICE]).combine_chunks().to_batches()
+            rows = left.drop_columns([_SLICE, _SALT]).combine_chunks().to_batches()
             return pa.Table.from_batches([answer(part, found) for part in slices(rows)], None) if left.num_rows else pa.table({})
 
-        return marked.groupBy(_SLICE).cogroup(entries.groupBy(_SLICE)).applyInArrow(both, schema)
+        return dealt.groupBy(_SLICE, _SALT).cogroup(entries.groupBy(_SLICE, _SALT)).applyInArrow(both, schema)
 
 
 class Tally:

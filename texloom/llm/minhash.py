@@ -238,6 +238,7 @@ def kept_rows(docs: DataFrame, size: int = 5, threshold: int = THRESHOLD) -> Dat
     """The rows of `docs`, with all their columns: of each group the row of the smallest doc_id, of repeated rows one.
 
     Rows with a null doc_id take no part and stay."""
-    kept = near_duplicates(docs, size, threshold).filter("kept").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
-    one = docs.join(kept, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_h")), "left_semi").dropDuplicates(["doc_id", "text"])
+    fresh = "_" * (1 + max(map(len, docs.columns)))  # longer than any column's name
+    kept = near_duplicates(docs.select("doc_id", "text"), size, threshold).filter("kept").select(F.col("doc_id").alias(fresh + "id"), F.col("h").alias(fresh + "h")).distinct()
+    one = docs.join(kept, (F.col("doc_id") == F.col(fresh + "id")) & (F.xxhash64("text") == F.col(fresh + "h")), "left_semi").dropDuplicates(["doc_id", "text"])
     return one.unionByName(docs.filter("doc_id is null")).select(*docs.columns)

@@ -13,8 +13,9 @@ vectors meet only in the pairs that remain. The pivots are up to `PIVOTS` vector
 every vector is indexed. A hot vector's copies fill many blocks, since the key ends with the id.
 
 Results: vectors that are null or have null or non-finite components take no part, nor do doubles of 1e150 and more, whose
-squares overflow; a shorter vector counts as filled up with zeros; scores beyond a long are held at its ends; rows of one
-id are separate candidates, but a query never meets its own id; fewer candidates than k give fewer rows; extra columns are
+squares overflow; a shorter vector counts as filled up with zeros, an empty one too; scores beyond a long are held at its
+ends; rows of one id are separate candidates, but a query never meets its own id; equal query rows are one query, query
+rows of one id with different vectors are queries of their own; fewer candidates than k give fewer rows; extra columns are
 not read.
 """
 
@@ -109,12 +110,19 @@ def _index(rows: DataFrame, pivots: Pivots, width: int, k: int) -> DataFrame:
         """Rows of one block each: consecutive vectors of one pivot."""
         held: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         made = TaskContext.get().partitionId() << 33
+        met: dict = {}  # the vectors asked for by the last key
 
         def out() -> pa.RecordBatch:
             nonlocal made
             pivot = held[0][0]
             ids, v, q, r = (np.concatenate([h[i] for h in held]) for i in range(1, 5))
             held.clear()
+            q = q.copy()
+            for i in np.flatnonzero(q):  # equal rows have equal keys, so they follow each other in one partition
+                if met.get("key") != (pivot, r[i], ids[i]):
+                    met.update(key=(pivot, r[i], ids[i]), vectors=set())
+                q[i] = (own := v[i].tobytes()) not in met["vectors"]
+                met["vectors"].add(own)
             seeds, at = [], np.flatnonzero(q)
             if len(at):
                 scores = _dot(v[at], v)
@@ -153,13 +161,14 @@ def _questions(index: DataFrame, pivots: Pivots, width: int) -> DataFrame:
             for r in b.to_pylist():
                 at = np.array(r["queries"], int)
                 ids, v = np.frombuffer(r["ids"], np.int64)[at], _unpacked(r["v"], width)[at]
+                asks = base + seen + np.arange(len(at))
                 group = base + (seen + np.arange(len(at))) // QUERY_BLOCK
                 seen += len(at)
                 d = pivots.distances(v, True)
-                yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(ids), pa.array([_packed(x) for x in v], pa.binary()), pa.array((v**2).sum(1)), pa.array(d.tolist(), pa.list_(pa.float64())), pa.array(r["seeds"], pa.int64())], ["q_block", "query_id", "q", "square", "d", "seed"])
+                yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(asks), pa.array(ids), pa.array([_packed(x) for x in v], pa.binary()), pa.array((v**2).sum(1)), pa.array(d.tolist(), pa.list_(pa.float64())), pa.array(r["seeds"], pa.int64())], ["q_block", "ask", "query_id", "q", "square", "d", "seed"])
 
     asking = index.filter(F.size("queries") > 0).select("ids", "v", "queries", "seeds")
-    return asking.mapInArrow(run, "q_block long, query_id long, q binary, square double, d array<double>, seed long")
+    return asking.mapInArrow(run, "q_block long, ask long, query_id long, q binary, square double, d array<double>, seed long")
 
 
 def _reach(asked: DataFrame, longest: float) -> DataFrame:
@@ -194,43 +203,43 @@ def search(vectors: DataFrame, query: Column, k: int = 5) -> DataFrame:
     reach = F.greatest(F.col("hi") - F.col("d_hi"), F.lit(1e-9))
     ring = F.when(apart <= 0, 0).otherwise(F.least(1 + F.floor(apart / reach * RINGS), F.lit(RINGS))).cast("int")
     salted = index.select("block", "pivot", "r_lo", "r_hi", F.pmod(F.xxhash64("block"), F.lit(SALT)).cast("int").alias("salt"))
-    floors = asked.groupBy("query_id").agg(F.max("seed").alias("floor"))
-    ranges = _reach(asked.join(floors, "query_id"), pivots.longest).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    floors = asked.select("ask", F.col("seed").alias("floor"))
+    ranges = _reach(asked.join(floors, "ask"), pivots.longest).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     meet = (F.col("r_lo") <= F.col("hi")) & (F.col("r_hi") >= F.col("lo"))
     pairs = written(ranges.join(salted, ["pivot", "salt"]).filter(meet).select("q_block", "block", "pivot", "r_lo", "r_hi", ring.alias("ring")))
 
     def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found: list[tuple[int, int, int]] = []
+            found: list[tuple[int, int, int, int]] = []
             for i in range(b.num_rows):
                 ids, v = np.frombuffer(b.column("ids")[i].as_py(), np.int64), _unpacked(b.column("v")[i].as_py(), width)
                 asks = b.column("asks")[i].as_py()
                 scores = _dot(np.concatenate([_unpacked(a["q"], width) for a in asks]), v)
                 for a, s in zip(asks, scores, strict=True):
                     own, least = a["query_id"], a["floor"]
-                    found += [(own, to, score) for score, to in _best(s, ids, own, k) if least is None or score >= least]
-            yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in range(3)], ["query_id", "vec_id", "score"])
+                    found += [(a["ask"], own, to, score) for score, to in _best(s, ids, own, k) if least is None or score >= least]
+            yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in range(4)], ["ask", "query_id", "vec_id", "score"])
 
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("ask").orderBy(F.desc("score"), "vec_id"))
     best = None
     for turn in sorted(r.ring for r in pairs.select("ring").distinct().collect()):
         if best is not None:
             # the k-th score found so far is the new score to beat
-            kth = best.filter(F.col("rank") == k).select("query_id", "score")
-            floors = asked.join(kth, "query_id", "left").groupBy("query_id").agg(F.greatest(F.max("seed"), F.max("score")).alias("floor"))
-        now = asked.join(floors, "query_id")
+            kth = best.filter(F.col("rank") == k).select("ask", "score")
+            floors = asked.join(kth, "ask", "left").select("ask", F.greatest("seed", "score").alias("floor"))
+        now = asked.join(floors, "ask")
         left = pairs.filter(F.col("ring") == turn)
         if best is not None:
             left = left.join(_reach(now, pivots.longest), ["q_block", "pivot"]).filter(meet)
-        asks = now.groupBy("q_block").agg(F.collect_list(F.struct("query_id", "q", "floor")).alias("asks"))
+        asks = now.groupBy("q_block").agg(F.collect_list(F.struct("ask", "query_id", "q", "floor")).alias("asks"))
         together = left.select("q_block", "block").join(asks, "q_block").join(index.select("block", "ids", "v"), "block").select("ids", "v", "asks")
-        found = together.mapInArrow(answered, "query_id long, vec_id long, score long")
+        found = together.mapInArrow(answered, "ask long, query_id long, vec_id long, score long")
         if best is not None:
-            found = found.unionByName(best.select("query_id", "vec_id", "score"))
-        before, best = best, written(found.select("query_id", rank.alias("rank"), "vec_id", "score").filter(F.col("rank") <= k))
+            found = found.unionByName(best.select("ask", "query_id", "vec_id", "score"))
+        before, best = best, written(found.select("ask", "query_id", rank.alias("rank"), "vec_id", "score").filter(F.col("rank") <= k))
         if before is not None:
             drop_written(before)
     drop_written(rows, index, asked, pairs)
     if best is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    return best
+    return best.drop("ask")
