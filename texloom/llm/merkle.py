@@ -15,10 +15,12 @@ empty table gives no rows. A leaf without siblings has the digest of the empty s
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop_written, written
 
 ARITY = 16
 #: A table with a row for each source, or for each source and range, is broadcast up to so many rows.
@@ -55,38 +57,31 @@ def leaves(docs: DataFrame) -> DataFrame:
 
 
 def numbered(rows: DataFrame, tree: str, *order: str) -> DataFrame:
-    """`rows`, a written table, with idx: its place (from 0) among the rows of equal `tree`, by the columns `order`.
-
-    Rows equal in all these columns are told apart by where they stand in the table."""
-    dealt = rows.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(tree, *order, "_tie")
-    placed = dealt.sortWithinPartitions(tree, *order, "_tie").select("*", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().bitwiseAND(F.lit(_POSITION)).alias("_at")).drop("_tie")
-    placed = written(placed)
+    """`rows` with idx: its place (from 0) among the rows of equal `tree`, by the columns `order`."""
+    dealt = rows.repartitionByRange(tree, *order).sortWithinPartitions(tree, *order)
+    placed = written(dealt.select("*", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().bitwiseAND(F.lit(_POSITION)).alias("_at")))
     ranges = placed.groupBy(F.col(tree).alias("_tree"), F.col("_range").alias("_r")).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     before = F.sum("_n").over(Window.partitionBy("_tree").orderBy("_r").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
     ranges = written(ranges.select("_tree", "_r", (before - F.col("_first")).alias("_shift")))
     small = F.broadcast(ranges) if ranges.count() <= BROADCAST_RANGES else ranges
-    out = placed.join(small, F.col(tree).eqNullSafe(F.col("_tree")) & (F.col("_range") == F.col("_r")))
+    out = placed.join(small, (F.col(tree) == F.col("_tree")) & (F.col("_range") == F.col("_r")))
     return out.withColumn("idx", F.col("_at") + F.col("_shift")).drop("_range", "_r", "_at", "_tree", "_shift")
 
 
-def nodes(leaves: DataFrame) -> DataFrame:
-    """tree, level, idx, digest, n (nodes of this tree on this level) of every node above and including the leaves.
+def nodes(leaves: DataFrame) -> list[DataFrame]:
+    """tree, level, idx, digest, n (nodes of this tree on this level) and row of the nodes of each level, from the leaves up.
 
-    `leaves` has tree, idx, digest. Each level is written before the next is made from it; a tree has its root on the level
-    where it has one node."""
-    now = written(leaves.join(_sizes(leaves), "tree").select("tree", F.lit(0).alias("level"), "idx", "digest", "n"))
-    levels, most = [now], now.agg(F.max("n")).first()[0] or 0
+    `leaves` is read from a written table and has tree, idx, digest, row (null above the leaves). Each level is written before
+    the next is made from it; a tree has its root on the level where it has one node."""
+    sizes = _sizes(leaves)
+    levels = [leaves.join(sizes, "tree").select("tree", F.lit(0).alias("level"), "idx", "digest", "n", "row")]
+    most = sizes.agg(F.max("n")).first()[0] or 0
     while most > 1:
-        runs = now.filter("n > 1").groupBy("tree", F.shiftright("idx", 4).alias("idx"), "n").agg(F.sort_array(F.collect_list(F.struct("idx", "digest"))).alias("run"))
+        runs = levels[-1].filter("n > 1").groupBy("tree", F.shiftright("idx", 4).alias("idx"), "n").agg(F.sort_array(F.collect_list(F.struct("idx", "digest"))).alias("run"))
         inside = F.concat_ws("", F.transform("run", lambda x: hex_text(x.digest)))
-        now = written(runs.select("tree", F.lit(len(levels)).alias("level"), "idx", digest_of(inside).alias("digest"), F.ceil(F.col("n") / ARITY).alias("n")))
-        levels.append(now)
+        levels.append(written(runs.select("tree", F.lit(len(levels)).alias("level"), "idx", digest_of(inside).alias("digest"), F.ceil(F.col("n") / ARITY).alias("n"), F.lit(None).cast("int").alias("row"))))
         most = -(-most // ARITY)
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    out.height = len(levels)
-    return out
+    return levels
 
 
 def _sizes(leaves: DataFrame) -> DataFrame:
@@ -95,41 +90,46 @@ def _sizes(leaves: DataFrame) -> DataFrame:
     return F.broadcast(sizes) if sizes.count() <= BROADCAST_RANGES else sizes
 
 
-def siblings(found: DataFrame) -> DataFrame:
-    """tree, level, idx and step: the digests before and after the node in its run, concatenated, of every node but roots."""
+def asked_siblings(level: DataFrame) -> DataFrame:
+    """tree, own, idx, digest: the siblings that each node of a level asks for by their coordinates; idx null if it has none."""
     first = F.col("idx") - F.pmod("idx", F.lit(ARITY))
     wanted = F.filter(F.sequence(first, F.least(first + (ARITY - 1), F.col("n") - 1)), lambda j: j != F.col("idx"))
-    asked = found.filter("n > 1").select("tree", "level", F.col("idx").alias("own"), F.explode_outer(wanted).alias("idx"))
-    met = asked.join(found.select("tree", "level", "idx", "digest"), ["tree", "level", "idx"], "left")
-    runs = met.groupBy("tree", "level", "own").agg(F.sort_array(F.collect_list(F.when(F.col("idx").isNotNull(), F.struct("idx", "digest")))).alias("run"))
+    asked = level.filter("n > 1").select("tree", F.col("idx").alias("own"), F.explode_outer(wanted).alias("idx"))
+    return asked.join(level.select("tree", "idx", "digest"), ["tree", "idx"], "left").select("tree", "own", "idx", "digest")
+
+
+def step(run: str, own: str) -> Column:
+    """The digests before and after a node in its run, concatenated."""
 
     def side(keep) -> Column:
-        return F.aggregate(F.filter("run", keep), F.lit(b""), lambda done, x: F.concat(done, x.digest))
+        return F.aggregate(F.filter(run, keep), F.lit(b""), lambda done, x: F.concat(done, x.digest))
 
-    step = F.struct(side(lambda x: x.idx < F.col("own")).alias("before"), side(lambda x: x.idx > F.col("own")).alias("after"))
-    return runs.select("tree", "level", F.col("own").alias("idx"), step.alias("step"))
+    return F.struct(side(lambda x: x.idx < F.col(own)).alias("before"), side(lambda x: x.idx > F.col(own)).alias("after"))
 
 
 _PATH = "array<struct<before: binary, after: binary>>"
 
 
-def proofs(found: DataFrame, top: DataFrame | None = None) -> DataFrame:
-    """tree, idx, path of every leaf: the steps from the leaf up to its tree's root, and then `top`'s (tree, path)."""
-    height = found.height
-    steps = written(siblings(found))
-    roots = found.filter("n = 1").select("tree", "level", "idx")
-    if top is None:
-        done = roots.withColumn("path", F.lit(None).cast(_PATH))
-    else:
-        done = roots.join(top.select("tree", "path"), "tree")
-    done = done.withColumn("path", F.coalesce("path", F.array().cast(_PATH)))
-    above = done.filter(F.col("level") == height - 1)
-    for level in range(height - 2, -1, -1):
-        parents = above.select("tree", F.col("idx").alias("parent"), "path")
-        here = steps.filter(F.col("level") == level).withColumn("parent", F.shiftright("idx", 4)).join(parents, ["tree", "parent"])
-        here = here.select("tree", "level", "idx", F.concat(F.array("step"), "path").alias("path"))
-        above = here.unionByName(done.filter(F.col("level") == level))
-    return above.select("tree", "idx", "path")
+def proven(levels: list[DataFrame], top: DataFrame | None = None) -> DataFrame:
+    """row and path: the steps from each leaf up to its tree's root, and then those of `top` (tree, path).
+
+    From the root down each level's nodes get their siblings, and then their parent's path; both meet where the rows were
+    dealt by their parents, so that no leaf's path is dealt itself."""
+    above, sibling = None, F.struct("idx", "digest")
+    for k in range(len(levels) - 1, -1, -1):
+        kept, kind = levels[k], levels[k].schema["row"].dataType
+        roots = kept.filter("n = 1").select("tree", "idx", "row")
+        done = roots.withColumn("path", F.array().cast(_PATH)) if top is None else roots.join(top.select("tree", "path"), "tree")
+        if above is not None:
+            met = asked_siblings(levels[k]).select("tree", "own", F.when(F.col("idx").isNotNull(), sibling).alias("one"), F.lit(None).cast(kind).alias("row"), F.lit(False).alias("leaf"))
+            carried = kept.filter("n > 1").select("tree", F.col("idx").alias("own"), F.lit(None).cast(met.schema["one"].dataType).alias("one"), "row", F.lit(True).alias("leaf"))
+            dealt = met.unionByName(carried).withColumn("parent", F.shiftright("own", 4)).repartition("tree", "parent")
+            runs = dealt.groupBy("tree", "parent", "own").agg(F.sort_array(F.collect_list("one")).alias("run"), F.max_by("row", "leaf").alias("row"))
+            parents = above.select("tree", F.col("idx").alias("parent"), "path")
+            here = runs.join(parents, ["tree", "parent"]).select("tree", F.col("own").alias("idx"), "row", F.concat(F.array(step("run", "own")), "path").alias("path"))
+            done = here.unionByName(done)
+        above = done if k == 0 else written(done.select("tree", "idx", "path"))
+    return above
 
 
 def folded(start: Column, path: Column) -> Column:
@@ -139,21 +139,22 @@ def folded(start: Column, path: Column) -> Column:
 
 def manifest(docs: DataFrame) -> DataFrame:
     """doc_id, leaf, tampered, subroot, root (bytes) and path of every row of `docs`."""
-    rows = written(leaves(docs))
-    sources = numbered(written(rows.select("source").distinct().withColumn("tree", F.lit(0))), "tree", "source")
+    rows = written(leaves(docs).withColumn("tie", F.monotonically_increasing_id()))  # equal rows are told apart by where they stand
+    sources = numbered(rows.select("source").distinct().withColumn("tree", F.lit(0)), "tree", "source")
     sources = written(sources.select(F.col("idx").alias("tree"), "source"))
     ids = sources.select("tree", F.col("source").alias("_source"))
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_RANGES else ids
-    placed = numbered(written(rows.join(ids, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")), "tree", "doc_id", "leaf")
-    placed = written(placed)
-    low = nodes(placed.select("tree", "idx", F.col("leaf").alias("digest")))
-    subroots = written(low.filter("n = 1").select("tree", F.col("digest").alias("subroot")))
-    high = nodes(subroots.select(F.lit(0).alias("tree"), F.col("tree").alias("idx"), F.col("subroot").alias("digest")))
-    root = F.broadcast(high.filter("n = 1").select(F.col("digest").alias("root")))  # one row
-    top = written(proofs(high).select(F.col("idx").alias("tree"), "path"))
+    placed = numbered(rows.join(ids, F.col("source").eqNullSafe(F.col("_source"))).select("tree", "doc_id", "leaf", "tampered", "tie"), "tree", "doc_id", "leaf", "tie")
+    drop_written(rows)
+    low = nodes(placed.select("tree", "idx", F.col("leaf").alias("digest"), F.struct("doc_id", "leaf", "tampered").alias("row")))
+    tops = [level.filter("n = 1").select("tree", F.col("digest").alias("subroot")) for level in low]
+    subroots = written(reduce(DataFrame.unionByName, tops))
+    high = nodes(subroots.select(F.lit(0).alias("tree"), F.col("tree").alias("idx"), F.col("subroot").alias("digest"), F.col("tree").alias("row")))
+    root = F.broadcast(high[-1].filter("n = 1").select(F.col("digest").alias("root")))  # one row
     ends = subroots.crossJoin(root)
-    ends = F.broadcast(ends) if subroots.count() <= BROADCAST_RANGES else ends
-    return placed.join(proofs(low, top), ["tree", "idx"]).join(ends, "tree").select("doc_id", "source", "leaf", "tampered", "subroot", "root", "path")
+    top = written(proven(high).select(F.col("row").alias("tree"), "path"))
+    out = proven(low, top)
+    return out.join(F.broadcast(ends) if subroots.count() <= BROADCAST_RANGES else ends, "tree").select("row.*", "subroot", "root", "path")
 
 
 def verified(docs: DataFrame) -> DataFrame:
