@@ -593,6 +593,7 @@ def encode(name: str, raster: np.ndarray, channels: str) -> bytes:
     if bh == 1:
         return _encode_pairs(name, rgba[..., :3])
     cells = _cells(rgba)
+    cells = np.clip(np.where(np.isnan(cells), 0, cells), 0, 1)  # one bad pixel must not spoil its block
     if name == "BC1_UNORM":
         return encode_bc1(cells[..., :3], cells[..., 3] < 0.5).tobytes()
     if name.startswith("BC4"):

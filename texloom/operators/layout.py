@@ -37,6 +37,22 @@ def surface_bytes(width: Column, height: Column) -> Column:
     return F.when(F.col("kind") == "fixed", (w * h).cast(_LEN) * F.col("bytes")).when(F.col("kind") == "block", blocks.cast(_LEN) * F.col("bytes")).otherwise(planes).cast(_LEN)
 
 
+def surface_bytes_long(width: Column, height: Column) -> Column:
+    """As `surface_bytes`, in longs: several times as fast, for surfaces of fewer than 2^56 pixels."""
+    blocks = ceil_div(width, F.col("block_w")) * ceil_div(height, F.col("block_h"))
+    planes = F.col("plane1") * (width * height) + F.col("plane2") * (ceil_div(width, F.col("sub_x")) * ceil_div(height, F.col("sub_y")))
+    return F.when(F.col("kind") == "fixed", width * height * F.col("bytes")).when(F.col("kind") == "block", blocks * F.col("bytes")).otherwise(planes).cast("long")
+
+
+def element_bytes(width: Column, height: Column, depth: Column, mips: Column) -> Column:
+    """Bytes of all mip levels of one element of an array: in longs, or in decimals where a long might overflow."""
+    levels = F.sequence(F.lit(0), F.least(mips, F.lit(255).cast("long")).cast("int") - 1)
+    small = (width < 1 << 24) & (height < 1 << 24) & (depth < 1 << 8)
+    short = lambda a, k: a + surface_bytes_long(mip_size(width, k), mip_size(height, k)) * mip_size(depth, k)
+    long = lambda a, k: (a + surface_bytes(mip_size(width, k), mip_size(height, k)) * mip_size(depth, k).cast("decimal(20,0)")).cast(_LEN)
+    return F.when(small, F.aggregate(levels, F.lit(0).cast("long"), short).cast(_LEN)).otherwise(F.aggregate(levels, F.lit(0).cast(_LEN), long))
+
+
 def bits_per_pixel() -> Column:
     """Rounded up."""
     block = F.col("block_w") * F.col("block_h")
@@ -59,10 +75,8 @@ def with_layout(headers: DataFrame) -> DataFrame:
     elements = F.when(cube & dx10, F.col("array_size") * 6).when(cube, F.size(faces9).cast("long")).when(dx10 & ~volume, F.col("array_size")).otherwise(one)
     kind = F.when(cube, F.when(dx10 | (F.size(faces9) == 6), "cube_maps").otherwise("partial_cube_map")).when(volume, "volume").when(elements == 1, "texture").otherwise("textures")
     height = F.when(dx10 & (F.col("resource_dim") == 2), one).otherwise(F.col("height"))
-    levels = F.sequence(F.lit(0), F.least("mipmap_count", F.lit(255)).cast("int") - 1)
     depth = F.when(volume, F.coalesce("depth", one)).otherwise(one)
-    add = lambda a, k: (a + surface_bytes(mip_size(F.col("width"), k), mip_size(height, k)) * mip_size(depth, k).cast("decimal(20,0)")).cast(_LEN)
-    each = F.aggregate(levels, F.lit(0).cast(_LEN), add)
+    each = element_bytes(F.col("width"), height, depth, F.col("mipmap_count"))
     total = (each * elements.cast("decimal(20,0)")).cast(_LEN)
     zero = (F.col("width") == 0) | (F.col("height") == 0) | (volume & (F.col("depth") == 0))
     bad_cube = F.when(dx10, cube10 & (F.col("resource_dim") != 3)).otherwise(cube9 & volume9)
@@ -80,10 +94,12 @@ def with_layout(headers: DataFrame) -> DataFrame:
     return out.withColumn("data_len", F.when(F.col("layout_error").isNull(), F.col("data_len")))
 
 
-def surfaces(laid: DataFrame) -> DataFrame:
-    """One row a surface, in scan order: element by element, level by level, slice by slice. An empty array has none."""
+def surfaces(laid: DataFrame, keep: list[str] = []) -> DataFrame:
+    """One row a surface, in scan order: element by element, level by level, slice by slice. An empty array has none.
+
+    `keep` names columns of `laid` that stay."""
     ok = laid.filter("layout_error is null")
-    own = ["file_id", "layout_kind", "width", "layout_height", "depth", "faces", "element_len", *INFO]
+    own = ["file_id", "layout_kind", "width", "layout_height", "depth", "faces", "element_len", *(c for c in keep if c not in INFO), *INFO]
     levels = ok.select(*own, "elements", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("mipmap_count").cast("int") - 1), lambda k: k)).alias("level_no", "mip_level"))
     volume = F.col("layout_kind") == "volume"
     sized = levels.withColumns({"w": mip_size(F.col("width"), F.col("mip_level")), "h": mip_size(F.col("layout_height"), F.col("mip_level")), "d": F.when(volume, mip_size(F.coalesce("depth", F.lit(1).cast("long")), F.col("mip_level"))).otherwise(1)})
@@ -97,7 +113,7 @@ def surfaces(laid: DataFrame) -> DataFrame:
     spread = spread.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("d").cast("long") - 1)).alias("depth_slice"))
     offset = F.col("array_index").cast("decimal(20,0)") * F.col("element_len").cast("decimal(20,0)") + F.col("level_offset") + F.col("depth_slice").cast("decimal(20,0)") * F.col("len").cast("decimal(20,0)")
     face = F.when(F.col("faces").isNotNull(), F.get("faces", F.pmod(F.col("array_index"), F.size("faces")).cast("int")))
-    return spread.select("file_id", F.col("layout_kind").alias("kind"), "array_index", face.alias("face"), "mip_level", "depth_slice", F.col("w").alias("width"), F.col("h").alias("height"), offset.cast("decimal(20,0)").alias("offset"), F.col("len").cast("decimal(20,0)").alias("len"))
+    return spread.select("file_id", F.col("layout_kind").alias("kind"), "array_index", face.alias("face"), "mip_level", "depth_slice", F.col("w").alias("width"), F.col("h").alias("height"), offset.cast("decimal(20,0)").alias("offset"), F.col("len").cast("decimal(20,0)").alias("len"), *keep)
 
 
 def missing_surfaces(expected: DataFrame, written: DataFrame) -> DataFrame:

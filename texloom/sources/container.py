@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
@@ -39,12 +39,6 @@ class ParseOptions:
     permissive: bool = False
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """file_id, path, length, content of the container files under `path`."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.xxhash64("path").alias("file_id"), "path", "length", "content")
-
-
 def raw_words(files: DataFrame, options: ParseOptions = ParseOptions()) -> DataFrame:
     """`files` with a column for each word of the header, and the extension's words where it has one (else null).
 
@@ -154,24 +148,28 @@ def repair(headers: DataFrame, file_length: Column) -> DataFrame:
 
     Guesses, in order: as it is; array size 0 as 1 (kept even if nothing matches); array size 6 of a cube map as 1; mip
     counts 1, full, one less, one more. `headers` comes from `with_format`."""
-    own = headers.columns
-    data = file_length - F.when(F.col("version") == "dx10", 148).otherwise(128)
-    rows = headers.withColumn("_data", data).withColumn("_row", F.struct("file_id", "version"))
-    was_zero = (F.col("array_size") == 0) & (F.col("_data") > 0)
-    array = F.when(was_zero, F.lit(1).cast("long")).otherwise(F.col("array_size"))
+    dx10, one = F.col("version") == "dx10", F.lit(1).cast("long")
+    data = (file_length - F.when(dx10, 148).otherwise(128)).cast("long")
+    was_zero = (F.col("array_size") == 0) & (data > 0)
+    array = F.when(was_zero, one).otherwise(F.col("array_size"))
     cube = (F.col("array_size") == 6) & (F.col("resource_dim") == 3) & (F.col("misc").bitwiseAND(MISC_CUBE) != 0)
-    mips, size = F.col("mipmap_count"), F.greatest("width", "height", F.coalesce("depth", F.lit(1).cast("long")))
-    guess = lambda n, a, m, ok: F.when(ok, F.struct(F.lit(n).alias("n"), a.alias("a"), m.cast("long").alias("m")))
+    mips, size = F.col("mipmap_count"), F.greatest("width", "height", F.coalesce("depth", one))
+    guess = lambda a, m, ok, last=False: F.when(ok, F.struct(a.alias("a"), m.cast("long").alias("m"), F.lit(last).alias("last")))
     yes = F.lit(True)
     guesses = F.array_compact(F.array(
-        guess(0, F.col("array_size"), mips, yes), guess(1, array, mips, was_zero), guess(2, F.lit(1).cast("long"), mips, cube),
-        guess(3, array, F.lit(1), yes), guess(4, array, layout.full_mip_count(size), yes), guess(5, array, mips - 1, mips > 1), guess(6, array, mips + 1, yes), guess(9, array, mips, yes),
+        guess(F.col("array_size"), mips, yes), guess(array, mips, was_zero), guess(one, mips, cube),
+        guess(array, one, yes), guess(array, layout.full_mip_count(size), yes), guess(array, mips - 1, mips > 1), guess(array, mips + 1, yes), guess(array, mips, yes, last=True),
     ))
-    tried = rows.withColumn("_g", F.explode(guesses)).withColumn("array_size", F.col("_g.a")).withColumn("mipmap_count", F.col("_g.m"))
-    sized = layout.with_layout(tried)
-    fits = (F.col("layout_error").isNull() & (F.col("data_len") == F.col("_data"))) | (F.col("_g.n") == 9)
-    first = F.row_number().over(Window.partitionBy("file_id").orderBy("_g.n"))
-    return sized.filter(fits).withColumn("_k", first).filter("_k = 1").select(*own)
+    # `with_layout` says what no guess changes; the elements of an array follow the guess
+    laid = layout.with_layout(headers.withColumns({"_guesses": guesses, "_data": data}).withColumns({"array_size": F.when(dx10, one).otherwise(F.col("array_size")), "mipmap_count": one}))
+    cubed, whole = F.col("layout_kind").isin("cube_maps", "partial_cube_map"), F.col("layout_kind") == "volume"
+    count = lambda a: F.when(dx10 & ~whole, F.when(cubed, a * 6).otherwise(a)).otherwise(F.col("elements"))
+    depth = F.when(whole, F.coalesce("depth", one)).otherwise(one)
+    each = lambda m: layout.element_bytes(F.col("width"), F.col("layout_height"), depth, m)
+    valid = F.col("layout_error").isNull()
+    fits = lambda g: g.last | (valid & (g.m <= 255) & (count(g.a) < 2**32) & ((each(g.m) * count(g.a).cast("decimal(20,0)")).cast("decimal(38,0)") == F.col("_data")))
+    first = laid.withColumn("_g", F.get(F.filter("_guesses", fits), F.lit(0)))
+    return first.select(*(F.col(f"_g.{'a' if c == 'array_size' else 'm'}").alias(c) if c in ("array_size", "mipmap_count") else F.col(c) for c in headers.columns))
 
 
 def to_words(headers: DataFrame) -> DataFrame:
