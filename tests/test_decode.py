@@ -1,8 +1,9 @@
-"""Decoding kernels against plain loops over bits; error diffusion against a plain loop."""
+"""Decoding against plain loops over bits and a plain decoder; error diffusion against a plain loop."""
 
 import numpy as np
 import pytest
-from texloom.functions import bc_tables, kernels
+from tests import plain_decode
+from texloom.functions import bc_tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -57,7 +58,7 @@ def test_bc7_modes(mode):
     rng = np.random.default_rng(mode)
     blocks = rng.integers(0, 256, (200, 16), np.uint8)
     blocks[:, 0] = 0 if mode == 8 else (blocks[:, 0] >> (mode + 1) << (mode + 1)) | 1 << mode
-    got = kernels.bc7_colours(blocks)
+    got = plain_decode.bc7_colours(blocks)
     for block, pixels in zip(blocks, got):
         assert [tuple(map(int, p)) for p in pixels] == bc7_block(block.tobytes())
 
@@ -103,3 +104,58 @@ def test_error_diffusion(spark):
                     error[y + dy, x + dx] += e * np.float32(k / 16)
     mean = np.mean(list(pixels.values())) / 255
     assert abs(np.mean(list(got.values())) - mean) < 0.02
+
+
+def test_what_is_not_decoded_is_refused(spark):
+    from texloom.operators import decode
+
+    blocks = spark.createDataFrame([(1, bytes(16))], "id long, data binary")
+    for name in ("BC6H_UF16", "BC6H_SF16", "ASTC_4X4_UNORM", "R8_UNORM"):
+        with pytest.raises(NotImplementedError):
+            decode.block_pixels(blocks, name)
+    for column, name in (("gray", "BC4_UNORM"), ("pixel", "BC7_UNORM"), ("r", "BC1_UNORM")):
+        with pytest.raises(ValueError):
+            decode.block_pixels(blocks.withColumnRenamed("id", column), name)
+
+
+@pytest.mark.parametrize("name", ["BC3_UNORM_NORMAL", "BC2_UNORM_PREMULTIPLIED_ALPHA", "BC5_SNORM", "BC7_UNORM", "BC4_UNORM", "BC1_UNORM"])
+def test_strips_of_blocks(spark, name):
+    """Sizes that end within blocks, by the plain decoder."""
+    from texloom.functions.formats import pixel_info
+    from texloom.operators import decode
+
+    rng, size = np.random.default_rng(3), pixel_info(name)[1]
+    strips = []
+    for i, (w, h) in enumerate([(4, 4), (7, 13), (1, 1), (9, 4)]):
+        strips.append((i, w, h, rng.integers(0, 256, -(-w // 4) * -(-h // 4) * size, np.uint8).tobytes()))
+    got = decode.strip_pixels(spark.createDataFrame(strips, "id long, width long, rows long, data binary"), name)
+    want = [(i, x, y, *map(int, plain_decode.decode(name, data, w, h)[y, x])) for i, w, h, data in strips for x in range(w) for y in range(h)]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_all_formats_in_one_pass(spark):
+    """Random strips of every packed, sub-sampled and bi-planar format in one table, by the plain decoder."""
+    from texloom.functions.formats import pixel_info
+    from texloom.operators import packed
+
+    rng, strips, want = np.random.default_rng(4), [], []
+    for i, name in enumerate(packed.NAMES):
+        kind, size, bw, _, p1, p2, *_ = pixel_info(name)
+        for w, h in ((6, 2), (4, 4)) if kind == "biplanar" else ((6, 2), (3, 5), (17, 1)):
+            n = w * h * size if kind == "fixed" else p1 * w * h + p2 * -(-w // 2) * -(-h // 2) if kind == "biplanar" else -(-w // bw) * h * size
+            data = rng.integers(0, 256, n, np.uint8).tobytes()
+            strips.append((i, name, w, h, data))
+            pixels = plain_decode.decode(name, data, w, h)
+            channels, precision = packed.NATIVE[name]
+            numbers = np.ascontiguousarray(pixels).view(np.uint32) if precision == "f32" else pixels
+            one = packed.TOP[precision]
+            for y in range(h):
+                for x in range(w):
+                    v = [int(c) for c in numbers[y, x]]
+                    v = {"grayscale": [*v * 3, one], "alpha": [0, 0, 0, *v], "rgb": [*v, one], "rgba": v}[channels]
+                    want.append((i, name, x, y, *v))
+    strips.append((99, "BC1_UNORM", 4, 4, bytes(8)))
+    strips.append((98, "R8_UNORM", 4, 4, bytes(15)))
+    got = packed.strip_pixels(spark.createDataFrame(strips, "id long, format string, width int, rows int, data binary")).collect()
+    nan = lambda r: tuple(0x7FC00000 if isinstance(c, int) and "FLOAT" in r[1] and (c & 0x7FFFFFFF) > 0x7F800000 else c for c in r)
+    assert sorted(nan(tuple(r)) for r in got) == sorted(map(nan, want))

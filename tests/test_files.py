@@ -6,7 +6,8 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from texloom.operators import layout
+from tests import plain_decode
+from texloom.operators import decode, layout
 from texloom.sources import container, files
 
 # Fixed values of the container's public description.
@@ -91,33 +92,26 @@ def test_a_file_too_short_gives_null(spark, tmp_path):
 RECTANGLES = [(0, 0, 13, 10), (2, 3, 7, 5), (12, 9, 1, 1), (0, 8, 13, 2), (5, 0, 1, 10)]
 
 
-@pytest.mark.parametrize("rect", RECTANGLES)
-def test_region_equals_crop(spark, folder, rect):
-    from texloom.functions import kernels
-
-    x, y, w, h = rect
-    surface = files.surfaces(files.opened(spark, folder, suffix="b.dds"))
-    rows = files.with_bytes(files.region(surface, *map(F.lit, rect))).collect()
-    full = kernels.decode("BC1_UNORM", open(f"{folder}/deep/b.dds", "rb").read()[128:], 13, 10)
-    found = {}
-    for r in rows:
-        part = kernels.decode("BC1_UNORM", bytes(r.data), r.span, r.lines)
-        for j in range(r.lines):
-            for i in range(r.span):
-                found[r.first_x + i, r.first_y + j] = tuple(part[j, i])
-    assert all(found[i, j] == tuple(full[j, i]) for j in range(y, y + h) for i in range(x, x + w))
-    if w < 13:
-        blocks = (-(-(x + w) // 4) - x // 4) * (-(-(y + h) // 4) - y // 4)
-        assert sum(r.size for r in rows) == 8 * blocks  # no other block is read
+def test_regions_equal_crops(spark, folder):
+    """Only the rectangles' blocks are read, only their pixels come out, equal to those of the whole surface."""
+    rects = spark.createDataFrame([(i, *r) for i, r in enumerate(RECTANGLES)], "no int, rx long, ry long, rw long, rh long")
+    surface = files.surfaces(files.opened(spark, folder, suffix="b.dds")).crossJoin(rects)
+    ranges = files.with_bytes(files.region(surface, F.col("rx"), F.col("ry"), F.col("rw"), F.col("rh"))).cache()
+    full = plain_decode.decode("BC1_UNORM", open(f"{folder}/deep/b.dds", "rb").read()[128:], 13, 10)
+    got = decode.region_pixels(ranges, "BC1_UNORM").select("no", "x", "y", "r", "g", "b", "a").collect()
+    want = [(no, i, j, *map(int, full[j, i])) for no, (x, y, w, h) in enumerate(RECTANGLES) for j in range(y, y + h) for i in range(x, x + w)]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+    sizes = {r.no: r.n for r in ranges.groupBy("no").agg(F.sum("size").alias("n")).collect()}
+    for no, (x, y, w, h) in enumerate(RECTANGLES):
+        assert sizes[no] == 8 * (-(-(x + w) // 4) - x // 4) * (-(-(y + h) // 4) - y // 4)
 
 
 def test_odd_regions(spark, folder):
     surface = files.surfaces(files.opened(spark, folder, suffix="b.dds"))
-    for rect in [(10, 0, 4, 1), (0, 9, 1, 2), (-1, 0, 1, 1), (14, 0, 0, 0)]:
-        rows = files.with_bytes(files.region(surface, *map(F.lit, rect))).collect()
-        assert [(r.error, r.data) for r in rows] == [("RectOutOfBounds", None)]
-    for rect in [(3, 3, 0, 4), (13, 10, 0, 0)]:
-        assert files.region(surface, *map(F.lit, rect)).count() == 0
+    rects = [(10, 0, 4, 1), (0, 9, 1, 2), (-1, 0, 1, 1), (14, 0, 0, 0), (3, 3, 0, 4), (13, 10, 0, 0)]
+    asked = surface.crossJoin(spark.createDataFrame([(i, *r) for i, r in enumerate(rects)], "no int, rx long, ry long, rw long, rh long"))
+    rows = files.with_bytes(files.region(asked, F.col("rx"), F.col("ry"), F.col("rw"), F.col("rh"))).collect()
+    assert sorted((r.no, r.error, r.data) for r in rows) == [(i, "RectOutOfBounds", None) for i in range(4)]
     planes = files.surfaces(files.opened(spark, folder, suffix="c.dds"))
     assert [(r.size, r.lines) for r in files.region(planes, F.lit(1), F.lit(1), F.lit(2), F.lit(2)).collect()] == [(96, 8)]
 
@@ -185,18 +179,29 @@ def test_written_files(spark, tmp_path):
 
 
 @pytest.mark.parametrize(
-    ("levels", "error"),
-    [
-        (GOOD[:1], "MissingSurfaces"), (GOOD[1:], "MissingSurfaces"), ([], "MissingSurfaces"), ([*GOOD, (2, b"c")], "TooManySurfaces"), ([(0, b"a" * 20), GOOD[1]], "MissingSurfaces"),
-        ([(0, b"a" * 25), GOOD[1]], "UnexpectedSurfaceSize"), ([GOOD[0], (1, b"b" * 7)], "TooManySurfaces"), ([GOOD[0], *GOOD], "UnexpectedSurfaceSize"),
-    ],
-)
-def test_incomplete_files_are_refused(spark, tmp_path, levels, error):
+    ("parts", "error"),
+    [([(0, 24)], "MissingSurfaces"), ([(24, 6)], "MissingSurfaces"), ([(0, 24), (24, 6), (30, 1)], "TooManySurfaces"), ([(0, 25), (24, 6)], "UnexpectedSurfaceSize")],
+)
+def test_incomplete_files_are_refused(spark, tmp_path, parts, error):
     """Nothing is left of the job, the good file of the same job included."""
-    headers = planned(spark, ["good.dds", "bad.dds"])
-    both = pieces(spark, headers, ["good.dds"]).unionByName(pieces(spark, headers.filter("file = 'bad.dds'"), ["bad.dds"], levels)).filter("file = 'bad.dds' or start >= 0").dropDuplicates()
-    if levels == [GOOD[0], *GOOD]:
-        both = pieces(spark, headers.filter("file = 'bad.dds'"), ["bad.dds"], levels)
+    rows = [("good.dds", 5, 0, b"abcde"), *(("bad.dds", 30, start, b"x" * n) for start, n in parts)]
     with pytest.raises(Exception, match=error):
-        files.write(both, str(tmp_path / "out"))
+        files.write(spark.createDataFrame(rows, "file string, file_size long, start long, data binary"), str(tmp_path / "out"))
     assert left(tmp_path / "out") == []
+
+
+def test_surfaces_that_no_layout_wants(spark, tmp_path):
+    headers = planned(spark, ["bad.dds"])
+    for levels, error in (([*GOOD, (2, b"c")], "TooManySurfaces"), (GOOD[1:], "MissingSurfaces"), ([(0, b"a" * 25), GOOD[1]], "UnexpectedSurfaceSize")):
+        with pytest.raises(Exception, match=error):
+            files.write(pieces(spark, headers, ["bad.dds"], levels), str(tmp_path / "out"))
+
+
+def test_repair_keeps_every_row(spark):
+    """Rows of one file_id are repaired each for itself; a cube's six faces and a full chain are found by the length."""
+    headers = planned(spark, ["a", "b", "c", "d"], mips=1).select("*", F.lit(0).alias("no"))
+    rows = headers.withColumns({"file_id": F.lit(7).cast("long"), "no": F.col("file_id")})
+    rows = rows.withColumns({"array_size": F.when(F.col("no") == 0, 6).when(F.col("no") == 1, 0).otherwise(1).cast("long"), "misc": F.when(F.col("no") == 0, 4).otherwise(0).cast("long"), "width": F.when(F.col("no") == 0, 4).otherwise(F.col("width"))})
+    length = F.when(F.col("no") == 0, 6 * 16).when(F.col("no") == 1, 24).when(F.col("no") == 2, 24 + 6 + 1).otherwise(1000) + 148
+    got = container.repair(rows.drop("layout_kind", "elements", "faces", "layout_height", "element_len", "data_len", "layout_error"), length).collect()
+    assert sorted((r.no, r.array_size, r.mipmap_count) for r in got) == [(0, 1, 1), (1, 1, 1), (2, 1, 3), (3, 1, 1)]

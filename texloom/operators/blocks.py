@@ -1,19 +1,16 @@
-"""Block compression as Column expressions: BC1 to BC5 decode, BC7 mode and mode 6, block statistics, palette search.
+"""Block compression as Column expressions: BC1 to BC5 decoded, BC7's modes told apart, palette search.
 
-A block is an array of its bytes (long, 0 to 255); a decoded block is an array of 16 pixels in row order. The vectorised
-kernels in `kernels` decode the same blocks by strips; these expressions are the analytical path.
+`pixels` works on units (functions/units.py): a block is its first and second 64 bits, lo and hi. Palettes are columns of a
+first projection, once a block; the 16 pixels of the block then pick their entries.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from texloom.functions.scalar import bits, shl, shr
-
-
-def pixels() -> Column:
-    return F.sequence(F.lit(0), F.lit(15))
+from texloom.functions.scalar import shl
+from texloom.operators import bc7
 
 
 def byte(block: Column, i: int) -> Column:
@@ -28,63 +25,8 @@ def word(block: Column, at: int, n: int) -> Column:
     return out
 
 
-def _index(value: Column, pixel: Column, width: int) -> Column:
-    return F.call_function("shiftright", value, (pixel * width).cast("int")).bitwiseAND((1 << width) - 1)
-
-
-def bc1_palette(block: Column, at: int, force_four: bool) -> list[list[Column]]:
-    """Four colours (r, g, b, a): interpolated from the 5- and 6-bit end points with one rounding."""
-    c0, c1 = word(block, at, 2), word(block, at + 2, 2)
-    four = F.lit(True) if force_four else c0 > c1
-    out: list[list[Column]] = [[], [], [], []]
-    for low, width in ((11, 5), (5, 6), (0, 5)):
-        a, b = bits(c0, low, width), bits(c1, low, width)
-        top = (1 << width) - 1
-        mul = lambda x, d: F.floor((x * (255 * 2) + top * d) / F.lit(float(2 * top * d))).cast("long")  # noqa: E731  round(x * 255 / (top * d))
-        out[0].append(mul(a, 1))
-        out[1].append(mul(b, 1))
-        out[2].append(F.when(four, mul(a * 2 + b, 3)).otherwise(mul(a + b, 2)))
-        out[3].append(F.when(four, mul(a + b * 2, 3)).otherwise(0).cast("long"))
-    alpha = [F.lit(255).cast("long")] * 3 + [F.when(four, 255).otherwise(0).cast("long")]
-    return [[*c, a] for c, a in zip(out, alpha, strict=True)]
-
-
-def bc1(block: Column, at: int = 0, force_four: bool = False) -> Column:
-    """16 pixels as structs r, g, b, a."""
-    palette = F.array(*(F.struct(*(v.alias(n) for v, n in zip(c, "rgba", strict=True))) for c in bc1_palette(block, at, force_four)))
-    index = word(block, at + 4, 4)
-    return F.transform(pixels(), lambda p: F.get(palette, _index(index, p, 2).cast("int")))
-
-
 def bc2_alpha(block: Column) -> Column:
-    return F.transform(pixels(), lambda p: _index(F.when(p < 8, word(block, 0, 4)).otherwise(word(block, 4, 4)), F.pmod(p, F.lit(8)), 4) * 17)
-
-
-def bc4_palette(block: Column, at: int = 0) -> Column:
-    """Eight 8-bit values: six between the end points, or four and the extremes."""
-    a, b = byte(block, at), byte(block, at + 1)
-    mix = lambda i, d: F.floor((a * (d - i) + b * i) * 2 / F.lit(2.0 * d) + 0.5).cast("long")
-    wide = [a, b, *(mix(i, 7) for i in range(1, 7))]
-    narrow = [a, b, *(mix(i, 5) for i in range(1, 5)), F.lit(0).cast("long"), F.lit(255).cast("long")]
-    return F.when(a > b, F.array(*wide)).otherwise(F.array(*narrow))
-
-
-def bc4(block: Column, at: int = 0, palette: Column | None = None) -> Column:
-    palette = bc4_palette(block, at) if palette is None else palette
-    index = word(block, at + 2, 6)
-    return F.transform(pixels(), lambda p: F.get(palette, _index(index, p, 3).cast("int")))
-
-
-def bc4_snorm_palette(block: Column, at: int = 0) -> Column:
-    """Eight values as 8-bit UNORM: interpolated in the signed range, scaled once."""
-    signed = lambda x: F.when(x > 127, x - 256).otherwise(x)
-    ra, rb = signed(byte(block, at)), signed(byte(block, at + 1))
-    code = lambda x: F.greatest(x + 127, F.lit(0).cast("long"))
-    a, b = code(ra), code(rb)
-    mix = lambda i, d: F.floor(((a * (d - i) + b * i) * 255 * 2 + 254 * d) / F.lit(508.0 * d)).cast("long")
-    wide = [mix(0, 7), mix(7, 7), *(mix(i, 7) for i in range(1, 7))]
-    narrow = [mix(0, 5), mix(5, 5), *(mix(i, 5) for i in range(1, 5)), F.lit(0).cast("long"), F.lit(255).cast("long")]
-    return F.when(ra > rb, F.array(*wide)).otherwise(F.array(*narrow))
+    return F.transform(F.sequence(F.lit(0), F.lit(15)), lambda p: F.call_function("shiftright", F.when(p < 8, word(block, 0, 4)).otherwise(word(block, 4, 4)), F.pmod(p, F.lit(8)) * 4).bitwiseAND(15) * 17)
 
 
 def bc7_mode(block: Column) -> Column:
@@ -96,27 +38,89 @@ def bc7_mode(block: Column) -> Column:
     return out
 
 
-# BC7 weights of 4-bit indices.
-WEIGHTS4 = [0, 4, 9, 13, 17, 21, 26, 30, 34, 38, 43, 47, 51, 55, 60, 64]
+def nearest(value: Column, palette: Column) -> Column:
+    """(error, index) of the nearest palette entry; the first wins a tie."""
+    squared = F.transform(palette, lambda q, i: F.struct(((q - value) * (q - value)).alias("error"), i.alias("index")))
+    return F.array_min(squared)
 
 
-def bit_range(block: Column, at: int, n: int) -> Column:
-    """n bits (at most 40) of the 128-bit little-endian block."""
-    first, last = at // 8, (at + n - 1) // 8
-    return bits(word(block, first, last - first + 1), at - 8 * first, n)
+# -- decoding over lo and hi -------------------------------------------------------------------------------------------
 
+NAMES = [
+    "BC1_UNORM", "BC2_UNORM", "BC2_UNORM_PREMULTIPLIED_ALPHA", "BC3_UNORM", "BC3_UNORM_PREMULTIPLIED_ALPHA", "BC3_UNORM_RXGB", "BC3_UNORM_NORMAL",
+    "BC4_UNORM", "BC4_SNORM", "BC5_UNORM", "BC5_SNORM", "BC7_UNORM",
+]
 
-def bc7_mode6(block: Column) -> Column:
-    """16 pixels of a mode 6 block: one subset, 7-bit end points with a bit shared by the channels, 4-bit indices."""
-    p0, p1 = bit_range(block, 63, 1), bit_range(block, 64, 1)
-    weights = F.array(*(F.lit(w).cast("long") for w in WEIGHTS4))
-    ends = [(bit_range(block, 7 + 14 * c, 7) * 2 + p0, bit_range(block, 14 + 14 * c, 7) * 2 + p1) for c in range(4)]
-    index = F.array(bit_range(block, 65, 3), *(bit_range(block, 68 + 4 * i, 4) for i in range(15)))
-    at = lambda p, e: shr((64 - F.get(weights, F.get(index, p).cast("int"))) * e[0] + F.get(weights, F.get(index, p).cast("int")) * e[1] + 32, 6)
-    return F.transform(pixels(), lambda p: F.struct(*(at(p, e).alias(n) for e, n in zip(ends, "rgba", strict=True))))
 
+def field(x: Column, at: int, n: int) -> Column:
+    return F.call_function("shiftrightunsigned", x, F.lit(at)).bitwiseAND((1 << n) - 1)
 
-def nearest(value: Column, palette: Column) -> Column:
-    """(error, index) of the nearest palette entry; the first wins a tie."""
-    squared = F.transform(palette, lambda q, i: F.struct(((q - value) * (q - value)).alias("error"), i.alias("index")))
-    return F.array_min(squared)
+
+def _picked(x: Column, at: int, n: int) -> Column:
+    """The n-bit index of the row's pixel, of those that begin at a bit of x."""
+    return F.call_function("shiftrightunsigned", x, (F.col("pixel") * n + at).cast("int")).bitwiseAND((1 << n) - 1)
+
+
+def _over(x: Column, d: int) -> Column:
+    return F.call_function("div", x * 2 + d, F.lit(2 * d))
+
+
+def colour_palette(x: Column, four_only: bool) -> dict[str, Column]:
+    """Arrays of the four reds, greens, blues and alphas: mixed from the 5- and 6-bit end points, rounded once."""
+    c0, c1 = field(x, 0, 16), field(x, 16, 16)
+    four = F.lit(True) if four_only else c0 > c1
+    out = {}
+    for name, at, n in (("r", 11, 5), ("g", 5, 6), ("b", 0, 5)):
+        a, b, top = field(c0, at, n) * 255, field(c1, at, n) * 255, (1 << n) - 1
+        out[name] = F.array(_over(a, top), _over(b, top), F.when(four, _over(a * 2 + b, 3 * top)).otherwise(_over(a + b, 2 * top)), F.when(four, _over(a + b * 2, 3 * top)).otherwise(0).cast("long"))
+    out["a"] = F.array(*[F.lit(255).cast("long")] * 3, F.when(four, 255).otherwise(0).cast("long"))
+    return out
+
+
+def value_palette(x: Column, signed: bool) -> Column:
+    """Eight 8-bit values: six between the end points, or four and the extremes. Signed ones are mixed as codes 0 to 254."""
+    a, b, top = field(x, 0, 8), field(x, 8, 8), 255
+    if signed:
+        a, b = (F.when(v > 127, v - 256).otherwise(v) for v in (a, b))
+        six, top = a > b, 254
+        a, b = (F.greatest(v + 127, F.lit(0).cast("long")) for v in (a, b))
+    else:
+        six = a > b
+    mixed = lambda i, d: _over((a * (d - i) + b * i) * 255, top * d)
+    wide = [mixed(0, 7), mixed(7, 7), *(mixed(i, 7) for i in range(1, 7))]
+    narrow = [mixed(0, 5), mixed(5, 5), *(mixed(i, 5) for i in range(1, 5)), F.lit(0).cast("long"), F.lit(255).cast("long")]
+    return F.when(six, F.array(*wide)).otherwise(F.array(*narrow))
+
+
+def pixels(units: DataFrame, name: str) -> DataFrame:
+    """The rows of `units` sixteen times, with pixel (0 to 15, row by row) and the channels of the format."""
+    if name == "BC7_UNORM":
+        return bc7.pixels(units)
+    lo, hi, signed = F.col("lo"), F.col("hi"), "SNORM" in name
+    own = [c for c in units.columns if c not in ("lo", "hi")]
+    colours = lo if name == "BC1_UNORM" else hi
+    palettes: dict[str, Column] = {}
+    if name.startswith(("BC4", "BC5")):
+        palettes = {"p0": value_palette(lo, signed)} | ({"p1": value_palette(hi, signed)} if name.startswith("BC5") else {})
+    else:
+        palettes = {f"p{c}": p for c, p in colour_palette(colours, name.startswith("BC2")).items()} | ({"p0": value_palette(lo, False)} if name.startswith("BC3") else {})
+    spread = units.withColumns(palettes).withColumn("pixel", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))))
+    pick = lambda p, index: F.get(p, index.cast("int"))
+    colour = {c: pick(f"p{c}", _picked(colours, 32, 2)) for c in "rgba"}
+    if name.startswith("BC4"):
+        colour = {"gray": pick("p0", _picked(lo, 16, 3))}
+    elif name.startswith("BC5"):
+        colour = {"r": pick("p0", _picked(lo, 16, 3)), "g": pick("p1", _picked(hi, 16, 3)), "b": F.lit(128 if signed else 0).cast("long")}
+    elif name.startswith("BC2"):
+        colour["a"] = _picked(lo, 0, 4) * 17
+    elif name.startswith("BC3"):
+        colour["a"] = pick("p0", _picked(lo, 16, 3))
+    if name in ("BC3_UNORM_RXGB", "BC3_UNORM_NORMAL"):
+        colour["r"] = colour.pop("a")
+    out = spread.select(*own, "pixel", *(v.alias(c) for c, v in colour.items()))
+    if "PREMULTIPLIED" in name:
+        plain = lambda c: F.least(F.lit(255).cast("long"), F.call_function("div", F.col(c) * 255, F.when(F.col("a") == 0, 255).otherwise(F.col("a"))))
+        out = out.withColumns({c: plain(c) for c in "rgb"})
+    if name == "BC3_UNORM_NORMAL":
+        out = out.withColumn("b", F.floor((F.sqrt(F.greatest(1 - F.pow(F.col("r") / 127.5 - 1, F.lit(2)) - F.pow(F.col("g") / 127.5 - 1, F.lit(2)), F.lit(0.0))) / 2 + 0.5) * 255 + 0.5).cast("long"))
+    return out

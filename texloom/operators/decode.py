@@ -1,97 +1,74 @@
-"""Decoding encoded strips and blocks: NumPy kernels over whole Arrow batches, one pass, no shuffle.
-
-Rows carry their encoded bytes; all blocks (or strips) of a batch are decoded by one call of the kernel, and the pixels
-leave as flat columns, so nothing is written row by row.
-"""
+"""Decoding encoded strips and blocks: units read as longs, all else Column arithmetic, no shuffle."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-from texloom.functions import kernels
 from texloom.functions.formats import pixel_info
+from texloom.functions.units import strip_units, unit_of
+from texloom.operators import blocks, packed
 
 #: Channels of a native raster, by number of channels.
 CHANNELS = {"grayscale": ["gray"], "alpha": ["a"], "rgb": ["r", "g", "b"], "rgba": ["r", "g", "b", "a"]}
 
-#: Pixels decoded at once.
-STACK = 1 << 18
+_FORMAT, _WIDTH, _ROWS = "texloom format", "texloom width", "texloom rows"
+
+
+def native_channels(name: str) -> list[str]:
+    return CHANNELS[packed.NATIVE[name][0]]
 
 
-def _schema(frame: DataFrame, own: list[str], more: list[StructField]) -> StructType:
-    return StructType([frame.schema[c] for c in own] + more)
+def block_size(name: str) -> int:
+    """Bytes of a 4 x 4 block of a format that is decoded here; raises for the others."""
+    if name not in blocks.NAMES:
+        raise NotImplementedError(f"{name} is not decoded")
+    return pixel_info(name)[1]
 
 
-def block_pixels(blocks: DataFrame, name: str) -> DataFrame:
-    """A row for each pixel of each block: the other columns of `blocks`, pixel (0 to 15, row by row) and the channels.
+def _own(frame: DataFrame, used: list[str], made: list[str]) -> list[str]:
+    """The columns that stay; none may be named like one that is made."""
+    own = [c for c in frame.columns if c not in used]
+    if clash := sorted(set(own) & set(made)):
+        raise ValueError(f"columns are in the way of the result: {', '.join(clash)}")
+    return own
 
-    `blocks` has a column data with the bytes of one 4 x 4 block; a null or a block of another length gives no rows."""
-    size = pixel_info(name)[1]
-    channels = CHANNELS[kernels.NATIVE[name][0]]
-    own = [c for c in blocks.columns if c != "data"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fits = pc.fill_null(pc.equal(pc.binary_length(batch.column("data")), size), False)
-            batch = batch.filter(fits)
-            n = batch.num_rows
-            if not n:
-                continue
-            raw = np.frombuffer(b"".join(batch.column("data").to_pylist()), np.uint8).reshape(n, size)
-            pixels = kernels._block_pixels(name, raw).reshape(n * 16, -1)
-            row = pa.array(np.repeat(np.arange(n), 16))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in own), pa.array(np.tile(np.arange(16), n)), *(pa.array(pixels[:, i].astype(np.int64)) for i in range(len(channels)))], [*own, "pixel", *channels])
+def block_pixels(found: DataFrame, name: str) -> DataFrame:
+    """A row for each pixel of each block: the other columns of `found`, pixel (0 to 15, row by row) and the channels.
 
-    return blocks.mapInArrow(run, _schema(blocks, own, [StructField(c, LongType()) for c in ("pixel", *channels)]))
+    `found` has a column data with the bytes of one 4 x 4 block; a null or a block of another length gives no rows."""
+    channels, size = native_channels(name), block_size(name)
+    own = _own(found, ["data"], ["pixel", *channels])
+    units = strip_units(found.select(*own, "data", F.lit(4).alias(_WIDTH), F.lit(4).alias(_ROWS), unit_of(size, 4, 4)), _WIDTH, _ROWS)
+    return blocks.pixels(units, name).select(*own, "pixel", *channels)
 
 
 def strip_pixels(strips: DataFrame, name: str) -> DataFrame:
     """x, y and the channels in the format's native precision (integers, or floats as their 32 bits) of each pixel.
 
     `strips` has columns data, width and rows; what does not hold exactly width x rows pixels gives no rows."""
-    channels = CHANNELS[kernels.NATIVE[name][0]]
-    own = [c for c in strips.columns if c not in ("data", "width", "rows")]
-    kind, size, bw, bh, p1, p2, sx, sy = pixel_info(name)
-
-    def length(w: int, h: int) -> int:
-        if kind == "fixed":
-            return w * h * size
-        if kind == "block":
-            return -(-w // bw) * -(-h // bh) * size
-        return p1 * w * h + p2 * -(-w // sx) * -(-h // sy)
-
-    def stacked(parts: list[bytes], w: int, h: int) -> bytes:
-        """Equal strips below each other as one; planes are laid one after the other."""
-        if kind != "biplanar":
-            return b"".join(parts)
-        return b"".join(p[: p1 * w * h] for p in parts) + b"".join(p[p1 * w * h :] for p in parts)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes: dict[tuple[int, int], list[int]] = {}
-            columns = [batch.column(c).to_pylist() for c in ("data", "width", "rows")]
-            for i, (data, w, h) in enumerate(zip(*columns, strict=True)):
-                if data is not None and w and h and len(data) == length(w, h):
-                    sizes.setdefault((w, h), []).append(i)
-            for (w, h), rows in sizes.items():
-                # strips that end within a block or a cell of chroma stand alone
-                step = max(1, STACK // (w * h)) if h % (sy if kind == "biplanar" else bh if kind == "block" else 1) == 0 else 1
-                for start in range(0, len(rows), step):
-                    some = rows[start : start + step]
-                    pixels = kernels.decode(name, stacked([columns[0][i] for i in some], w, h), w, h * len(some)).reshape(len(some) * w * h, -1)
-                    if pixels.dtype == np.float32:
-                        pixels = np.ascontiguousarray(pixels).view(np.uint32)
-                    at, x, y = np.repeat(some, w * h), np.tile(np.arange(w), h * len(some)), np.tile(np.repeat(np.arange(h), w), len(some))
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at)) for c in own), pa.array(x), pa.array(y), *(pa.array(pixels[:, i].astype(np.int64)) for i in range(len(channels)))], [*own, "x", "y", *channels])
-
-    return strips.mapInArrow(run, _schema(strips, own, [StructField(c, LongType()) for c in ("x", "y", *channels)]))
+    channels = native_channels(name)
+    own = _own(strips, ["data", "width", "rows"], ["x", "y", *channels])
+    if name in packed.NAMES:
+        found = packed.strip_pixels(strips.select(*own, "data", "width", "rows").withColumn(_FORMAT, F.lit(name)), _FORMAT)
+        first = F.col("r").alias("gray") if channels == ["gray"] else None
+        return found.select(*own, "x", "y", *([first] if first is not None else channels))
+    units = strip_units(strips.select(*own, "data", "width", "rows", unit_of(block_size(name), 4, 4)))
+    pixels = blocks.pixels(units, name)
+    placed = pixels.withColumns({"x": F.col("unit_x") * 4 + F.col("pixel") % 4, "y": F.col("unit_y") * 4 + F.call_function("div", F.col("pixel"), F.lit(4))})
+    return placed.filter("x < width and y < rows").select(*own, "x", "y", *channels)
+
+
+def region_pixels(ranges: DataFrame, name: str) -> DataFrame:
+    """The pixels of a rectangle from its byte ranges (sources/files.py: `with_bytes` of `region`): x and y are the surface's."""
+    own = [c for c in ranges.columns if c not in ("data", "width", "height", "x", "y", "span", "lines", "rows")]
+    rect = [F.col("x").alias("_left"), F.col("y").alias("_top"), F.col("span").alias("width"), F.col("lines").alias("rows")]
+    pixels = strip_pixels(ranges.select(*own, *rect, "data"), name)
+    x, y = F.col("x") + F.col("first_x"), F.col("y") + F.col("first_y")
+    placed = pixels.withColumns({"x": x, "y": y})
+    inside = (F.col("x") >= F.col("_left")) & (F.col("x") < F.col("_left") + F.col("rect_width")) & (F.col("y") >= F.col("_top")) & (F.col("y") < F.col("_top") + F.col("rect_height"))
+    return placed.filter(inside).drop("_left", "_top")
 
 
 def rgba(pixels: DataFrame) -> DataFrame:

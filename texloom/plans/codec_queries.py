@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from texloom.functions import kernels
-from texloom.operators import decode, encode, raster
+from texloom.operators import encode, packed, raster
 from texloom.plans import fixtures as X
 from texloom.plans import file_queries, header_queries  # noqa: F401  register their queries
 from texloom.plans.texture_queries import ORACLES, QUERIES, query
@@ -20,14 +18,6 @@ def _word(at: int, size: int) -> str:
     return "(" + " + ".join(f"block[{at + i + 1}] * {256**i}" for i in range(size)) + ")"
 
 
-def _union(frames):
-    return reduce(lambda a, b: a.unionByName(b), frames)
-
-
-def _strips(spark, sf_dir, name: str, width: int, rows: int, size: int):
-    return X.block_bytes(spark, sf_dir).select("doc_id", "k", F.lit(name).alias("format"), F.substring("data", 1, size).alias("data"), F.lit(width).alias("width"), F.lit(rows).alias("rows"))
-
-
 # -- floats ------------------------------------------------------------------------------------------------------------
 
 
@@ -90,15 +80,10 @@ def _float_sql() -> str:
 @query(_float_sql(), X.BLOCKS_SQL)
 def q_decode_float(spark, sf_dir):
     """Channels as the 32 bits of their single-precision numbers, every NaN as the same one."""
-    frames = []
-    for name in _FLOATS:
-        size = kernels.pixel_info(name)[1]
-        n = 16 // size
-        pixels = decode.rgba(decode.strip_pixels(_strips(spark, sf_dir, name, n, 1, n * size), name)).drop("y")
-        one = {} if "a" in decode.CHANNELS[kernels.NATIVE[name][0]] else {"a": F.lit(0x3F800000).cast("long")}
-        frames.append(pixels.withColumns(one))
+    sizes = {name: (n := 16 // (size := kernels.pixel_info(name)[1]), 1, n * size) for name in _FLOATS}
+    pixels = packed.strip_pixels(X.strips(spark, sf_dir, sizes)).drop("y")
     nan = lambda c: F.when(F.col(c).bitwiseAND(F.lit(0x7FFFFFFF)) > 0x7F800000, F.lit(NAN)).otherwise(F.col(c))
-    return _union(frames).withColumns({c: nan(c).cast("long") for c in "rgba"})
+    return pixels.withColumns({c: nan(c).cast("long") for c in "rgba"})
 
 
 # -- YUV ---------------------------------------------------------------------------------------------------------------
@@ -162,12 +147,7 @@ def _yuv_sql() -> str:
 @query(_yuv_sql(), X.BLOCKS_SQL)
 def q_decode_yuv(spark, sf_dir):
     """YUV formats, whole pixels, shared chroma and two planes, in native precision."""
-    frames = []
-    for name, (width, rows, size) in _YUV_STRIPS.items():
-        pixels = decode.rgba(decode.strip_pixels(_strips(spark, sf_dir, name, width, rows, size), name))
-        missing = "a" not in decode.CHANNELS[kernels.NATIVE[name][0]] and kernels.NATIVE[name][1] == "u16"
-        frames.append(pixels.withColumns({"a": F.lit(65535).cast("long")} if missing else {}))
-    return _union(frames)
+    return packed.strip_pixels(X.strips(spark, sf_dir, _YUV_STRIPS))
 
 
 # -- encoding ----------------------------------------------------------------------------------------------------------

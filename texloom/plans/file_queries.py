@@ -46,11 +46,11 @@ def _headers(images: DataFrame) -> DataFrame:
 
 def _stored(spark: SparkSession, sf_dir: str) -> str:
     """Write a file for each document; the second mip level and the second element hold the first bytes again."""
-    images = _images(spark, sf_dir)
-    headers = _headers(images)
+    images, path = _images(spark, sf_dir), _folder(spark)
+    _headers(images).write.parquet(f"{path}-headers")  # used three times below
+    headers = spark.read.parquet(f"{path}-headers")
     wanted = layout.surfaces(headers, ["file"]).select("file_id", "file", "array_index", "mip_level", "depth_slice", "len")
     data = wanted.join(images, "file_id").select("file", "array_index", "mip_level", "depth_slice", F.substring(F.col("padded"), F.lit(1), F.col("len").cast("int")).alias("data"))
-    path = _folder(spark)
     files.write(files.checked(headers, data), path)
     return path
 

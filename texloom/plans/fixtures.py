@@ -45,6 +45,13 @@ def block_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.col("k").cast("long").alias("k"), F.unhex(digest).alias("data"))
 
 
+def strips(spark: SparkSession, sf_dir: str, sizes: dict[str, tuple[int, int, int]]) -> DataFrame:
+    """Each block as a strip of every format: format, data, width, rows; `sizes` has width, rows and bytes of each. One scan."""
+    each = F.array(*(F.struct(F.lit(name).alias("format"), F.lit(w).alias("width"), F.lit(h).alias("rows"), F.lit(n).alias("n")) for name, (w, h, n) in sizes.items()))
+    spread = block_bytes(spark, sf_dir).withColumn("s", F.explode(each))
+    return spread.select("doc_id", "k", "s.format", F.substring(F.col("data"), F.lit(1), F.col("s.n")).alias("data"), "s.width", "s.rows")
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, i, r, g, b, a: each embedding as a block of 16 pixels of 8 bits."""
     emb = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.sequence(F.lit(0), F.lit(15))).alias("i", "_n"), "embedding")

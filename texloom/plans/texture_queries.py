@@ -10,7 +10,7 @@ from texloom.functions import formats as dims
 from texloom.functions import kernels
 from texloom.functions import scalar as S
 from texloom.operators import blocks as B
-from texloom.operators import decode, layout, raster
+from texloom.operators import decode, layout, packed, raster
 from texloom.plans import fixtures as X
 from texloom.sources import container
 
@@ -420,16 +420,7 @@ def _packed_sql(names: list[str]) -> str:
 
 def _packed(spark, sf_dir, names):
     """Each block's bytes as one row of pixels in each of the formats, as RGBA in native precision."""
-    out = None
-    for name in names:
-        size, (_, precision) = kernels.pixel_info(name)[1], kernels.NATIVE[name]
-        n = 16 // size
-        strips = X.block_bytes(spark, sf_dir).select("doc_id", "k", F.lit(name).alias("format"), F.substring("data", 1, n * size).alias("data"), F.lit(n).alias("width"), F.lit(1).alias("rows"))
-        found = decode.rgba(decode.strip_pixels(strips, name)).drop("y")
-        if "a" not in decode.CHANNELS[kernels.NATIVE[name][0]] and precision == "u16":
-            found = found.withColumn("a", F.lit(65535).cast("long"))
-        out = found if out is None else out.unionByName(found)
-    return out
+    return packed.strip_pixels(X.strips(spark, sf_dir, {name: (16 // kernels.pixel_info(name)[1], 1, 16 // kernels.pixel_info(name)[1] * kernels.pixel_info(name)[1]) for name in names})).drop("y")
 
 
 _UNORM8 = ["R8G8B8_UNORM", "B8G8R8_UNORM", "R8G8B8A8_UNORM", "B8G8R8A8_UNORM", "B8G8R8X8_UNORM", "B5G6R5_UNORM", "B5G5R5A1_UNORM", "B4G4R4A4_UNORM", "A4B4G4R4_UNORM", "R8_UNORM", "R8G8_UNORM", "A8_UNORM"]

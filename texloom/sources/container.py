@@ -172,8 +172,10 @@ def repair(headers: DataFrame, file_length: Column) -> DataFrame:
     return first.select(*(F.col(f"_g.{'a' if c == 'array_size' else 'm'}").alias(c) if c in ("array_size", "mipmap_count") else F.col(c) for c in headers.columns))
 
 
-def to_words(headers: DataFrame) -> DataFrame:
-    """Raw words of parsed headers (with format columns): pitch for fixed-size pixels, linear size for others, if they fit."""
+def to_words(headers: DataFrame, keep: list[str] = []) -> DataFrame:
+    """Raw words of parsed headers (with format columns): pitch for fixed-size pixels, linear size for others, if they fit.
+
+    `keep` names columns of `headers` that stay."""
     dx10 = F.col("version") == "dx10"
     pitch = F.col("width") * F.col("bytes")
     linear = layout.surface_bytes(F.col("width"), F.col("height"))
@@ -193,7 +195,7 @@ def to_words(headers: DataFrame) -> DataFrame:
         "mipmap_count": F.col("mipmap_count"), "pf_size": F.lit(32).cast("long"), "pf_flags": pf_flags, "four_cc": four_cc, "caps": caps, "caps2": caps2,
     } | {c: F.when(four_cc == 0, F.coalesce(c, zero)).otherwise(0) for c in ("bits", "r_mask", "g_mask", "b_mask", "a_mask")}
     extension = {"dxgi": F.col("dxgi").cast("long"), "resource_dim": F.col("resource_dim").cast("long"), "misc": F.col("misc"), "array_size": F.col("array_size"), "misc2": F.col("alpha_mode").cast("long")}
-    return headers.select("file_id", *(values.get(w, zero).alias(w) for w in WORDS), *(F.when(dx10, extension[w]).alias(w) for w in DX10_WORDS), dx10.alias("has_dx10"))
+    return headers.select("file_id", *keep, *(values.get(w, zero).alias(w) for w in WORDS), *(F.when(dx10, extension[w]).alias(w) for w in DX10_WORDS), dx10.alias("has_dx10"))
 
 
 def to_dx10(headers: DataFrame) -> DataFrame:

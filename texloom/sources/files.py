@@ -287,9 +287,10 @@ def checked(headers: DataFrame, data: DataFrame) -> DataFrame:
     `headers` comes from `layout.with_layout` and has a column file; `data` has file, array_index, mip_level, depth_slice and
     data. A surface that is wanted and not there leaves a gap, one that is not wanted stands behind the end, and one of another
     length does not fit: the sink then refuses the file."""
-    words = container.to_words(headers)
-    own = headers.select("file_id", "file", F.when(F.col("version") == "dx10", 148).otherwise(128).cast("long").alias("head"), F.col("data_len").cast("long").alias("n"))
-    first = words.select("file_id", container.write_raw(words).alias("data")).join(own, "file_id").select("file", (F.col("head") + F.col("n")).alias("file_size"), F.lit(0).cast("long").alias("start"), "data")
+    sized = headers.withColumns({"head": F.when(F.col("version") == "dx10", 148).otherwise(128).cast("long"), "n": F.col("data_len").cast("long")})
+    words = container.to_words(sized, ["file", "head", "n"])
+    own = sized.select("file_id", "file", "head", "n")
+    first = words.select("file", (F.col("head") + F.col("n")).alias("file_size"), F.lit(0).cast("long").alias("start"), container.write_raw(words).alias("data"))
     wanted = layout.surfaces(headers).select("file_id", "array_index", "mip_level", "depth_slice", F.col("offset").cast("long").alias("offset"), F.col("len").cast("long").alias("len"))
     given = data.join(own, "file").join(wanted, ["file_id", "array_index", "mip_level", "depth_slice"], "left")
     start = F.col("head") + F.coalesce("offset", "n")
