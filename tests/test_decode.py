@@ -110,7 +110,7 @@ def test_what_is_not_decoded_is_refused(spark):
     from texloom.operators import decode
 
     blocks = spark.createDataFrame([(1, bytes(16))], "id long, data binary")
-    for name in ("BC6H_UF16", "BC6H_SF16", "ASTC_4X4_UNORM", "R8_UNORM"):
+    for name in ("ASTC_4X4_UNORM", "ASTC_12X12_UNORM", "R8_UNORM"):
         with pytest.raises(NotImplementedError):
             decode.block_pixels(blocks, name)
     for column, name in (("gray", "BC4_UNORM"), ("pixel", "BC7_UNORM"), ("r", "BC1_UNORM")):

@@ -60,3 +60,23 @@ BC7_MODES = [
     (1, 0, 0, 0, 7, 7, 1, 4, 0),
     (2, 6, 0, 0, 5, 5, 1, 2, 0),
 ]
+
+# The BC6H modes as the public Khronos data format specification lists them. Each line has the mode bits, the
+# bits of the first end point, of the deltas of red, green and blue, whether end points are deltas, and then the fields from
+# the lowest bit up: channel, end point (w, x, y, z), and bits low..high or one bit; high..low is stored the other way round.
+BC6_MODES = """
+0 10 5 5 5 1 gy4 by4 bz4 rw0..9 gw0..9 bw0..9 rx0..4 gz4 gy0..3 gx0..4 bz0 gz0..3 bx0..4 bz1 by0..3 ry0..4 bz2 rz0..4 bz3
+1 7 6 6 6 1 gy5 gz4 gz5 rw0..6 bz0 bz1 by4 gw0..6 by5 bz2 gy4 bw0..6 bz3 bz5 bz4 rx0..5 gy0..3 gx0..5 gz0..3 bx0..5 by0..3 ry0..5 rz0..5
+2 11 5 4 4 1 rw0..9 gw0..9 bw0..9 rx0..4 rw10 gy0..3 gx0..3 gw10 bz0 gz0..3 bx0..3 bw10 bz1 by0..3 ry0..4 bz2 rz0..4 bz3
+6 11 4 5 4 1 rw0..9 gw0..9 bw0..9 rx0..3 rw10 gz4 gy0..3 gx0..4 gw10 gz0..3 bx0..3 bw10 bz1 by0..3 ry0..3 bz0 bz2 rz0..3 gy4 bz3
+10 11 4 4 5 1 rw0..9 gw0..9 bw0..9 rx0..3 rw10 by4 gy0..3 gx0..3 gw10 bz0 gz0..3 bx0..4 bw10 by0..3 ry0..3 bz1 bz2 rz0..3 bz4 bz3
+14 9 5 5 5 1 rw0..8 by4 gw0..8 gy4 bw0..8 bz4 rx0..4 gz4 gy0..3 gx0..4 bz0 gz0..3 bx0..4 bz1 by0..3 ry0..4 bz2 rz0..4 bz3
+18 8 6 5 5 1 rw0..7 gz4 by4 gw0..7 bz2 gy4 bw0..7 bz3 bz4 rx0..5 gy0..3 gx0..4 bz0 gz0..3 bx0..4 bz1 by0..3 ry0..5 rz0..5
+22 8 5 6 5 1 rw0..7 bz0 by4 gw0..7 gy5 gy4 bw0..7 gz5 bz4 rx0..4 gz4 gy0..3 gx0..5 gz0..3 bx0..4 bz1 by0..3 ry0..4 bz2 rz0..4 bz3
+26 8 5 5 6 1 rw0..7 bz1 by4 gw0..7 by5 gy4 bw0..7 bz5 bz4 rx0..4 gz4 gy0..3 gx0..4 bz0 gz0..3 bx0..5 by0..3 ry0..4 bz2 rz0..4 bz3
+30 6 6 6 6 0 rw0..5 gz4 bz0 bz1 by4 gw0..5 gy5 by5 bz2 gy4 bw0..5 gz5 bz3 bz5 bz4 rx0..5 gy0..3 gx0..5 gz0..3 bx0..5 by0..3 ry0..5 rz0..5
+3 10 10 10 10 0 rw0..9 gw0..9 bw0..9 rx0..9 gx0..9 bx0..9
+7 11 9 9 9 1 rw0..9 gw0..9 bw0..9 rx0..8 rw10 gx0..8 gw10 bx0..8 bw10
+11 12 8 8 8 1 rw0..9 gw0..9 bw0..9 rx0..7 rw11..10 gx0..7 gw11..10 bx0..7 bw11..10
+15 16 4 4 4 1 rw0..9 gw0..9 bw0..9 rx0..3 rw15..10 gx0..3 gw15..10 bx0..3 bw15..10
+""".strip().split("\n")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from texloom.functions.scalar import shl
-from texloom.operators import bc7
+from texloom.operators import bc6, bc7
 
 
 def byte(block: Column, i: int) -> Column:
@@ -48,7 +48,7 @@ def nearest(value: Column, palette: Column) -> Column:
 
 NAMES = [
     "BC1_UNORM", "BC2_UNORM", "BC2_UNORM_PREMULTIPLIED_ALPHA", "BC3_UNORM", "BC3_UNORM_PREMULTIPLIED_ALPHA", "BC3_UNORM_RXGB", "BC3_UNORM_NORMAL",
-    "BC4_UNORM", "BC4_SNORM", "BC5_UNORM", "BC5_SNORM", "BC7_UNORM",
+    "BC4_UNORM", "BC4_SNORM", "BC5_UNORM", "BC5_SNORM", "BC6H_UF16", "BC6H_SF16", "BC7_UNORM",
 ]
 
 
@@ -96,6 +96,8 @@ def pixels(units: DataFrame, name: str) -> DataFrame:
     """The rows of `units` sixteen times, with pixel (0 to 15, row by row) and the channels of the format."""
     if name == "BC7_UNORM":
         return bc7.pixels(units)
+    if name.startswith("BC6H"):
+        return bc6.pixels(units, name == "BC6H_SF16")
     lo, hi, signed = F.col("lo"), F.col("hi"), "SNORM" in name
     own = [c for c in units.columns if c not in ("lo", "hi")]
     colours = lo if name == "BC1_UNORM" else hi

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from texloom.functions import kernels
 from texloom.operators import encode, packed, raster
 from texloom.plans import fixtures as X
-from texloom.plans import file_queries, header_queries, mip_queries  # noqa: F401  register their queries
+from texloom.plans import bc6_queries, file_queries, header_queries, mip_queries  # noqa: F401  register their queries
 from texloom.plans.texture_queries import ORACLES, QUERIES, query
 
 NAN = 0x7FC00000
