@@ -12,21 +12,30 @@ from texloom.plans.texture_queries import query
 from texloom.sources import container
 
 
+# The format that a header itself says: its code's, that of its FourCC, or R8G8B8A8_UNORM for formats without a code. Every
+# 37th header is so large that no size fits 32 bits.
+_SAID_SQL = f"""sd AS (SELECT od.file_id, shape, mips, face_mask, array_size, depth, n.kind, n.bytes, n.dxgi, CAST(width * big AS BIGINT) AS w, CAST(height * big AS BIGINT) AS h,
+  CASE n.kind WHEN 'fixed' THEN (width * big)::HUGEINT * n.bytes ELSE {T._BYTES.format(w="(width * big)::HUGEINT", h="(height * big)::HUGEINT").replace("kind", "n.kind").replace("* bytes", "* n.bytes").replace("block_", "n.block_").replace("plane", "n.plane").replace("sub_", "n.sub_")} END AS size
+  FROM (SELECT *, CASE WHEN file_id % 37 = 0 THEN 262144 ELSE 1 END AS big FROM od) od JOIN fm f USING (format_no)
+  JOIN (SELECT *, row_number() OVER (PARTITION BY format ORDER BY format_no) AS no FROM fm) n ON n.no = 1 AND n.format = CASE WHEN shape = 4 THEN 'BC3_UNORM' WHEN f.dxgi IS NULL THEN 'R8G8B8A8_UNORM' ELSE f.format END)"""
+
+
 @query(
-    f"""SELECT file_id, CAST(4103 + 131072 + CASE kind WHEN 'fixed' THEN 8 ELSE 524288 END + CASE WHEN shape = 2 THEN 8388608 ELSE 0 END AS BIGINT) AS flags, CAST(CASE kind WHEN 'fixed' THEN width * bytes ELSE {T._BYTES.format(w="width", h="height")} END AS BIGINT) AS pitch,
-CAST(CASE WHEN shape = 2 THEN depth ELSE 1 END AS BIGINT) AS depth, CAST(mips AS BIGINT) AS mipmap_count, CAST(4096 + CASE WHEN mips > 1 THEN 4194312 ELSE 0 END AS BIGINT) AS caps,
+    """SELECT file_id, w AS width, h AS height, CAST(4103 + 131072 + CASE WHEN size >= 4294967296 THEN 0 WHEN kind = 'fixed' THEN 8 ELSE 524288 END + CASE WHEN shape = 2 THEN 8388608 ELSE 0 END AS BIGINT) AS flags, CAST(CASE WHEN size < 4294967296 THEN size ELSE 0 END AS BIGINT) AS pitch,
+CAST(CASE WHEN shape = 2 THEN depth ELSE 1 END AS BIGINT) AS depth, CAST(mips AS BIGINT) AS mipmap_count, CAST(4096 + CASE WHEN mips > 1 THEN 4194312 ELSE 0 END AS BIGINT) AS caps, CASE WHEN shape <> 4 THEN CAST(dxgi AS BIGINT) END AS dxgi,
 CAST(CASE shape WHEN 4 THEN 512 + CASE WHEN face_mask = 0 THEN 1 ELSE face_mask END * 1024 WHEN 2 THEN 2097152 WHEN 3 THEN 65024 ELSE 0 END AS BIGINT) AS caps2, CAST(CASE WHEN shape = 4 THEN 894720068 ELSE 808540228 END AS BIGINT) AS four_cc,
-CAST(CASE WHEN shape <> 4 THEN CASE WHEN shape = 3 THEN 4 ELSE 0 END END AS BIGINT) AS misc, CAST(CASE WHEN shape = 2 THEN 1 WHEN shape <> 4 THEN array_size END AS BIGINT) AS array_size FROM od JOIN fm USING (format_no)""",
-    X.ORDERS_SQL, T._FORMATS_SQL,
+CAST(CASE WHEN shape <> 4 THEN CASE WHEN shape = 3 THEN 4 ELSE 0 END END AS BIGINT) AS misc, CAST(CASE WHEN shape = 2 THEN 1 WHEN shape <> 4 THEN array_size END AS BIGINT) AS array_size FROM sd""",
+    X.ORDERS_SQL, T._FORMATS_SQL, _SAID_SQL,
 )
 def q_header_write(spark, sf_dir):
-    """Raw words of headers of every shape and format, written as bytes and read again."""
-    none = F.lit(None).cast("long")
-    legacy = F.col("version") == "dx9"
-    headers = T._synthetic_headers(spark, sf_dir).withColumns({"dxgi": F.lit(28), "alpha_mode": F.lit(1), "four_cc": F.when(legacy, dims.fourcc_number("DXT5")).cast("long")} | {c: none for c in ("pf_flags", "bits", "r_mask", "g_mask", "b_mask", "a_mask")})
-    words = container.to_words(headers)
+    """Raw words of headers of every shape and format, written as bytes and read again; sizes follow the header's own format."""
+    none, legacy, big = F.lit(None).cast("long"), F.col("version") == "dx9", F.when(F.col("file_id") % 37 == 0, 262144).otherwise(1)
+    codes = dims.formats(spark).select("format", "dxgi")
+    headers = T._synthetic_headers(spark, sf_dir).drop(*layout.INFO).join(F.broadcast(codes), "format").drop("format")  # a row a format
+    headers = headers.withColumns({"dxgi": F.when(~legacy, F.coalesce("dxgi", F.lit(28))).cast("int"), "alpha_mode": F.lit(1), "four_cc": F.when(legacy, dims.fourcc_number("DXT5")).cast("long"), "width": F.col("width") * big, "height": F.col("height") * big} | {c: none for c in ("pf_flags", "bits", "r_mask", "g_mask", "b_mask", "a_mask")})
+    words = container.to_words(container.with_format(headers))
     back = container.raw_words(words.select("file_id", container.write_raw(words).alias("content")))
-    return back.select("file_id", *(F.col(c).cast("long").alias(c) for c in ("flags", "pitch", "depth", "mipmap_count", "caps", "caps2", "four_cc", "misc", "array_size")))
+    return back.select("file_id", *(F.col(c).cast("long").alias(c) for c in ("width", "height", "flags", "pitch", "depth", "mipmap_count", "caps", "dxgi", "caps2", "four_cc", "misc", "array_size")))
 
 
 _BAD = "file_id % 6"

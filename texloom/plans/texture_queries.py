@@ -134,23 +134,33 @@ def q_chroma_420(spark, sf_dir):
 
 
 @query(
-    """WITH h AS (SELECT event_id, event_id % 65536 AS w FROM events), p AS (SELECT event_id, w >> 15 AS s, (w >> 10) & 31 AS e, w & 1023 AS m FROM h WHERE ((w >> 10) & 31) < 31)
-SELECT event_id, CAST(round((CASE WHEN s = 1 THEN -1 ELSE 1 END) * (CASE WHEN e = 0 THEN m * pow(2.0, -24) ELSE (m + 1024) * pow(2.0, e - 25) END) * 16777216) AS BIGINT) AS scaled FROM p"""
+    """WITH h AS (SELECT event_id, event_id % 65536 AS w FROM events), p AS (SELECT event_id, w >> 15 AS s, (w >> 10) & 31 AS e, w & 1023 AS m FROM h)
+SELECT event_id, CASE WHEN e < 31 THEN CAST(round((CASE WHEN s = 1 THEN -1 ELSE 1 END) * (CASE WHEN e = 0 THEN m * pow(2.0, -24) ELSE (m + 1024) * pow(2.0, e - 25) END) * 16777216) AS BIGINT) END AS scaled,
+CASE WHEN e = 31 THEN CASE WHEN m > 0 THEN 'nan' WHEN s = 1 THEN '-inf' ELSE 'inf' END END AS special FROM p"""
 )
 def q_half_decode(spark, sf_dir):
-    ev = X.table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 65536).alias("w"))
-    return ev.filter(S.bits(F.col("w"), 10, 5) < 31).select("event_id", F.round(S.half_to_double(F.col("w")) * 16777216.0).cast("long").alias("scaled"))
+    """Halves of all bit patterns: finite ones scaled to whole numbers, the others by name."""
+    ev = X.table(spark, sf_dir, "events").select("event_id", S.half_to_double((F.col("event_id") % 65536).cast("long")).alias("v"))
+    return ev.select("event_id", F.when(_special("v").isNull(), F.round(F.col("v") * 16777216.0)).cast("long").alias("scaled"), _special("v").alias("special"))
+
+
+def _special(name: str):
+    """What a number is that is not finite, else null."""
+    v, inf = F.col(name), float("inf")
+    return F.when(F.isnan(v), "nan").when(v == inf, "inf").when(v == -inf, "-inf")
 
 
 @query(
-    """WITH p AS (SELECT event_id, event_id % 2048 AS f11, event_id % 1024 AS f10 FROM events WHERE (event_id % 2048) < 1984 AND (event_id % 1024) < 992)
-SELECT event_id, CAST((CASE WHEN f11 >> 6 = 0 THEN (f11 & 63) * pow(2.0, -20) ELSE ((f11 & 63) + 64) * pow(2.0, (f11 >> 6) - 21) END) * 1048576 AS BIGINT) AS v11,
-CAST((CASE WHEN f10 >> 5 = 0 THEN (f10 & 31) * pow(2.0, -19) ELSE ((f10 & 31) + 32) * pow(2.0, (f10 >> 5) - 20) END) * 524288 AS BIGINT) AS v10 FROM p"""
+    """WITH p AS (SELECT event_id, event_id % 2048 AS f11, event_id % 1024 AS f10 FROM events)
+SELECT event_id, CASE WHEN f11 < 1984 THEN CAST((CASE WHEN f11 >> 6 = 0 THEN (f11 & 63) * pow(2.0, -20) ELSE ((f11 & 63) + 64) * pow(2.0, (f11 >> 6) - 21) END) * 1048576 AS BIGINT) END AS v11,
+CASE WHEN f10 < 992 THEN CAST((CASE WHEN f10 >> 5 = 0 THEN (f10 & 31) * pow(2.0, -19) ELSE ((f10 & 31) + 32) * pow(2.0, (f10 >> 5) - 20) END) * 524288 AS BIGINT) END AS v10,
+CASE WHEN f11 = 1984 THEN 'inf' WHEN f11 > 1984 THEN 'nan' END AS special11, CASE WHEN f10 = 992 THEN 'inf' WHEN f10 > 992 THEN 'nan' END AS special10 FROM p"""
 )
 def q_small_floats(spark, sf_dir):
-    ev = X.table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 2048).alias("f11"), (F.col("event_id") % 1024).alias("f10"))
-    ok = ev.filter("f11 < 1984 and f10 < 992")
-    return ok.select("event_id", (S.small_float(F.col("f11"), 6) * 1048576.0).cast("long").alias("v11"), (S.small_float(F.col("f10"), 5) * 524288.0).cast("long").alias("v10"))
+    """Unsigned floats of 11 and 10 bits: finite ones scaled to whole numbers, the others by name."""
+    ev = X.table(spark, sf_dir, "events").select("event_id", S.small_float((F.col("event_id") % 2048).cast("long"), 6).alias("a"), S.small_float((F.col("event_id") % 1024).cast("long"), 5).alias("b"))
+    whole = lambda c, scale: F.when(_special(c).isNull(), F.col(c) * scale).cast("long")
+    return ev.select("event_id", whole("a", 1048576.0).alias("v11"), whole("b", 524288.0).alias("v10"), _special("a").alias("special11"), _special("b").alias("special10"))
 
 
 @query(
