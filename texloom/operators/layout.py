@@ -123,3 +123,26 @@ def missing_surfaces(expected: DataFrame, written: DataFrame) -> DataFrame:
     both = e.join(w, key, "full")
     status = F.when(F.col("ww").isNull(), "MissingSurfaces").when(F.col("ew").isNull(), "TooManySurfaces").when((F.col("ew") != F.col("ww")) | (F.col("eh") != F.col("wh")), "UnexpectedSurfaceSize")
     return both.select(*key, status.alias("status")).filter("status is not null")
+
+
+def cursor(laid: DataFrame, keep: list[str] = []) -> DataFrame:
+    """The surfaces in scan order as places of a cursor: ordinal (from 0), count, elapsed bytes, and where each move leads.
+
+    previous and next are the ordinals that rewinding and skipping a surface lead to (null before the first and behind the
+    last). skip_to and skip_bytes belong to skipping the rest of the mip levels: nothing at level 0, else to the next element
+    (count stands for the end). Within a level of a volume that is an error (skip_error). All are closed forms of the header,
+    so there is no window over a file's surfaces."""
+    volume, levels = F.col("layout_kind") == "volume", F.sequence(F.lit(0), F.col("mipmap_count").cast("int") - 1)
+    deep = lambda k: F.when(F.col("_volume"), mip_size(F.coalesce("_depth", F.lit(1).cast("long")), k)).otherwise(F.lit(1).cast("long"))
+    marked = laid.withColumns({"_volume": volume, "_depth": F.col("depth"), "_levels": levels, "_elements": F.col("elements"), "_bytes": F.col("element_len")})
+    rows = surfaces(marked, [*keep, "_volume", "_depth", "_levels", "_elements", "_bytes"])
+    total = lambda picked: F.aggregate(F.transform(picked, deep), F.lit(0).cast("long"), lambda a, d: a + d)
+    each, before = total(F.col("_levels")), total(F.filter("_levels", lambda k: k < F.col("mip_level")))
+    rows = rows.withColumns({"_each": each, "ordinal": F.col("array_index") * each + before + F.col("depth_slice"), "count": F.col("_elements") * each, "elapsed": F.col("offset").cast("long")})
+    end = ((F.col("array_index") + 1).cast("decimal(20,0)") * F.col("_bytes").cast("decimal(20,0)")).cast("decimal(38,0)").cast("long")
+    error = F.when(F.col("_volume") & (F.col("depth_slice") > 0), "CannotSkipMipmapsInVolume")
+    moved = F.col("mip_level") > 0
+    return rows.withColumns({
+        "previous": F.when(F.col("ordinal") > 0, F.col("ordinal") - 1), "next": F.when(F.col("ordinal") + 1 < F.col("count"), F.col("ordinal") + 1), "skip_error": error,
+        "skip_bytes": F.when(error.isNull(), F.when(moved, end - F.col("elapsed")).otherwise(0)), "skip_to": F.when(error.isNull(), F.when(moved, (F.col("array_index") + 1) * F.col("_each")).otherwise(F.col("ordinal"))),
+    }).drop("_volume", "_depth", "_levels", "_elements", "_bytes", "_each")

@@ -91,3 +91,36 @@ def q_dx10_dx9(spark, sf_dir):
     )
     out = container.to_dx9(headers)
     return out.select("file_id", "convertible", "four_cc", F.col("mask.bits").cast("long").alias("bits"), F.col("mask.r_mask").cast("long").alias("r_mask"), "caps2")
+
+
+# -- cursor ------------------------------------------------------------------------------------------------------------
+
+_SCAN_SQL = f"""ls AS (SELECT file_id, shape, mips, m, e, s, w, h, {T._BYTES.format(w="w", h="h")} AS len FROM (
+  SELECT od.*, fm.* EXCLUDE (format_no), m, e, s, greatest(width >> m, 1) AS w, CASE WHEN shape = 1 THEN 1 ELSE greatest(height >> m, 1) END AS h
+  FROM od JOIN fm USING (format_no), unnest(range(mips)) a(m), unnest(range(CASE shape WHEN 2 THEN 1 WHEN 3 THEN array_size * 6 WHEN 4 THEN bit_count(CASE WHEN face_mask = 0 THEN 1 ELSE face_mask END) ELSE array_size END)) b(e), unnest(range(CASE WHEN shape = 2 THEN greatest(depth >> m, 1) ELSE 1 END)) c(s))),
+sc AS (SELECT *, row_number() OVER f - 1 AS ordinal, count(*) OVER (PARTITION BY file_id) AS n, sum(len) OVER f - len AS elapsed, sum(len) OVER (PARTITION BY file_id, e ORDER BY m, s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest,
+  max(0) OVER f AS z FROM ls WINDOW f AS (PARTITION BY file_id ORDER BY e, m, s ROWS UNBOUNDED PRECEDING)),
+nx AS (SELECT *, lag(ordinal) OVER f AS previous, lead(ordinal) OVER f AS next, max(ordinal) OVER (PARTITION BY file_id, e) + 1 AS beyond FROM sc WINDOW f AS (PARTITION BY file_id ORDER BY ordinal))"""
+
+
+@query(
+    """SELECT file_id, e AS array_index, CAST(m AS INTEGER) AS mip_level, CAST(s AS BIGINT) AS depth_slice, ordinal, n AS count, CAST(elapsed AS BIGINT) AS elapsed, previous, next,
+CASE WHEN shape = 2 AND s > 0 THEN 'CannotSkipMipmapsInVolume' END AS skip_error, CAST(CASE WHEN shape = 2 AND s > 0 THEN NULL WHEN m = 0 THEN 0 ELSE rest END AS BIGINT) AS skip_bytes, CASE WHEN shape = 2 AND s > 0 THEN NULL WHEN m = 0 THEN ordinal ELSE beyond END AS skip_to FROM nx""",
+    X.ORDERS_SQL, T._FORMATS_SQL, _SCAN_SQL,
+)
+def q_surface_cursor(spark, sf_dir):
+    """Every place of a cursor over the surfaces of textures, arrays, volumes and (partial) cube maps, and where it moves."""
+    rows = layout.cursor(layout.with_layout(T._synthetic_headers(spark, sf_dir)))
+    return rows.select("file_id", "array_index", "mip_level", "depth_slice", "ordinal", "count", "elapsed", "previous", "next", "skip_error", "skip_bytes", "skip_to")
+
+
+_PICK = "m = file_id % 5 AND e = file_id % 3 AND s = file_id % 2"
+
+
+@query(f"SELECT file_id, w AS width, h AS height, CAST(elapsed AS BIGINT) AS \"offset\", CAST(len AS BIGINT) AS len FROM sc WHERE {_PICK}", X.ORDERS_SQL, T._FORMATS_SQL, _SCAN_SQL)
+def q_surface_get(spark, sf_dir):
+    """One surface of each file by element, level and slice; files without it have no row."""
+    rows = layout.surfaces(layout.with_layout(T._synthetic_headers(spark, sf_dir)))
+    key = F.col("file_id")
+    found = rows.filter((F.col("mip_level") == key % 5) & (F.col("array_index") == key % 3) & (F.col("depth_slice") == key % 2))
+    return found.select("file_id", "width", "height", F.col("offset").cast("long").alias("offset"), F.col("len").cast("long").alias("len"))
