@@ -57,10 +57,6 @@ def snorm8(x: Column, target: int) -> Column:
     return rounded(snorm_code(x, 8), (1 << target) - 1, 254)
 
 
-def snorm16(x: Column, target: int) -> Column:
-    return rounded(snorm_code(x, 16), (1 << target) - 1, 65534)
-
-
 def to_snorm(x: Column, width: int) -> Column:
     """A real number in [0, 1] as the stored two's-complement number of n bits."""
     top = (1 << width) - 2
@@ -69,12 +65,6 @@ def to_snorm(x: Column, width: int) -> Column:
     return F.pmod(code + half, F.lit(2 * half))
 
 
-def xr10(x: Column, target: int) -> Column:
-    """Biased 2.8 fixed point, clamped to the unit range."""
-    n = F.least(F.greatest(_l(x) - 384, F.lit(0).cast("long")), F.lit(510).cast("long"))
-    return rounded(n, (1 << target) - 1, 510)
-
-
 # Channel conversion: what each set of channels shows of a pixel (r, g, b, a), with ONE for alpha and ZERO for colour that is missing.
 def convert(source: str, target: str, px: dict[str, Column], one: Column) -> list[Column]:
     """px: r, g, b, a by what the source has (grayscale has r alone). Gray is red alone, never luma."""
@@ -140,14 +130,3 @@ def shared_exponent(x: Column) -> list[Column]:
 
 def srgb_to_linear(c: Column) -> Column:
     return F.when(c <= 0.04045, c / 12.92).otherwise(F.pow((c + 0.055) / 1.055, F.lit(2.4)))
-
-
-def linear_to_srgb(c: Column) -> Column:
-    return F.when(c <= 0.0031308, c * 12.92).otherwise(F.pow(c, F.lit(1 / 2.4)) * 1.055 - 0.055)
-
-
-def oklab_lightness(r: Column, g: Column, b: Column) -> Column:
-    """Lightness of the public Oklab space from sRGB in [0, 1]."""
-    r, g, b = (srgb_to_linear(c) for c in (r, g, b))
-    l_, m_, s_ = (F.cbrt(r * x + g * y + b * z) for x, y, z in ((0.4122214708, 0.5363325363, 0.0514459929), (0.2119034982, 0.6806995451, 0.1073969566), (0.0883024619, 0.2817188376, 0.6299787005)))
-    return l_ * 0.2104542553 + m_ * 0.7936177850 - s_ * 0.0040720468
