@@ -5,7 +5,8 @@ from functools import lru_cache
 
 from texloom.functions import bc_tables
 from texloom.functions.formats import pixel_info
-from texloom.functions.kernels import HALF, NATIVE, PAIRS, TYPES, bc1_colours, fields, real, scaled
+from tests.plain_encode import HALF, NATIVE, PAIRS, fields
+from texloom.functions.kernels import TYPES, bc1_colours, real, scaled
 
 TO_RGB = ((1.164383, 0.0, 1.596027), (1.164383, -0.391762, -0.812968), (1.164383, 2.017232, 0.0))
 

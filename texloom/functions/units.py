@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 #: Units of one batch of rows.
 UNITS = 1 << 16
@@ -78,3 +78,36 @@ def strip_units(strips: DataFrame, width_column: str = "width", rows_column: str
 def unit_of(size: int, across: int, high: int) -> Column:
     """The geometry of a format in one plane."""
     return F.struct(*(F.lit(v).alias(c) for c, v in zip(GEOMETRY, (size, across, high, 0, 0), strict=True))).alias(UNIT)
+
+
+@F.arrow_udf(returnType=ArrayType(LongType()))
+def numbers_of(data: pa.Array, size: pa.Array) -> pa.Array:
+    """Bytes as little-endian numbers of 1 to 8 bytes (of 8 bytes signed); null where they are not whole numbers."""
+    parts, lengths = [], []
+    for value, n in zip(data, size.to_pylist(), strict=True):
+        raw = value.as_buffer() if value.is_valid else None
+        if raw is None or not n or raw.size % n:
+            lengths.append(None)
+            continue
+        table = np.zeros((raw.size // n, 8), np.uint8)
+        table[:, :n] = np.frombuffer(raw, np.uint8).reshape(-1, n)
+        parts.append(table.view("<i8").reshape(-1))
+        lengths.append(len(table))
+    ends = np.concatenate([[0], np.cumsum([n or 0 for n in lengths])]).astype(np.int32)
+    values = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values), mask=pa.array([n is None for n in lengths]))
+
+
+def with_bytes(frame: DataFrame, numbers: str, size: str, name: str) -> DataFrame:
+    """The inverse of `numbers_of`: `numbers` and `size` give way to `name`, the low bytes of each number, little-endian."""
+    own = [c for c in frame.columns if c not in (numbers, size)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for value, n in zip(batch.column(numbers), batch.column(size).to_pylist(), strict=True):
+                table = value.values.to_numpy(zero_copy_only=False).astype("<i8") if value.is_valid else None
+                out.append(None if table is None else table.view(np.uint8).reshape(-1, 8)[:, :n].tobytes())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(out, pa.binary())], [*own, name])
+
+    return frame.mapInArrow(run, StructType([*(frame.schema[c] for c in own), StructField(name, BinaryType())]))

@@ -1,4 +1,5 @@
-"""Encoding strips of pixels: NumPy kernels over Arrow batches, one pass for all formats asked for, no shuffle."""
+"""Encoding strips of pixels: Columns for packed, sub-sampled and bi-planar formats (operators/packing), NumPy kernels over Arrow
+batches for block formats. No shuffle."""
 
 from __future__ import annotations
 
@@ -11,6 +12,7 @@ from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from texloom.functions import kernels
 from texloom.functions.formats import pixel_info
+from texloom.operators import packing
 
 #: Pixels encoded at once.
 STACK = 1 << 16
@@ -20,22 +22,21 @@ def strips(frame: DataFrame, names: list[str], channels: str = "rgba", precision
     """A row for each strip and format: the other columns of `frame`, format, and data encoded in it.
 
     `frame` has columns data (pixels row by row, in the given channels and precision), width and rows. What does not hold
-    exactly width x rows pixels becomes null; so does an odd size in a bi-planar format, whose chroma needs whole cells.
-    Pixels of a fixed size need no rows: all strips of a batch are encoded by one call, and so are blocks in equal strips."""
+    exactly width x rows pixels becomes null; so does an odd size in a bi-planar format, whose chroma needs whole cells."""
+    plain = [n for n in names if n in packing.NAMES]
+    rest = [n for n in names if n not in packing.NAMES]
+    if plain and rest:
+        return packing.strips(frame, plain, channels, precision).unionByName(_blocks(frame, rest, channels, precision))
+    return packing.strips(frame, plain, channels, precision) if plain else _blocks(frame, rest, channels, precision)
+
+
+def _blocks(frame: DataFrame, names: list[str], channels: str, precision: str) -> DataFrame:
+    """Block formats: equal strips of a batch are encoded as one raster."""
     own = [c for c in frame.columns if c not in ("data", "width", "rows", "format")]
     dtype, n = np.dtype(kernels.TYPES[precision]), {"grayscale": 1, "alpha": 1, "rgb": 3, "rgba": 4}[channels]
 
     def encoded(name: str, rows: list[tuple[bytes, int, int] | None]) -> list[bytes | None]:
-        kind, size = pixel_info(name)[:2]
-        if kind == "fixed":
-            whole = [r for r in rows if r]
-            raster = np.frombuffer(b"".join(r[0] for r in whole), dtype).reshape(1, -1, n)
-            out = kernels.encode(name, raster, channels) if whole else b""
-            ends = iter(np.cumsum([r[1] * r[2] * size for r in whole]).tolist())
-            return [out[(end := next(ends)) - r[1] * r[2] * size : end] if r else None for r in rows]
         one = lambda r: kernels.encode(name, np.frombuffer(r[0], dtype).reshape(r[2], r[1], n), channels)
-        if kind == "biplanar":
-            return [one(r) if r and not (r[1] % 2 or r[2] % 2) else None for r in rows]
         # strips of one size lie below each other as one raster, where each ends with whole blocks
         result: list[bytes | None] = [None] * len(rows)
         sizes: dict[tuple[int, int], list[int]] = {}

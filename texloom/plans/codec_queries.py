@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from texloom.functions import kernels
+from texloom.functions.formats import pixel_info
+from texloom.functions.units import numbers_of
 from texloom.operators import encode, packed, raster
 from texloom.plans import fixtures as X
 from texloom.plans import bc6_queries, file_queries, header_queries, mip_queries  # noqa: F401  register their queries
-from texloom.plans.texture_queries import ORACLES, QUERIES, query
+from texloom.plans.texture_queries import NATIVE, ORACLES, QUERIES, named_bits, query
 
 NAN = 0x7FC00000
 
@@ -58,8 +59,8 @@ def _float_pixel(name: str, at: int) -> dict[str, str]:
         w = _word(at, 4)
         out = {c: _bits(f"(CAST((({w} >> {10 * i}) & 1023) - 384 AS FLOAT) * (1::FLOAT / 510::FLOAT))") for i, c in enumerate("RGB")}
         return out | {"A": _bits(f"(CAST({w} >> 30 AS FLOAT) / 3::FLOAT)")}
-    size = kernels.fields(name)[0][1] // 8
-    return {c: _small_bits(_word(at + i * size, 2), 10, True) if size == 2 else _full_bits(_word(at + i * size, 4)) for i, (c, _, _) in enumerate(kernels.fields(name))}
+    size = named_bits(name)[0][1] // 8
+    return {c: _small_bits(_word(at + i * size, 2), 10, True) if size == 2 else _full_bits(_word(at + i * size, 4)) for i, (c, _, _) in enumerate(named_bits(name))}
 
 
 _FLOATS = ["R16_FLOAT", "R16G16_FLOAT", "R16G16B16A16_FLOAT", "R32_FLOAT", "R32G32_FLOAT", "R32G32B32_FLOAT", "R32G32B32A32_FLOAT", "R11G11B10_FLOAT", "R9G9B9E5_SHAREDEXP", "R10G10B10_XR_BIAS_A2_UNORM"]
@@ -68,7 +69,7 @@ _FLOATS = ["R16_FLOAT", "R16G16_FLOAT", "R16G16B16A16_FLOAT", "R32_FLOAT", "R32G
 def _float_sql() -> str:
     parts = []
     for name in _FLOATS:
-        size, kind = kernels.pixel_info(name)[1], kernels.NATIVE[name][0]
+        size, kind = pixel_info(name)[1], NATIVE[name][0]
         for x in range(16 // size):
             got = _float_pixel(name, x * size)
             shown = [got["R"]] * 3 if kind == "grayscale" else [got.get(c, "0") for c in "RGB"]
@@ -80,7 +81,7 @@ def _float_sql() -> str:
 @query(_float_sql(), X.BLOCKS_SQL)
 def q_decode_float(spark, sf_dir):
     """Channels as the 32 bits of their single-precision numbers, every NaN as the same one."""
-    sizes = {name: (n := 16 // (size := kernels.pixel_info(name)[1]), 1, n * size) for name in _FLOATS}
+    sizes = {name: (n := 16 // (size := pixel_info(name)[1]), 1, n * size) for name in _FLOATS}
     pixels = packed.strip_pixels(X.strips(spark, sf_dir, sizes)).drop("y")
     nan = lambda c: F.when(F.col(c).bitwiseAND(F.lit(0x7FFFFFFF)) > 0x7F800000, F.lit(NAN)).otherwise(F.col(c))
     return pixels.withColumns({c: nan(c).cast("long") for c in "rgba"})
@@ -191,10 +192,10 @@ _PACKED = [
 
 def _packed_units(name: str) -> tuple[int, list[str]]:
     """Bytes of a unit, and the units: a channel each where all are 8, 16 or 32 bits wide, otherwise a pixel each."""
-    spec = kernels.fields(name)
+    spec = named_bits(name)
     if all(bits == spec[0][1] and bits in (8, 16, 32) for _, bits, _ in spec):
         return spec[0][1] // 8, [_code(name, p, c, bits) for p in range(4) for c, bits, _ in spec]
-    return kernels.pixel_info(name)[1], [" + ".join(f"{_code(name, p, c, bits)} * {1 << at}" for c, bits, at in spec) for p in range(4)]
+    return pixel_info(name)[1], [" + ".join(f"{_code(name, p, c, bits)} * {1 << at}" for c, bits, at in spec) for p in range(4)]
 
 
 def _shared_units() -> dict[str, tuple[int, int, int, list[str]]]:
@@ -233,10 +234,7 @@ def _encoded(spark, sf_dir, formats: dict[str, int], width: int, rows: int):
     pixels = X.block_bytes(spark, sf_dir).withColumns({"width": F.lit(width), "rows": F.lit(rows)})
     sizes = F.create_map(*(F.lit(v) for item in formats.items() for v in item))
     data = encode.strips(pixels, list(formats)).withColumn("size", F.element_at(sizes, F.col("format")))
-    byte = lambda at: F.conv(F.hex(F.substring(F.col("data"), at, F.lit(1))), 16, 10).cast("long")
-    unit = lambda u: F.aggregate(F.sequence(F.lit(0), F.col("size") - 1), F.lit(0).cast("long"), lambda acc, j: acc * 256 + byte((u + 1) * F.col("size") - j))
-    units = F.transform(F.sequence(F.lit(0), F.call_function("div", F.length("data"), F.col("size")).cast("int") - 1), unit)
-    return data.select("doc_id", "k", "format", F.concat_ws(",", units.cast("array<string>")).alias("units"))
+    return data.withColumn("units", numbers_of(F.col("data"), F.col("size"))).select("doc_id", "k", "format", F.concat_ws(",", F.col("units").cast("array<string>")).alias("units"))
 
 
 @query(" UNION ALL ".join(_units_sql(name, _packed_units(name)[1]) for name in _PACKED), X.BLOCKS_SQL)

@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from texloom.functions import bc_tables
 from texloom.functions import formats as dims
-from texloom.functions import kernels
 from texloom.functions import scalar as S
 from texloom.operators import blocks as B
 from texloom.operators import decode, layout, packed, raster
 from texloom.plans import fixtures as X
 from texloom.sources import container
 
+NATIVE = {f[0]: (f[1].lower(), f[2].lower()) for f in dims.FORMATS}
+
+
+def named_bits(name: str) -> list[tuple[str, int, int]]:
+    """(channel, bits, position) by a format's name, from the lowest bit."""
+    found = [(c, int(bits)) for c, bits in re.findall(r"([RGBAX])(\d+)", name.replace("_XR_BIAS_", ""))]
+    return [(c, bits, sum(b for _, b in found[:i])) for i, (c, bits) in enumerate(found)]
+
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -409,11 +419,11 @@ def _packed_sql(names: list[str]) -> str:
     """Fields of a little-endian word, widened by rounding, in native precision."""
     parts = []
     for name in names:
-        size, (kind, precision) = kernels.pixel_info(name)[1], kernels.NATIVE[name]
+        size, (kind, precision) = dims.pixel_info(name)[1], NATIVE[name]
         n, top = 16 // size, 255 if precision == "u8" else 65535
         word = "(" + " + ".join(f"block[CAST(x * {size} + {i + 1} AS INTEGER)]::HUGEINT * {256**i}::HUGEINT" for i in range(size)) + ")"
         value = {}
-        for channel, bits, at in kernels.fields(name):
+        for channel, bits, at in named_bits(name):
             v = f"(({word} >> {at}) & {(1 << bits) - 1})"
             if "SNORM" in name:
                 half = 1 << (bits - 1)
@@ -430,7 +440,7 @@ def _packed_sql(names: list[str]) -> str:
 
 def _packed(spark, sf_dir, names):
     """Each block's bytes as one row of pixels in each of the formats, as RGBA in native precision."""
-    return packed.strip_pixels(X.strips(spark, sf_dir, {name: (16 // kernels.pixel_info(name)[1], 1, 16 // kernels.pixel_info(name)[1] * kernels.pixel_info(name)[1]) for name in names})).drop("y")
+    return packed.strip_pixels(X.strips(spark, sf_dir, {name: (16 // dims.pixel_info(name)[1], 1, 16 // dims.pixel_info(name)[1] * dims.pixel_info(name)[1]) for name in names})).drop("y")
 
 
 _UNORM8 = ["R8G8B8_UNORM", "B8G8R8_UNORM", "R8G8B8A8_UNORM", "B8G8R8A8_UNORM", "B8G8R8X8_UNORM", "B5G6R5_UNORM", "B5G5R5A1_UNORM", "B4G4R4A4_UNORM", "A4B4G4R4_UNORM", "R8_UNORM", "R8G8_UNORM", "A8_UNORM"]
