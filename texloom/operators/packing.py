@@ -176,12 +176,19 @@ class _Source:
         x = F.nanvl(self.at("_real", pixel, channel), F.lit(0.0))
         return F.floor(F.least(F.greatest(x * 510 + 384.5, F.lit(0.0)), F.lit(1023.0))).cast("long")
 
-    def yuv(self, pixel: Column, which: int, bits: int) -> Column:
-        """Luma (0) or a chroma (1, 2) as a limited-range code, in single precision."""
+    def codes(self, which: int, bits: int) -> Column:
+        """Luma (0) or a chroma (1, 2) of each pixel as limited-range codes, in single precision."""
         most, (x, y, z, zero) = (1 << bits) - 1, TO_YUV[which]
-        r, g, b = (clamp01(self.at("_real", pixel, i)).cast("float") * _single(float(most)) for i in range(3))
-        coded = _single(x) * r + _single(y) * g + _single(z) * b + _single(zero * (1 << (bits - 8)) + 0.5)
-        return F.least(F.greatest(F.floor(coded).cast("long"), F.lit(0).cast("long")), F.lit(most).cast("long"))
+
+        def of(pixel: Column) -> Column:
+            r, g, b = (clamp01(self.at("_real", pixel, i)).cast("float") * _single(float(most)) for i in range(3))
+            coded = _single(x) * r + _single(y) * g + _single(z) * b + _single(zero * (1 << (bits - 8)) + 0.5)
+            return F.least(F.greatest(F.floor(coded).cast("long"), F.lit(0).cast("long")), F.lit(most).cast("long"))
+
+        return F.when(F.col("_samples").isNotNull(), F.transform(_upto(F.col("_width") * F.col("_rows")), of))
+
+    def yuv(self, pixel: Column, which: int, bits: int) -> Column:
+        return F.get(F.col(f"_yuv{bits}_{which}"), pixel.cast("int"))
 
     def held(self, pixel: Column, channel: int) -> Column:
         """A colour's single bits within the range of the shared exponent's format; NaN and negatives are 0."""
@@ -282,9 +289,12 @@ def strips(frame: DataFrame, names: list[str], channels: str = "rgba", precision
     read = frame.select(*own, width.alias("_width"), rows.alias("_rows"), F.when(whole, numbers_of(F.col("data"), F.lit(size))).alias("_samples"))
     source = _Source(channels, precision)
     read = read.withColumns(source.read(F.col("_samples"), any("FLOAT" in n or "SHAREDEXP" in n for n in names)))
+    packings = {name: packing_of(name) for name in names}
+    mixed = sorted({(f.sample, f.bits) for p in packings.values() for f in p.fields if f.way == YUV})
+    read = read.withColumns({f"_yuv{bits}_{which}": source.codes(which, bits) for which, bits in mixed})  # once, for all formats
     coded = []
-    for name in names:
-        packing = packing_of(name)
+    for name, packing in packings.items():
         numbers = (_planes if packing.planes else _numbers)(source, packing, F.col("_width"), F.col("_rows"))
         coded.append(F.struct(F.lit(name).alias("format"), F.when(F.col("_samples").isNotNull(), numbers).alias("_numbers"), F.lit(packing.word_bytes).alias("_size")))
+    # a null row of the array would be dropped, its nulls are not: every strip keeps a row for each format
     return with_bytes(read.select(*own, F.inline(F.array(*coded))), "_numbers", "_size", "data")
