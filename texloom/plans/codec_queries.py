@@ -8,7 +8,7 @@ from texloom.functions.formats import pixel_info
 from texloom.functions.units import numbers_of
 from texloom.operators import encode, packed, raster
 from texloom.plans import fixtures as X
-from texloom.plans import bc6_queries, file_queries, header_queries, mip_queries  # noqa: F401  register their queries
+from texloom.plans import bc6_queries, cell_queries, file_queries, header_queries, mip_queries  # noqa: F401  register their queries
 from texloom.plans.texture_queries import NATIVE, ORACLES, QUERIES, named_bits, query
 
 NAN = 0x7FC00000
