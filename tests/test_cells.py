@@ -1,10 +1,13 @@
 """Work within blocks against plain loops."""
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
 from texloom.functions import bc_tables
 from texloom.operators import cells
+from texloom.plans import cell_queries
+from texloom.plans.codec_queries import ORACLES
 
 
 def plain_codes(cell, palette):
@@ -61,3 +64,18 @@ def test_colour_bits_are_distinct(spark):
     kinds = [(c, p) for c in cells.CHANNELS for p in cells.PRECISIONS]
     frame = spark.createDataFrame([(c.upper(), p.upper()) for c, p in kinds], "c string, p string")
     assert sorted(r.b for r in frame.select(cells.colour_bit(F.col("c"), F.col("p")).alias("b")).collect()) == [1 << i for i in range(12)]
+
+
+def test_diffusion_adds_errors_in_the_order_of_the_sql(spark, tmp_path):
+    """Blocks where the sum of the errors first, then of the value, rounds to another code than adding one by one."""
+    reds = [
+        [151, 114, 129, 125, 139, 128, 143, 138, 121, 147, 138, 139, 123, 142, 124, 151], [122, 140, 125, 90, 105, 133, 134, 127, 113, 127, 137, 123, 154, 142, 102, 143],
+        [129, 140, 127, 139, 129, 137, 123, 128, 132, 129, 132, 115, 133, 153, 139, 136],
+    ]
+    rows = [(i, [x for r in block for x in (r / 255 * 2 - 1, 0.0, 0.0, 0.0)]) for i, block in enumerate(reds)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: r.codes for r in cell_queries.q_local_diffusion(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert got == dict(con.execute(ORACLES["q_local_diffusion"]).fetchall())
+    assert got[0] == "0,1,5,6,3,6,2,4,7,2,3,3,6,3,6,0"

@@ -49,15 +49,15 @@ def value_palette(cell: Column) -> Column:
 def diffused_codes(cell: Column, palette: Column) -> Column:
     """The palette index of each pixel, errors carried on within the block: 16 steps of one `aggregate`.
 
-    The nearest entry is taken, ties by the smaller index. `palette` and `cell` are arrays of doubles; null gives null."""
+    Each error is added to the pixels' values as it arises, in this order, as sums of doubles depend on it. The nearest entry is taken, ties by the smaller index. `palette` and `cell` are arrays of doubles; null gives null."""
     weights = F.array(*(F.array(*(F.lit(w / 16) for w in row)) for row in diffusion_weights()))
-    start = F.struct(F.array_repeat(F.lit(0.0), 16).alias("errors"), F.array().cast("array<int>").alias("codes"))
+    start = F.struct(cell.alias("cell"), F.array().cast("array<int>").alias("codes"))
 
     def bound(x: Column, of) -> Column:
         return F.get(F.transform(F.array(x), of), 0)
 
     def step(state: Column, i: Column) -> Column:
-        value = F.get(cell, i) + F.get(state["errors"], i)
+        value = F.get(state["cell"], i)
 
         def chosen(v: Column) -> Column:
             nearest = F.array_min(F.transform(palette, lambda p, k: F.struct(((v - p) * (v - p)).alias("distance"), k.alias("index"))))["index"]
@@ -65,8 +65,8 @@ def diffused_codes(cell: Column, palette: Column) -> Column:
 
         def carried(c: Column) -> Column:
             error = c["value"] - F.get(palette, c["index"])
-            errors = F.transform(state["errors"], lambda e, k: e + error * F.get(F.get(weights, i), k))
-            return F.struct(errors.alias("errors"), F.concat(state["codes"], F.array(c["index"])).alias("codes"))
+            values = F.transform(state["cell"], lambda v, k: v + error * F.get(F.get(weights, i), k))
+            return F.struct(values.alias("cell"), F.concat(state["codes"], F.array(c["index"])).alias("codes"))
 
         return bound(bound(value, chosen), carried)
 
