@@ -564,3 +564,37 @@ def test_pipeline_stages(spark, tmp_path):
     tokens = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert tokens.count() == docs.count()
     assert corpus_pipeline.STAGES[0][1](spark, source.filter("false"), SF).count() == 0
+
+
+def test_language_limits_come_from_every_text(spark, monkeypatch):
+    """Each distinct text is counted by its language's model and, once, by the calibration, scored without itself."""
+    from texloom.llm import langid
+
+    base = spark.read.parquet(f"{SF}/documents.parquet").filter("lang in ('en', 'de') and text is not null").select("lang", "text").cache()
+    twice = base.unionByName(base)
+    counts = {}
+    for r in langid.model_counts(langid.folded(base)).groupBy("lang").agg(F.sum("n").alias("n")).collect():
+        counts[r.lang] = r.n
+    for lang in ("en", "de"):
+        size = sum(max(0, len(langid.keys_of(langid.symbols(r.text)))) for r in base.collect() if r.lang == lang)
+        assert counts[f"0 {lang}"] == size
+        assert sum(counts.get(f"{i} {lang}", 0) for i in range(1, langid.FOLDS + 1)) == (langid.FOLDS - 1) * size
+    sizes = []
+    score = langid.Model.score
+
+    def seen(self, docs, *more):
+        out = score(self, docs, *more)
+        if "h" in docs.columns:
+            sizes.append((docs.select("lang", "h").distinct().count(), out.filter("size > 0").select("lang", "h").distinct().count()))
+        return out
+
+    monkeypatch.setattr(langid.Model, "score", seen)
+    models, _ = langid.learn(base)
+    want = {(r.lang, r.text) for r in base.collect()}
+    with_letters = {(lang, t) for lang, t in want if len(langid.symbols(t))}
+    assert sizes == [(len(want), len(with_letters))]
+    # copies move no limit, nor does the way of scoring
+    joined, _ = langid.learn(base, bound=0)
+    assert joined.limits == models.limits
+    rows = langid.folded(twice)
+    assert rows.groupBy("h").agg(F.count_distinct("fold").alias("n")).agg(F.max("n")).first()[0] == 1

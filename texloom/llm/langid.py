@@ -7,11 +7,13 @@ n-gram's log-probability or a context's back-off weight in one language, which s
 64-bit keys (16 bits a character; see lookup.py for what happens when they get too many to be sent to every task). The
 language with the lowest cross-entropy (bits a character) wins.
 
-Rejection is calibrated for each language on about `CALIBRATION_ROWS` of its own distinct texts (one in `LEFT_OUT`, if that
-is less), which no model counts: for each range of lengths, the `QUANTILE` of their cross-entropy plus `MARGIN` bits. Short
-ranges are filled with the beginnings of the texts; where a language has under `FEW` of them it is no stricter than all
-languages together, and where these have under `SPARSE` no stricter than the next shorter range. Without any such text the
-limit is that of a uniform guess over the alphabet.
+Rejection is calibrated for each language on all of its distinct texts. The texts are dealt to `FOLDS` by their hash, so that
+copies stay together, and each is scored by the models of the other folds' texts, which did not count it; the models that
+predict count every text. For each range of lengths, the limit is the cross-entropy that a share of `QUANTILE` stays within,
+in steps of 1 / `STEPS` bits, plus `MARGIN` bits; the highest text of a language never sets it, where there are `SPARSE`.
+Short ranges are filled with the beginnings of the texts; where a language has under `FEW` of them it is no stricter than
+all languages together, and where these have under `SPARSE` no stricter than the next shorter range. Without any such text
+the limit is that of a uniform guess over the alphabet.
 
 Text is lower-cased; runs of characters that are not letters become one space. Results: a text that is null or has no
 letter is `und` with score 0, and rejected; ties go to the first language by name; repeated rows and null ids each give a
@@ -25,14 +27,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import distinct, drop_written, released, slices, written
 from .lookup import BROADCAST_ENTRIES, Asked, Entries, Model, Tally
 
-ORDER, CALIBRATION_ROWS = 4, 2_000
-LEFT_OUT, QUANTILE, MARGIN, FEW, SPARSE, RANGES = 8, 0.998, 0.1, 200, 20, 33
+ORDER, FOLDS = 4, 8
+QUANTILE, STEPS, MARGIN, FEW, SPARSE, RANGES = 0.998, 1000, 0.1, 200, 20, 33
 CELLS = 1 << 22
 UNDETERMINED = "und"
 _SPACE = 32
@@ -97,6 +99,10 @@ def _weight(order: int) -> int:
     return ORDER + order
 
 
+#: Kinds of entries of one model; those of the models without a fold's texts follow, fold by fold.
+KINDS = 2 * ORDER + 1
+
+
 def entries(counts: DataFrame) -> tuple[DataFrame, list[str], np.ndarray, float, list[DataFrame]]:
     """The model's entries (kind, gram, lang, value), the languages, each one's log-probability of an unseen character, the
     bits of a uniform guess and the tables made on the way; `counts` is a written table of lang, gram, n of the top order."""
@@ -143,6 +149,7 @@ class Models:
     unseen: np.ndarray | None = None  # log2 probability of a character that no language has
     uniform: float = 1.0  # bits a character of a uniform guess over the alphabet
     limits: dict[str, list[float]] = field(default_factory=dict)
+    first_kind: int = 0  # of the models' entries
 
     def asked(self, texts: list[str | None]) -> Asked:
         """The entries that the texts' n-grams may have."""
@@ -151,9 +158,9 @@ class Models:
         out = {}
         for order in range(1, ORDER + 1):
             own = grams if order == ORDER else distinct(grams & np.uint64((1 << 16 * order) - 1))
-            out[_probability(order)] = own
+            out[self.first_kind + _probability(order)] = own
             if order > 1:
-                out[_weight(order)] = distinct(own >> np.uint64(16))
+                out[self.first_kind + _weight(order)] = distinct(own >> np.uint64(16))
         return out
 
     def log_probs(self, entries: Entries, grams: np.ndarray, order: int = ORDER) -> np.ndarray:
@@ -164,30 +171,34 @@ class Models:
         out = np.array(self.log_probs(entries, tails, order - 1)[where])
         if order > 1:
             heads, where = np.unique(grams >> np.uint64(16), return_inverse=True)
-            rows, cols, values = entries.find(_weight(order), heads)
+            rows, cols, values = entries.find(self.first_kind + _weight(order), heads)
             weights = np.zeros((len(heads), len(self.langs)), np.float32)
             weights[rows, cols] = values
             out += weights[where]
-        rows, cols, values = entries.find(_probability(order), grams)
+        rows, cols, values = entries.find(self.first_kind + _probability(order), grams)
         out[rows, cols] = values
         return out
 
-    def entropies(self, entries: Entries, seqs: list[np.ndarray]) -> np.ndarray:
-        """Bits a character of each text (a row) under each language (a column); a row without symbols is infinite."""
+    def entropies(self, entries: Entries, seqs: list[np.ndarray], of: np.ndarray | None = None, sizes: np.ndarray | None = None) -> np.ndarray:
+        """Bits a character of each text (a row) under each language (a column); a row without symbols is infinite.
+
+        With `of` and `sizes` the rows are beginnings: the text's number in `seqs`, and how many n-grams are taken from it."""
         keys = [keys_of(s) for s in seqs]
-        sizes = np.array([len(k) for k in keys], np.int64)
-        out = np.full((len(seqs), len(self.langs)), np.inf)
+        starts = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int64)
+        if sizes is None:
+            of, sizes = np.arange(len(seqs)), np.diff(starts)
+        first, last = starts[of], starts[of] + sizes
+        out = np.full((len(sizes), len(self.langs)), np.inf)
         if not sizes.sum():
             return out
         grams, where = np.unique(np.concatenate(keys), return_inverse=True)
         table = self.log_probs(entries, grams)
-        total = np.zeros((len(seqs), len(self.langs)))
-        starts = np.concatenate([[0], np.cumsum(sizes)])
+        total = np.zeros(out.shape)
         step = max(1024, CELLS // len(self.langs))
         for at in range(0, len(where), step):
             sums = np.zeros((min(step, len(where) - at) + 1, len(self.langs)))
             np.cumsum(table[where[at : at + step]], axis=0, dtype=np.float64, out=sums[1:])
-            lo, hi = np.clip(starts[:-1] - at, 0, len(sums) - 1), np.clip(starts[1:] - at, 0, len(sums) - 1)
+            lo, hi = np.clip(first - at, 0, len(sums) - 1), np.clip(last - at, 0, len(sums) - 1)
             total += sums[hi] - sums[lo]
         used = sizes > 0
         out[used] = -total[used] / sizes[used, None]
@@ -213,56 +224,94 @@ class Models:
         return out
 
 
-def calibration(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows to count and the rows to calibrate on, parted by the text's hash, so that no copy is in both."""
-    usable = docs.select("lang", "text").filter("lang is not null and text is not null")
-    sizes = usable.groupBy("lang").agg(F.greatest(F.lit(LEFT_OUT), F.ceil(F.count("*") / CALIBRATION_ROWS)).alias("step"))
-    marked = usable.join(F.broadcast(sizes), "lang").withColumn("h", F.xxhash64("text"))
-    apart = F.pmod("h", "step") == 0
-    return marked.filter(~apart).select("lang", "text"), marked.filter(apart).dropDuplicates(["lang", "h"]).select("lang", "text")
+def folded(train: DataFrame) -> DataFrame:
+    """lang, text, h and fold of the rows that have a text and a language; copies share a fold."""
+    usable = train.select("lang", "text").filter("lang is not null and text is not null").withColumn("h", F.xxhash64("text"))
+    return usable.withColumn("fold", F.pmod("h", F.lit(FOLDS)).cast("int"))
+
+
+def _named(number: Column) -> Column:
+    """One name for a number of one digit and the row's language."""
+    return F.concat(number.cast("string"), F.lit(" "), F.col("lang")).alias("lang")
+
+
+def model_counts(rows: DataFrame) -> DataFrame:
+    """lang, gram, n of every model from rows of `folded`: `0 en` counts all of a language's texts, `1 en` those outside fold 0."""
+    folds = ngram_counts(rows.select(_named(F.col("fold")), "text"))
+    counted_by = F.filter(F.sequence(F.lit(0), F.lit(FOLDS)), lambda m: m != F.substring("lang", 1, 1).cast("int") + 1)
+    each = folds.select(F.explode(counted_by).alias("model"), F.expr("substring(lang, 3)").alias("lang"), "gram", "n")
+    return each.groupBy(_named(F.col("model")), "gram").agg(F.sum("n").alias("n"))
+
+
+def limits(rows: DataFrame, langs: list[str], folds: list[Models], known: set[str], model: Model) -> dict[str, list[float]]:
+    """The rejection limit of each language and range of lengths from all rows of `folded`.
+
+    `folds` has the models without each fold's texts, `model` their entries, and `known` the names of those that counted any."""
 
+    def parts(part: pa.RecordBatch) -> Iterator[tuple[int, list[tuple[str | None, int, str]]]]:
+        found: dict[int, list] = {}
+        for lang, text, h, fold in zip(*(part.column(c).to_pylist() for c in ("lang", "text", "h", "fold")), strict=True):
+            if f"{fold + 1} {lang}" in known:
+                found.setdefault(fold, []).append((lang, h, text))
+        yield from found.items()
 
-def limits(held: DataFrame, models: Models, model: Model) -> dict[str, list[float]]:
-    """The rejection limit of each language and range of lengths from rows (lang, text) that the models did not count."""
+    def asked(part: pa.RecordBatch) -> Asked:
+        return {kind: grams for fold, own in parts(part) for kind, grams in folds[fold].asked([text for _, _, text in own]).items()}
 
     def answer(part: pa.RecordBatch, entries: Entries) -> pa.RecordBatch:
-        at = {x: j for j, x in enumerate(models.langs)}
-        seqs, langs = [], []
-        for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), strict=True):
-            if lang in at and len(seq := symbols(text)):
-                found = [seq, *(seq[: 3 << i - 2] for i in range(2, min(int(len(seq)).bit_length(), 11)))]
-                seqs += found
-                langs += [lang] * len(found)
-        bits = models.entropies(entries, seqs)[np.arange(len(seqs)), [at[x] for x in langs]] if seqs else np.zeros(0)
-        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array([int(len(x)).bit_length() for x in seqs], pa.int32()), pa.array(bits, pa.float64())], ["lang", "size", "bits"])
-
-    seen = model.score(held, lambda part: models.asked(part.column("text").to_pylist()), answer, "lang string, size int, bits double")
-    found = seen.cube("lang", "size").agg(F.percentile("bits", F.lit(QUANTILE)).alias("high"), F.count("*").alias("n"))
-    high = {(r.lang, r["size"]): (r.high, r.n) for r in found.filter("size is not null").collect()}  # at most RANGES rows a language
+        at = {x: j for j, x in enumerate(langs)}
+        out: list[tuple[str, int, int, float]] = []
+        for fold, own in parts(part):
+            texts = [(lang, h, seq) for lang, h, text in own if len(seq := symbols(text))]
+            ends = [(j, n) for j, (_, _, seq) in enumerate(texts) for n in (len(seq), *(3 << i - 2 for i in range(2, min(len(seq).bit_length(), 11))))]
+            if ends:
+                of, sizes = np.array(ends, np.int64).T
+                bits = folds[fold].entropies(entries, [seq for _, _, seq in texts], of, sizes - 1)[np.arange(len(of)), [at[texts[j][0]] for j in of]]
+                out += [(*texts[j][:2], n.bit_length(), float(b)) for (j, n), b in zip(ends, np.round(bits, 9), strict=True)]
+        columns = zip(*out, strict=True) if out else [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int32(), pa.float64()), strict=True)], ["lang", "h", "size", "bits"])
+
+    seen = model.score(rows, asked, answer, "lang string, h long, size int, bits double").dropDuplicates(["lang", "h", "size"])
+    # from here on a row for each step of bits, so that no range of lengths is large, whatever the number of texts
+    own = seen.groupBy("lang", "size", F.ceil(F.col("bits") * STEPS).alias("step")).agg(F.count("*").alias("n")).withColumn("spared", F.lit(1))
+    pooled = own.groupBy("size", "step").agg(F.sum("n").alias("n")).withColumns({"lang": F.lit(None).cast("string"), "spared": F.lit(len(langs))})
+    group = Window.partitionBy("lang", "size")
+    ranked = own.unionByName(pooled).withColumns({"every": F.sum("n").over(group), "reached": F.sum("n").over(group.orderBy(F.desc("step")))})
+    beyond = F.greatest(F.floor(F.col("every") * (1 - QUANTILE)), F.when(F.col("every") >= SPARSE, F.col("spared")).otherwise(0))
+    found = ranked.filter(F.col("reached") > beyond).groupBy("lang", "size").agg((F.max("step") / STEPS).alias("high"), F.max("every").alias("n"))
+    high = {(r.lang, r["size"]): (r.high, r.n) for r in found.collect()}  # at most RANGES rows a language
     out = {}
-    for lang in models.langs:
+    for lang in langs:
         line: list[float | None] = []
         for i in range(RANGES):
-            own, n = high.get((lang, i), (None, 0))
-            pooled, every = high.get((None, i), (None, 0))
-            known = [own] if n >= FEW else [own, pooled, line[-1] if line and every < SPARSE else None]
-            line.append(max([x for x in known if x is not None], default=None))
-        first = next((x for x in line if x is not None), models.uniform)
+            own_high, n = high.get((lang, i), (None, 0))
+            pooled_high, every = high.get((None, i), (None, 0))
+            limit = [own_high] if n >= FEW else [own_high, pooled_high, line[-1] if line and every < SPARSE else None]
+            line.append(max([x for x in limit if x is not None], default=None))
+        first = next((x for x in line if x is not None), folds[0].uniform)
         out[lang] = [(first if x is None else x) + MARGIN for x in line]
     return out
 
 
 def learn(train: DataFrame, bound: int = BROADCAST_ENTRIES) -> tuple[Models, Model]:
     """Models with their rejection limits, and their entries, from rows (text, lang)."""
-    counted, held = calibration(train)
-    counts = written(ngram_counts(counted))
-    found, langs, unseen, uniform, made = entries(counts)
-    # a row for each language
-    numbers = F.broadcast(train.sparkSession.createDataFrame(list(enumerate(langs)), "col int, lang string"))
-    table = written(found.join(numbers, "lang").select("kind", "gram", "col", "value"))
+    rows = folded(train)
+    counts = written(model_counts(rows))
+    found, names, unseen, uniform, made = entries(counts)
+    langs = sorted(x[2:] for x in names if x[0] == "0")
+    # FOLDS + 1 rows for each language
+    numbers = F.broadcast(train.sparkSession.createDataFrame([(int(x[0]), langs.index(x[2:]), x) for x in names], "model int, col int, lang string"))
+    table = found.join(numbers, "lang").select("model", (F.col("kind") + F.col("model") * KINDS).alias("kind"), "gram", "col", "value")
+    own, others = (written(table.filter(which).drop("model")) for which in ("model = 0", "model > 0"))
     drop_written(counts, *made)
-    models, model = Models(langs, unseen, uniform), Model(table, bound)
-    models.limits = limits(held, models, model)
+    of = dict(zip(names, unseen, strict=True))
+    models, *folds = (Models(langs, np.array([of.get(f"{i} {x}", np.log2(1e-12)) for x in langs], np.float32), uniform, first_kind=i * KINDS) for i in range(FOLDS + 1))
+    model, without = Model(own, bound), Model(others, bound)
+    models.limits = limits(rows, langs, folds, set(names), without)
+    if without.shared is None:
+        drop_written(others)
+    else:
+        without.shared.unpersist()
     return models, model
 
 
