@@ -159,3 +159,20 @@ def test_all_formats_in_one_pass(spark):
     got = packed.strip_pixels(spark.createDataFrame(strips, "id long, format string, width int, rows int, data binary")).collect()
     nan = lambda r: tuple(0x7FC00000 if isinstance(c, int) and "FLOAT" in r[1] and (c & 0x7FFFFFFF) > 0x7F800000 else c for c in r)
     assert sorted(nan(tuple(r)) for r in got) == sorted(map(nan, want))
+
+
+def test_strips_of_one_size_are_read_together(spark):
+    """Equal strips become one batch, whatever lies between them; the fields of the format do not pass through Python."""
+    from texloom.functions import units
+    from texloom.operators import packed
+
+    rows = [(i, "R8_UNORM" if i % 3 else "NV12", bytes([i % 251] * (6 if i % 3 else 9)), 2 + i % 2, 2) for i in range(400)] + [(900, "R8_UNORM", None, 2, 2), (901, "R8_UNORM", b"", 0, 0), (902, None, b"abcd", 2, 2)]
+    frame = spark.createDataFrame(rows, "id int, format string, data binary, width int, rows int").coalesce(1)
+    assert units._equal_units(np.frombuffer(b"abcdefgh", np.uint8).reshape(2, 4), 2, 2, 1, 2, 0, 0)[0].tolist() == [97, 98, 99, 100, 101, 102, 103, 104]
+    found = packed.strip_pixels(frame)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    sent = plan[plan.index("MapInArrow") :].split("\n", 1)[0]
+    assert "texloom spec" not in sent
+    sizes = [tuple(r) for r in found.groupBy("id").count().collect()]
+    want = [(i, w * h) for i, name, data, w, h in rows if data and name and len(data) == (w * h if name == "R8_UNORM" else w * h + 2 * -(-w // 2) * -(-h // 2))]
+    assert sorted(sizes) == sorted(want)

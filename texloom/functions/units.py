@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
@@ -21,24 +22,35 @@ UNIT = "texloom unit"
 GEOMETRY = ["size", "across", "high", "plane1", "plane2"]
 
 
-def _strip_units(data: bytes, width: int, rows: int, size: int, across: int, high: int, plane1: int, plane2: int) -> tuple[np.ndarray, ...] | None:
-    """lo, hi and the place of each unit of a strip; None if the bytes are not exactly those of width x rows pixels."""
-    wide = -(-width // across)
-    n = wide * -(-rows // high)
+def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where the values begin (one more than values), and the bytes of a binary column."""
+    _, offsets, data = column.buffers()
+    wide = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    starts = np.frombuffer(offsets, wide)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return starts, np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+
+
+def _bytes_of(starts: np.ndarray, data: np.ndarray, size: int) -> np.ndarray:
+    """Values of `size` bytes each as the rows of a table."""
+    if len(starts) == 1:
+        return data[starts[0] : starts[0] + size].reshape(1, size)
+    return data[starts[:, None] + np.arange(size)]
+
+
+def _equal_units(table: np.ndarray, width: int, rows: int, size: int, wide: int, plane1: int, plane2: int) -> tuple[np.ndarray, ...]:
+    """lo, hi and the place of each unit of strips of one size and geometry, whose bytes are the rows of a table."""
+    m = len(table)
     if not plane1:
-        if len(data) != n * size:
-            return None
-        table = np.zeros((n, 16), np.uint8)
-        table[:, :size] = np.frombuffer(data, np.uint8).reshape(n, size)
-        words = table.view("<i8")
-        return words[:, 0], words[:, 1], np.tile(np.arange(wide), n // wide), np.repeat(np.arange(n // wide), wide)
-    half = -(-width // 2)
-    if len(data) != plane1 * width * rows + plane2 * half * -(-rows // 2):
-        return None
-    luma = np.frombuffer(data, f"<u{plane1}", width * rows).astype(np.int64)
-    chroma = np.frombuffer(data, f"<u{plane2}", offset=plane1 * width * rows).astype(np.int64)
+        n = table.shape[1] // size
+        words = np.zeros((m * n, 16), np.uint8)
+        words[:, :size] = table.reshape(m * n, size)
+        words = words.view("<i8")
+        return words[:, 0], words[:, 1], np.tile(np.arange(wide), m * n // wide), np.tile(np.repeat(np.arange(n // wide), wide), m)
+    half, split = -(-width // 2), plane1 * width * rows
+    luma = np.ascontiguousarray(table[:, :split]).view(f"<u{plane1}").astype(np.int64)
+    chroma = np.ascontiguousarray(table[:, split:]).view(f"<u{plane2}").astype(np.int64)
     x, y = np.tile(np.arange(width), rows), np.repeat(np.arange(rows), width)
-    return luma, chroma[y // 2 * half + x // 2], x, y
+    return luma.reshape(-1), chroma[:, y // 2 * half + x // 2].reshape(-1), np.tile(x, m), np.tile(y, m)
 
 
 def strip_units(strips: DataFrame, width_column: str = "width", rows_column: str = "rows") -> DataFrame:
@@ -46,31 +58,36 @@ def strip_units(strips: DataFrame, width_column: str = "width", rows_column: str
 
     `strips` has data, width and rows (or columns of other names), and in `UNIT` the geometry of its format: size (bytes of a unit), across and high (its
     pixels), plane1 and plane2 (bytes of a luma sample and of a chroma pair, 0 but for two planes, where each pixel is a unit
-    with its luma in lo and its chroma in hi). Strips of another length, null or empty ones give no rows."""
-    own = [c for c in strips.columns if c != "data"]
+    with its luma in lo and its chroma in hi). Strips of another length, null or empty ones give no rows; `UNIT` is dropped.
+    Strips of one size and geometry are read together, at most about `UNITS` units at once."""
+    own = [c for c in strips.columns if c not in ("data", UNIT)]
     more = ["unit_x", "unit_y", "lo", "hi"]
     schema = StructType([strips.schema[c] for c in own] + [StructField(c, LongType()) for c in more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, found, held = [], [], 0
-
-            def out() -> pa.RecordBatch:
-                at = pa.array(np.repeat(rows, [len(f[0]) for f in found]))
-                lo, hi, x, y = (np.concatenate([f[i] for f in found]) for i in range(4))
-                return pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in own), pa.array(x), pa.array(y), pa.array(lo), pa.array(hi)], [*own, *more])
-
-            columns = (batch.column(c).to_pylist() for c in ("data", width_column, rows_column, UNIT))
-            for i, (data, width, high, unit) in enumerate(zip(*columns, strict=True)):
-                units = _strip_units(data, width, high, *(unit[c] for c in GEOMETRY)) if data is not None and width and high else None
-                if units is not None:
-                    rows.append(i), found.append(units)
-                    held += len(units[0])
-                if held >= UNITS:
-                    yield out()
-                    rows, found, held = [], [], 0
-            if held:
-                yield out()
+            starts, data = _binary(batch.column("data"))
+            unit = batch.column(UNIT)
+            given = [batch.column(width_column), batch.column(rows_column), *(pc.struct_field(unit, c) for c in GEOMETRY)]
+            table = np.stack([pc.fill_null(c, 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in given] + [np.diff(starts)], axis=1)
+            valid = pc.is_valid(batch.column("data")).to_numpy(zero_copy_only=False) & pc.is_valid(unit).to_numpy(zero_copy_only=False) & (table[:, 0] > 0) & (table[:, 1] > 0)
+            index = np.flatnonzero(valid)
+            if not len(index):
+                continue
+            kinds, of = np.unique(table[index], axis=0, return_inverse=True)
+            order = np.argsort(of.reshape(-1), kind="stable")
+            for kind, found in zip(kinds.tolist(), np.split(index[order], np.cumsum(np.bincount(of.reshape(-1), minlength=len(kinds)))[:-1]), strict=True):
+                width, high, size, across, rows, plane1, plane2, length = kind
+                wide = -(-width // across)
+                n = width * high if plane1 else wide * -(-high // rows)
+                if length != (plane1 * n + plane2 * -(-width // 2) * -(-high // 2) if plane1 else n * size):
+                    continue
+                step = max(1, UNITS // n)
+                for at in range(0, len(found), step):
+                    part = found[at : at + step]
+                    lo, hi, x, y = _equal_units(_bytes_of(starts[part], data, length), width, high, size, wide, plane1, plane2)
+                    taken = pa.array(np.repeat(part, n))
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(taken) for c in own), pa.array(x), pa.array(y), pa.array(lo), pa.array(hi)], [*own, *more])
 
     return strips.mapInArrow(run, schema)
 

@@ -177,10 +177,12 @@ def strip_pixels(strips: DataFrame, format: str = "format") -> DataFrame:
     among `NAMES`, gives no rows. Grey is repeated; missing colour is 0 (half for SNORM), missing alpha is one."""
     table = fields_table(strips.sparkSession)
     spec = [c for c in table.columns if c not in ("format", *GEOMETRY)]
-    table = table.select(F.col("format").alias(format), F.struct(*GEOMETRY).alias(UNIT), F.struct(*spec).alias(_SPEC))
-    units = strip_units(strips.join(F.broadcast(table), format))  # a row for each format
+    geometry = table.select(F.col("format").alias(format), F.struct(*GEOMETRY).alias(UNIT))
+    fields = table.select(F.col("format").alias(format), F.struct("across", *spec).alias(_SPEC))
+    # a row for each format; the fields are joined behind the units, so that they are not sent through Python
+    units = strip_units(strips.join(F.broadcast(geometry), format)).join(F.broadcast(fields), format)
     own = [c for c in strips.columns if c not in ("data", "rows", "width")]
-    across = F.col(UNIT)["across"]
+    across = F.col(_SPEC)["across"]
     pixels = units.withColumn("_i", F.explode(F.sequence(F.lit(0), across - 1)))
     pixels = pixels.withColumn("_x", F.col("unit_x") * across + F.col("_i")).filter("_x < width")
     pixels = pixels.select(*own, F.col("_x").alias("x"), F.col("unit_y").alias("y"), "lo", "hi", "_i", *(F.col(_SPEC)[c].alias(f"_{c}") for c in spec))
