@@ -205,3 +205,23 @@ def test_repair_keeps_every_row(spark):
     length = F.when(F.col("no") == 0, 6 * 16).when(F.col("no") == 1, 24).when(F.col("no") == 2, 24 + 6 + 1).otherwise(1000) + 148
     got = container.repair(rows.drop("layout_kind", "elements", "faces", "layout_height", "element_len", "data_len", "layout_error"), length).collect()
     assert sorted((r.no, r.array_size, r.mipmap_count) for r in got) == [(0, 1, 1), (1, 1, 1), (2, 1, 3), (3, 1, 1)]
+
+
+def test_a_task_sends_no_list_of_its_files(tmp_path):
+    """What a write task sends to the driver does not grow with its files, and all of them are moved, odd names too."""
+    import pickle
+
+    import pyarrow as pa
+
+    sent = []
+    for n in (1, 300):
+        names = sorted([*(f"d{i % 3}/{i}.dds" for i in range(n - 1)), "a line\nand ü.dds"])
+        batch = pa.RecordBatch.from_pydict({"file": names, "file_size": [2] * n, "start": [0] * n, "data": [b"ab"] * n})
+        path = str(tmp_path / str(n))
+        sink = files.PieceWriter({"path": path}, False)
+        message = sink.write(iter([batch]))
+        sent.append(len(pickle.dumps(message)) - len(path))
+        sink.commit([message, None])
+        found = sorted(os.path.relpath(os.path.join(at, f), path) for at, _, some in os.walk(path) for f in some)
+        assert found == names
+    assert sent[0] == pytest.approx(sent[1], abs=8)

@@ -12,6 +12,8 @@ Paths are opened through pyarrow's file systems, so a folder may lie in any stor
 
 from __future__ import annotations
 
+import io
+import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -210,7 +212,9 @@ def with_bytes(rows: DataFrame) -> DataFrame:
 
 @dataclass
 class Written(WriterCommitMessage):
-    moves: list[tuple[str, str]]
+    """The file in which a task notes where its files belong: a line for each, so that no list of them reaches the driver."""
+
+    moves: str
 
 
 class PieceWriter(DataSourceArrowWriter):
@@ -224,7 +228,9 @@ class PieceWriter(DataSourceArrowWriter):
         store, root = _open(self.path)
         _, hidden = _open(self.hidden)
         store.create_dir(hidden, recursive=True)
-        name, out, size, at, moves = None, None, 0, 0, []
+        name, out, size, at = None, None, 0, 0
+        noted = f"{hidden}/{uuid.uuid4().hex}.moves"
+        moves = store.open_output_stream(noted)
 
         def close() -> None:
             if out is not None:
@@ -241,7 +247,7 @@ class PieceWriter(DataSourceArrowWriter):
                         name, size, at = file.as_py(), total.as_py(), 0
                         temporary = f"{hidden}/{uuid.uuid4().hex}"
                         out = store.open_output_stream(temporary)
-                        moves.append((temporary, f"{root}/{name}"))
+                        moves.write(json.dumps([temporary, f"{root}/{name}"]).encode() + b"\n")
                     piece = data.as_buffer()
                     if start.as_py() > at:
                         raise TextureFileError(f"MissingSurfaces: {name} has nothing from byte {at} to {start.as_py()}")
@@ -255,10 +261,11 @@ class PieceWriter(DataSourceArrowWriter):
         finally:
             if out is not None and not out.closed:
                 out.close()
-        return Written(moves)
+            moves.close()
+        return Written(noted)
 
     def commit(self, messages: list[Written | None]) -> None:
-        """Move the files to their places: names only, no data. What an overwritten folder held goes first."""
+        """Move the files to their places: names only, no data, read one by one. What an overwritten folder held goes first."""
         store, root = _open(self.path)
         _, hidden = _open(self.hidden)
         if self.overwrite:
@@ -266,9 +273,12 @@ class PieceWriter(DataSourceArrowWriter):
                 if info.path.rstrip("/") != hidden.rstrip("/"):
                     store.delete_dir(info.path) if info.type == fs.FileType.Directory else store.delete_file(info.path)
         for message in messages:
-            for source, target in message.moves if message else []:
-                store.create_dir(target.rsplit("/", 1)[0], recursive=True)
-                store.move(source, target)
+            if message:
+                with store.open_input_stream(message.moves) as stream:
+                    for line in io.BufferedReader(stream):
+                        source, target = json.loads(line)
+                        store.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                        store.move(source, target)
         self._clear(store, hidden)
 
     def abort(self, messages: list[Written | None]) -> None:
