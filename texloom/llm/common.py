@@ -47,17 +47,22 @@ def drop_written(*frames: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release() -> None:
+    """Give this Python process's free memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    if libc := ctypes.util.find_library("c"):
+        trim = getattr(ctypes.CDLL(libc), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
 def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """`run`, after which a reused Python worker gives free memory back, so that idle workers of earlier stages stay small."""
 
     @wraps(run)
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        if libc := ctypes.util.find_library("c"):
-            trim = getattr(ctypes.CDLL(libc), "malloc_trim", None)
-            if trim:
-                trim(0)
+        release()
 
     return whole
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import distinct, drop_written, released, slices
+from .common import distinct, drop_written, release, released, slices
 
 BROADCAST_ENTRIES, SLICE_BYTES = 4_000_000, 32 << 20
 _SLICE, _SALT, _PARTS = "texloom slice", "texloom salt", "texloom parts"
@@ -36,13 +36,22 @@ class Entries:
             own = np.flatnonzero(kinds == kind)
             own = own[np.lexsort((cols[own], grams[own]))]
             keys = distinct(grams[own])
-            bounds = np.concatenate([np.searchsorted(grams[own], keys), [len(own)]])
+            bounds = np.concatenate([np.searchsorted(grams[own], keys), [len(own)]]).astype(np.int32 if len(own) < 1 << 31 else np.int64)
             self.of[int(kind)] = keys, bounds, cols[own], values[own]
 
     @classmethod
     def read(cls, table: pa.Table) -> Entries:
         return cls(*(table.column(c).to_numpy() for c in ("kind", "gram", "col", "value")))
 
+    @classmethod
+    def collected(cls, table: DataFrame) -> Entries:
+        """Of a bounded table, on the driver: its Arrow batches are gone before its columns are sorted."""
+        found = table.select("kind", "gram", "col", "value").toArrow()
+        columns = [np.array(found.column(c)) for c in found.column_names]
+        del found
+        release()
+        return cls(*columns)
+
     def find(self, kind: int, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row (into `grams`), column and value of every entry of the grams."""
         none = np.zeros(0, np.int64)
@@ -66,7 +75,8 @@ class Model:
         """`table` is a written one (see common.written): kind int, gram long, col int, value float or double."""
         self.table, self.shared = table, None
         if table.count() <= bound:
-            self.shared = table.sparkSession.sparkContext.broadcast(Entries.read(table.select("kind", "gram", "col", "value").toArrow()))
+            self.shared = table.sparkSession.sparkContext.broadcast(Entries.collected(table))
+            release()  # the driver only keeps the name of the file that the entries were sent by
             drop_written(table)
 
     def score(self, docs: DataFrame, asked: Callable[[pa.RecordBatch], Asked], answer: Callable[[pa.RecordBatch, Entries], pa.RecordBatch], schema: str | StructType) -> DataFrame:
