@@ -97,22 +97,43 @@ def unit_of(size: int, across: int, high: int) -> Column:
     return F.struct(*(F.lit(v).alias(c) for c, v in zip(GEOMETRY, (size, across, high, 0, 0), strict=True))).alias(UNIT)
 
 
+def _groups(valid: np.ndarray, *keys: np.ndarray) -> Iterator[tuple[list[int], np.ndarray]]:
+    """The valid rows that agree in all keys: the keys and the rows' numbers, ascending."""
+    index = np.flatnonzero(valid)
+    if len(index):
+        found, of = np.unique(np.stack([k[index] for k in keys], axis=1), axis=0, return_inverse=True)
+        order = np.argsort(of.reshape(-1), kind="stable")
+        yield from zip(found.tolist(), np.split(index[order], np.cumsum(np.bincount(of.reshape(-1)))[:-1]), strict=True)
+
+
+def _ints(column: pa.Array) -> np.ndarray:
+    return pc.fill_null(column, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 @F.arrow_udf(returnType=ArrayType(LongType()))
 def numbers_of(data: pa.Array, size: pa.Array) -> pa.Array:
-    """Bytes as little-endian numbers of 1 to 8 bytes (of 8 bytes signed); null where they are not whole numbers."""
-    parts, lengths = [], []
-    for value, n in zip(data, size.to_pylist(), strict=True):
-        raw = value.as_buffer() if value.is_valid else None
-        if raw is None or not n or raw.size % n:
-            lengths.append(None)
-            continue
-        table = np.zeros((raw.size // n, 8), np.uint8)
-        table[:, :n] = np.frombuffer(raw, np.uint8).reshape(-1, n)
-        parts.append(table.view("<i8").reshape(-1))
-        lengths.append(len(table))
-    ends = np.concatenate([[0], np.cumsum([n or 0 for n in lengths])]).astype(np.int32)
-    values = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values), mask=pa.array([n is None for n in lengths]))
+    """Bytes as little-endian numbers of 1 to 8 bytes (of 8 bytes signed); null where they are not whole numbers.
+
+    Values of one length and size are read together."""
+    if not len(data):
+        return pa.array([], pa.list_(pa.int64()))
+    starts, raw = _binary(data)
+    lengths, sizes = np.diff(starts), _ints(size)
+    valid = pc.is_valid(data).to_numpy(zero_copy_only=False) & (sizes > 0)
+    valid[valid] = lengths[valid] % sizes[valid] == 0
+    counts = np.zeros(len(data), np.int64)
+    counts[valid] = lengths[valid] // sizes[valid]
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    values = np.zeros(ends[-1], np.int64)
+    for (length, n), rows in _groups(valid & (lengths > 0), lengths, sizes):
+        each = length // n
+        step = max(1, UNITS // each)
+        for at in range(0, len(rows), step):
+            part = rows[at : at + step]
+            table = np.zeros((len(part) * each, 8), np.uint8)
+            table[:, :n] = _bytes_of(starts[part], raw, length).reshape(-1, n)
+            values[ends[part][:, None] + np.arange(each)] = table.view("<i8").reshape(len(part), each)
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values), mask=pa.array(~valid))
 
 
 def with_bytes(frame: DataFrame, numbers: str, size: str, name: str) -> DataFrame:
@@ -121,10 +142,22 @@ def with_bytes(frame: DataFrame, numbers: str, size: str, name: str) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for value, n in zip(batch.column(numbers), batch.column(size).to_pylist(), strict=True):
-                table = value.values.to_numpy(zero_copy_only=False).astype("<i8") if value.is_valid else None
-                out.append(None if table is None else table.view(np.uint8).reshape(-1, 8)[:, :n].tobytes())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(out, pa.binary())], [*own, name])
+            lists, sizes = batch.column(numbers), _ints(batch.column(size))
+            valid = pc.is_valid(lists).to_numpy(zero_copy_only=False)
+            counts = np.where(valid, pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), 0).astype(np.int64)
+            given = lists.flatten().to_numpy(zero_copy_only=False).astype("<i8")  # of the valid lists only
+            starts, ends = np.cumsum(counts) - counts, np.concatenate([[0], np.cumsum(counts * sizes)])
+            out = np.zeros(ends[-1], np.uint8)
+            for (count, n), rows in _groups(valid & (counts * sizes > 0), counts, sizes):
+                step = max(1, UNITS // count)
+                for at in range(0, len(rows), step):
+                    part = rows[at : at + step]
+                    low = given[starts[part][:, None] + np.arange(count)].view(np.uint8).reshape(len(part), count, 8)[:, :, :n]
+                    out[ends[part][:, None] + np.arange(count * n)] = low.reshape(len(part), count * n)
+            if ends[-1] < 1 << 31:
+                made = pa.Array.from_buffers(pa.binary(), len(lists), [pa.array(valid).buffers()[1], pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(out)])
+            else:
+                made = pa.array([out[ends[i] : ends[i + 1]].tobytes() if valid[i] else None for i in range(len(lists))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), made], [*own, name])
 
     return frame.mapInArrow(run, StructType([*(frame.schema[c] for c in own), StructField(name, BinaryType())]))
