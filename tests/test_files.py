@@ -225,3 +225,35 @@ def test_a_task_sends_no_list_of_its_files(tmp_path):
         found = sorted(os.path.relpath(os.path.join(at, f), path) for at, _, some in os.walk(path) for f in some)
         assert found == names
     assert sent[0] == pytest.approx(sent[1], abs=8)
+
+
+@pytest.mark.parametrize("set_before", [None, "123456789"])
+def test_sink_takes_small_batches(spark, tmp_path, monkeypatch, set_before):
+    """The sink's batches are bounded by bytes: 1,000 pieces of 50,000 bytes do not come at once."""
+
+    class Bounded(files.PieceWriter):
+        def write(self, batches):
+            def small():
+                for batch in batches:
+                    assert batch.nbytes < 5 << 20, f"a batch of {batch.nbytes} bytes"
+                    yield batch
+
+            return super().write(small())
+
+    class Source(files.TextureSource):
+        def writer(self, schema, overwrite):
+            return Bounded(self.options, overwrite)
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    monkeypatch.setattr(files, "register", lambda session: session.dataSource.register(Source))
+    spark.conf.unset(key) if set_before is None else spark.conf.set(key, set_before)
+    try:
+        size = F.lit(50_000).cast("long")
+        pieces = spark.range(0, 1000, 1, 1).select(F.concat(F.lit("f"), F.floor(F.col("id") / 500)).alias("file"), (size * 500).alias("file_size"), (F.col("id") % 500 * size).alias("start"), F.expr("cast(repeat('x', 50000) as binary)").alias("data"))
+        files.write(pieces, str(tmp_path / "out"))
+        assert [p.stat().st_size for p in sorted((tmp_path / "out").iterdir())] == [25_000_000] * 2
+        assert spark.conf.get(key, None) == set_before
+    finally:
+        spark.conf.unset(key)
+        monkeypatch.undo()
+        files.register(spark)

@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from texloom.functions.local import local_table
+
 # The codes of the public DXGI_FORMAT enumeration.
 DXGI_TEXT = """
 0 UNKNOWN
@@ -353,7 +355,7 @@ def format_rows() -> list[tuple]:
 
 
 def formats(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(format_rows(), FORMAT_SCHEMA)
+    return local_table(spark, format_rows(), FORMAT_SCHEMA)
 
 
 def dxgi_rows() -> list[tuple]:
@@ -365,7 +367,7 @@ def dxgi_rows() -> list[tuple]:
 
 
 def dxgi(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(dxgi_rows(), "dxgi int, name string, format string, is_srgb boolean, linear int, srgb int, kind string, bytes int, block_w int, block_h int, plane1 int, plane2 int, sub_x int, sub_y int")
+    return local_table(spark, dxgi_rows(), "dxgi int, name string, format string, is_srgb boolean, linear int, srgb int, kind string, bytes int, block_w int, block_h int, plane1 int, plane2 int, sub_x int, sub_y int")
 
 
 def fourcc_rows() -> list[tuple]:
@@ -373,7 +375,7 @@ def fourcc_rows() -> list[tuple]:
 
 
 def fourccs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(fourcc_rows(), "four_cc long, dxgi int, format string")
+    return local_table(spark, fourcc_rows(), "four_cc long, dxgi int, format string")
 
 
 def mask_rows() -> list[tuple]:
@@ -381,4 +383,4 @@ def mask_rows() -> list[tuple]:
 
 
 def masks(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(mask_rows(), "pattern_no int, pf_flags long, bits long, r_mask long, g_mask long, b_mask long, a_mask long, dxgi int, format string")
+    return local_table(spark, mask_rows(), "pattern_no int, pf_flags long, bits long, r_mask long, g_mask long, b_mask long, a_mask long, dxgi int, format string")

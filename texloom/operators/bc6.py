@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from texloom.functions import bc_tables
+from texloom.functions.local import local_table
 from texloom.operators.bc7 import _bits, _shift, _subsets, _table, _weight
 
 NUMBERS = [c + e for e in "wxyz" for c in "rgb"]
@@ -37,7 +38,7 @@ def modes_table(spark: SparkSession) -> DataFrame:
     rows = []
     for mode, base, deltas, moved, places in map(mode_places, bc_tables.BC6_MODES):
         rows.append((mode, base, list(deltas), moved, 1 if mode in (3, 7, 11, 15) else 2, [places[n] for n in NUMBERS]))
-    return spark.createDataFrame(rows, "_mode long, _base int, _deltas array<int>, _moved boolean, _subsets int, _places array<array<int>>")
+    return local_table(spark, rows, "_mode long, _base int, _deltas array<int>, _moved boolean, _subsets int, _places array<array<int>>")
 
 
 def _extended(v: Column, n: Column) -> Column:

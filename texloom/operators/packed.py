@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from texloom.functions.formats import FORMATS, pixel_info
+from texloom.functions.local import local_table
 from texloom.functions.units import GEOMETRY, UNIT, strip_units
 
 TOP = {"u8": 255, "u16": 65535, "f32": 0x3F800000}
@@ -100,8 +101,8 @@ def fields_table(spark: SparkSession) -> DataFrame:
         across, dropped, fields = format_fields(name)
         kind, size, _, _, plane1, plane2, *_ = pixel_info(name)
         planes = (plane1, plane2) if kind == "biplanar" else (0, 0)
-        rows.append((name, size or plane1, across, 1, *planes, dropped, NATIVE[name][1], *((f.at, f.bits, f.way, f.value) for f in fields)))
-    return spark.createDataFrame(rows, SCHEMA)
+        rows.append((name, size or plane1, across, 1, *planes, dropped, NATIVE[name][1], *({"at": f.at, "bits": f.bits, "way": f.way, "value": f.value} for f in fields)))
+    return local_table(spark, rows, SCHEMA)
 
 
 def _shift(x: Column, n: Column) -> Column:

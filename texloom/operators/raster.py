@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from texloom.functions import bc_tables
 from texloom.functions import scalar as S
+from texloom.functions.local import local_table
 
 # Channels of packed formats from the lowest bit up: (channel, bits).
 PACKED = {
@@ -176,7 +177,7 @@ CUBE_CELLS = [("+X", 2, 1), ("-X", 0, 1), ("+Y", 1, 0), ("-Y", 1, 2), ("+Z", 1,
 
 def cube_canvas(pixels: DataFrame, width: int, height: int) -> DataFrame:
     """Pixels of faces moved to their cells; faces that are missing leave their cells empty."""
-    cells = pixels.sparkSession.createDataFrame(CUBE_CELLS, "face string, gx long, gy long")
+    cells = local_table(pixels.sparkSession, CUBE_CELLS, "face string, gx long, gy long")
     return pixels.join(F.broadcast(cells), "face").withColumns({"x": F.col("x") + F.col("gx") * width, "y": F.col("y") + F.col("gy") * height}).drop("gx", "gy")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from texloom.functions import bc_tables
 from texloom.functions import formats as dims
+from texloom.functions.local import local_table
 from texloom.operators import cells
 from texloom.plans import fixtures as X
 from texloom.plans.texture_queries import query
@@ -61,7 +62,7 @@ count(DISTINCT key) = 12 AS is_all FROM od JOIN fc USING (format_no) GROUP BY sh
 )
 def q_colour_sets(spark, sf_dir):
     """Union, intersection, size and membership of the native colour kinds of the files of each shape and depth."""
-    table = spark.createDataFrame([(i, r[1], r[2]) for i, r in enumerate(dims.format_rows())], "format_no long, channels string, precision string")
+    table = local_table(spark, [(i, r[1], r[2]) for i, r in enumerate(dims.format_rows())], "format_no long, channels string, precision string")
     found = X.orders(spark, sf_dir).join(F.broadcast(table), "format_no").withColumn("kind", cells.colour_bit(F.col("channels"), F.col("precision")))
     sets = found.groupBy("shape", "depth").agg(F.bit_or("kind").alias("seen"), F.bit_and("kind").alias("common"))
     floats = sum(1 << (3 * c + 2) for c in range(4))

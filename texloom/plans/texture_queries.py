@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from texloom.functions import bc_tables
 from texloom.functions import formats as dims
 from texloom.functions import scalar as S
+from texloom.functions.local import local_table
 from texloom.operators import blocks as B
 from texloom.operators import decode, layout, packed, raster
 from texloom.plans import fixtures as X
@@ -542,7 +543,7 @@ _BYTES = "CASE kind WHEN 'fixed' THEN {w} * {h} * bytes WHEN 'block' THEN (({w}
 
 def _with_info(spark, sf_dir):
     rows = [(i, r[0], *r[12:20], r[6]) for i, r in enumerate(dims.format_rows())]
-    fm = spark.createDataFrame(rows, "format_no long, format string, kind string, bytes int, block_w int, block_h int, plane1 int, plane2 int, sub_x int, sub_y int, dxgi int")
+    fm = local_table(spark, rows, "format_no long, format string, kind string, bytes int, block_w int, block_h int, plane1 int, plane2 int, sub_x int, sub_y int, dxgi int")
     return X.orders(spark, sf_dir).join(F.broadcast(fm), "format_no")
 
 
@@ -703,7 +704,7 @@ _LEGACY_SQL = "lg AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {'NULL' if d i
 
 def _legacy_files(spark, sf_dir):
     """Legacy headers of every FourCC and mask: plain, whole cubes, cubes without a face, and volumes."""
-    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(_LEGACY)], "no long, four_cc long, pf_flags long, bits long, r_mask long, g_mask long, b_mask long, a_mask long")
+    rows = local_table(spark, [(i, *r) for i, r in enumerate(_LEGACY)], "no long, four_cc long, pf_flags long, bits long, r_mask long, g_mask long, b_mask long, a_mask long")
     od = X.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file_id"), (F.col("o_orderkey") % len(_LEGACY)).alias("no"), (F.col("o_custkey") % 4).alias("shape")).join(F.broadcast(rows), "no")
     caps2 = F.when(F.col("shape") == 1, container.C2_CUBE | container.C2_FACES).when(F.col("shape") == 2, container.C2_CUBE | 0x400).when(F.col("shape") == 3, container.C2_VOLUME).otherwise(0)
     values = {"size": F.lit(124), "flags": F.when(F.col("shape") == 3, 0x801007).otherwise(0x1007), "height": F.lit(64), "width": F.lit(64), "depth": F.lit(8), "pf_size": F.lit(32), "caps": F.lit(0x1000), "caps2": caps2} | {c: F.col(c) for c in ("four_cc", "pf_flags", "bits", "r_mask", "g_mask", "b_mask", "a_mask")}

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from texloom.functions import formats as dims
+from texloom.functions.local import local_table
 from texloom.operators import layout
 
 MAGIC = 0x20534444  # "DDS " as a little-endian word
@@ -223,7 +224,7 @@ def to_dx9(headers: DataFrame) -> DataFrame:
     for code, name in dims.FOURCC_DXGI:  # the last code of a format is the one written
         if code not in ("ATI1", "ATI2"):
             back[dims.DXGI_CODE[name]] = dims.fourcc_number(code)
-    cc = spark.createDataFrame(list(back.items()), "dxgi int, out_four_cc long")
+    cc = local_table(spark, list(back.items()), "dxgi int, out_four_cc long")
     pattern = dims.masks(spark).filter("dxgi is not null").groupBy("dxgi").agg(F.min_by(F.struct("pf_flags", "bits", "r_mask", "g_mask", "b_mask", "a_mask"), "pattern_no").alias("mask"))
     plain = dims.dxgi(spark).select("dxgi", F.col("linear").alias("lin"))
     keys = headers.join(F.broadcast(plain), "dxgi", "left").drop("dxgi").withColumnRenamed("lin", "dxgi")

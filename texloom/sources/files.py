@@ -31,6 +31,8 @@ from texloom.sources import container
 HEAD_BYTES = 148
 #: Files of one read task, and bytes that one read takes at most.
 FILES_PER_TASK, READ_BYTES = 1000, 16 << 20
+#: Bytes of the batches that the sink takes; a longer piece comes alone.
+BATCH_BYTES, _BATCH_BYTES = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 class TextureFileError(ValueError):
@@ -308,7 +310,15 @@ def checked(headers: DataFrame, data: DataFrame) -> DataFrame:
 
 
 def write(pieces: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Write `pieces` (file, file_size, start, data) as files under `path`: a file's pieces meet in one task, in order."""
-    register(pieces.sparkSession)
+    """Write `pieces` (file, file_size, start, data) as files under `path`: a file's pieces meet in one task, in order.
+
+    Batches are bounded by bytes meanwhile: Spark's 10,000 rows are held whole on both sides, however long the pieces are."""
+    spark = pieces.sparkSession
+    register(spark)
     dealt = pieces.select("file", "file_size", "start", "data").repartition("file").sortWithinPartitions("file", "start")
-    dealt.write.format("texture").option("path", path).mode("overwrite" if overwrite else "append").save()
+    before = spark.conf.get(_BATCH_BYTES, None)
+    spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
+    try:
+        dealt.write.format("texture").option("path", path).mode("overwrite" if overwrite else "append").save()
+    finally:
+        spark.conf.unset(_BATCH_BYTES) if before is None else spark.conf.set(_BATCH_BYTES, before)
