@@ -35,6 +35,8 @@ from .common import distinct, prefix_sums, released, slices, window_hashes
 from .pretoken import pieces
 
 FOLD_BYTES, DICTIONARY_WORDS, MOST_RANKS = 64, 150_000, 0xD800
+#: Bytes of text that one batch numbers: its temporary arrays take some fifty times as much.
+SLICE_BYTES = 1 << 17
 
 
 @lru_cache(maxsize=4)
@@ -135,7 +137,7 @@ def _number(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
     byte = {i: chr(ranks[bytes([i])]) for i in range(256)}
     known: defaultdict[str, int] = defaultdict()
     known.default_factory = known.__len__
-    for part in slices(batches):
+    for part in slices(batches, limit=SLICE_BYTES):
         split = [pieces(t) if t else [] for t in part.column("text").to_pylist()]
         every = list(chain.from_iterable(split))
         fresh = len(known) > DICTIONARY_WORDS
@@ -166,45 +168,66 @@ def coded_words(docs: DataFrame, path: str) -> DataFrame:
     return numbered_words(docs, path).select("doc_id", "words", "fresh", coded, "long")
 
 
-def _assembled(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[int | None, list[int] | None, list[list[int]] | None]]:
-    """Step 3: (doc_id, word numbers, None) of a document, (None, None, ids of new words), or three None where numbering starts anew."""
-    ranks = ranks_of(path)
+def _assembled(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[int | None, np.ndarray | None, list[str] | None]]:
+    """Step 3: (doc_id, word numbers, None) of a document, (None, None, tokens of new words), or three None where numbering starts anew."""
     for batch in batches:
         ids, words = batch.column("doc_id").to_pylist(), batch.column("words")
         fresh, tokens, long = (batch.column(c) for c in ("fresh", "tokens", "long"))
         for i in range(batch.num_rows):
             if words[i].is_valid:
-                yield ids[i], words[i].values.to_numpy().tolist(), None
+                yield ids[i], words[i].values.to_numpy(), None
             else:
                 if fresh[i].as_py():
                     yield None, None, None
                 rest = iter(long[i].as_py())
-                yield None, None, [list(map(ord, t)) if t else heap_merges(next(rest), ranks) for t in tokens[i].as_py()]
+                yield None, None, [t or "".join(map(chr, heap_merges(next(rest), ranks_of(path)))) for t in tokens[i].as_py()]
+
+
+class Dictionary:
+    """The ids of the words known so far, end to end in one array: a tenth of what a list for each word takes."""
+
+    def __init__(self) -> None:
+        self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def add(self, words: list[str]) -> None:
+        """Words as characters of their tokens."""
+        self.ids = np.concatenate([self.ids, np.frombuffer("".join(words).encode("utf-32-le"), np.int32)])
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+
+    def text(self, words: np.ndarray) -> np.ndarray:
+        """The ids of a text, given as numbers of its words."""
+        sizes = self.ends[words + 1] - self.ends[words]
+        return self.ids[np.repeat(self.ends[words] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens and ids (array of int) of each row."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
-    def batch(rows: list[tuple[int | None, list[int]]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([len(r[1]) for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], schema=schema)
+    def batch(rows: list[tuple[int | None, np.ndarray]]) -> pa.RecordBatch:
+        sizes = np.array([len(r[1]) for r in rows], np.int64)
+        offsets = np.zeros(len(rows) + 1, np.int32)
+        np.cumsum(sizes, out=offsets[1:])
+        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([r[1] for r in rows])))
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(sizes), ids], schema=schema)
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: list[list[int]] = []
-        rows: list[tuple[int | None, list[int]]] = []
+        known = Dictionary()
+        rows: list[tuple[int | None, np.ndarray]] = []
         size = 0
         for doc_id, words, new in _assembled(batches, path):
             if words is not None:
-                rows.append((doc_id, [x for w in words for x in known[w]]))
+                rows.append((doc_id, known.text(words)))
                 size += len(rows[-1][1])
                 if size > 500_000:
                     yield batch(rows)
                     rows, size = [], 0
             elif new is None:
-                known = []
+                known = Dictionary()
             else:
-                known += new
+                known.add(new)
         if rows:
             yield batch(rows)
 
@@ -240,6 +263,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         rows: list[tuple] = []
         for doc_id, words, new in _assembled(batches, path):
             if words is not None:
+                words = words.tolist()
                 ids = sha256(b" ".join(map(written.__getitem__, words))).hexdigest()
                 data = sha256(b"".join(map(decoded.__getitem__, words))).hexdigest()
                 rows.append((doc_id, sum(map(lengths.__getitem__, words)), ids, data))
@@ -249,8 +273,8 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             elif new is None:
                 written, decoded, lengths = [], [], []
             else:
-                written += [b" ".join(map(digits.__getitem__, ids)) for ids in new]
-                decoded += [b"".join(map(piece.__getitem__, ids)) for ids in new]
+                written += [b" ".join(map(digits.__getitem__, map(ord, word))) for word in new]
+                decoded += [b"".join(map(piece.__getitem__, map(ord, word))) for word in new]
                 lengths += map(len, new)
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from texloom.functions.local import local_table
+
 from .common import distinct, drop_written, released, slices, written
 from .lookup import BROADCAST_ENTRIES, Asked, Entries, Model, Tally
 
@@ -300,7 +302,7 @@ def learn(train: DataFrame, bound: int = BROADCAST_ENTRIES) -> tuple[Models, Mod
     found, names, unseen, uniform, made = entries(counts)
     langs = sorted(x[2:] for x in names if x[0] == "0")
     # FOLDS + 1 rows for each language
-    numbers = F.broadcast(train.sparkSession.createDataFrame([(int(x[0]), langs.index(x[2:]), x) for x in names], "model int, col int, lang string"))
+    numbers = F.broadcast(local_table(train.sparkSession, [(int(x[0]), langs.index(x[2:]), x) for x in names], "model int, col int, lang string"))
     table = found.join(numbers, "lang").select("model", (F.col("kind") + F.col("model") * KINDS).alias("kind"), "gram", "col", "value")
     own, others = (written(table.filter(which).drop("model")) for which in ("model = 0", "model > 0"))
     drop_written(counts, *made)

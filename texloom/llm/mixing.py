@@ -21,6 +21,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from texloom.functions.local import local_table
+
 from .common import drop_written, written
 
 DIMENSIONS = ("source", "lang", "topic")
@@ -41,7 +43,7 @@ def goals(cells: DataFrame, targets: dict[str, dict[str, float]], powers: dict[s
     for d in DIMENSIONS:
         found = cells.groupBy(F.col(d).alias("category")).agg(F.sum("tokens").alias("n")).filter("n > 0")
         if d in targets:
-            wanted = cells.sparkSession.createDataFrame([(k or "", float(v)) for k, v in targets[d].items()], "category string, weight double")
+            wanted = local_table(cells.sparkSession, [(k or "", float(v)) for k, v in targets[d].items()], "category string, weight double")
             found = found.join(F.broadcast(wanted), "category", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
         else:
             found = found.withColumn("weight", F.pow("n", F.lit(powers[d])))
@@ -86,7 +88,7 @@ def fitted(cells: DataFrame, targets: dict[str, dict[str, float]], powers: dict[
             at.append(np.array([names[r[d]] for r in rows]))
             shares.append(np.array([share[c] for c in sorted(share)]))
         p = raked(at, np.array([r["tokens"] for r in rows], float), shares, budget)
-        out = spark.createDataFrame([(r["source"], r["lang"], r["topic"], float(x)) for r, x in zip(rows, p, strict=True)], "source string, lang string, topic string, p double")
+        out = local_table(spark, [(r["source"], r["lang"], r["topic"], float(x)) for r, x in zip(rows, p, strict=True)], "source string, lang string, topic string, p double")
     else:
         out, last = used.withColumn("p", F.lit(min(1.0, budget / total))), []
         kept = {d: written(g) for d, g in goal.items()}
