@@ -257,3 +257,55 @@ def test_sink_takes_small_batches(spark, tmp_path, monkeypatch, set_before):
         spark.conf.unset(key)
         monkeypatch.undo()
         files.register(spark)
+
+
+def plain_names(path, suffix=""):
+    """All files under a folder, none that is hidden or in a hidden folder."""
+    found = [os.path.join(at, f) for at, _, some in os.walk(path) for f in some]
+    return sorted(f for f in found if f.endswith(suffix) and not any(part[0] in "._" for part in os.path.relpath(f, path).split(os.sep)))
+
+
+TREES = {
+    "flat": [f"{i}.dds" for i in range(30)],
+    "one below the other": ["a/b/x.dds", "a/b/c/y.dds", "a/b/c/z.txt", "a/v.dds"],
+    "some": ["r.dds", *(f"d{i % 3}/{i}.dds" for i in range(40)), "d1/deep/er/s.dds", "d1/.t/u.dds", "_v/w.dds", "d2/_x.dds"],
+    "one, hidden beside": ["d/1.dds", "d/2.dds", "_e/3.dds", ".f"],
+    "none": [],
+}
+
+
+@pytest.mark.parametrize("tree", TREES)
+@pytest.mark.parametrize("suffix", ["", ".dds"])
+def test_all_files_are_listed(spark, tmp_path, tree, suffix):
+    """Each file once, from folders of any form, by `opened`'s listing in tasks and by the source."""
+    for name in TREES[tree]:
+        put(tmp_path, name, name.encode() * 20)
+    want = [(f, os.path.getsize(f), open(f, "rb").read(files.HEAD_BYTES)) for f in plain_names(tmp_path, suffix)]
+    files.register(spark)
+    source = spark.read.format("texture").option("path", str(tmp_path)).option("suffix", suffix).option("filesPerTask", 7).load()
+    assert [r.path for r in files.heads(spark, str(tmp_path), suffix).collect()] == [w[0] for w in want]
+    for found in (files.heads(spark, f"file://{tmp_path}/", suffix), source):
+        assert sorted((r.path, r.length, bytes(r.head)) for r in found.collect()) == want
+
+
+def test_no_list_of_files_reaches_the_driver(spark, tmp_path):
+    """What the source sends to plan a read does not grow with the files' names, and `opened` plans none."""
+    import pickle
+
+    for i in range(3000):
+        put(tmp_path, f"d{i % 3}/{'n' * 100}{i}.dds", b"x")
+    shares = files.HeadReader({"path": str(tmp_path), "filespertask": "50"}).partitions()
+    assert sum(len(pickle.dumps(s)) for s in shares) < 10_000
+    assert len(shares) == files.READ_TASKS
+    assert "BatchScan" not in files.opened(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tables_of_surfaces_are_not_broadcast(spark, monkeypatch):
+    """Headers of many files are small as Parquet: whatever their size is taken for, no join gathers a row for each on the driver."""
+    from texloom.plans import file_queries
+
+    written = []
+    monkeypatch.setattr(files, "write", lambda pieces, path: written.append(pieces))
+    file_queries._stored(spark, "/root/testdata/sf0.001")
+    joins = [line for line in written[0]._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line]
+    assert len(joins) == 3 and not [line for line in joins if "Broadcast" in line]

@@ -50,7 +50,7 @@ def _stored(spark: SparkSession, sf_dir: str) -> str:
     _headers(images).write.parquet(f"{path}-headers")  # used three times below
     headers = spark.read.parquet(f"{path}-headers")
     wanted = layout.surfaces(headers, ["file"]).select("file_id", "file", "array_index", "mip_level", "depth_slice", "len")
-    data = wanted.join(images, "file_id").select("file", "array_index", "mip_level", "depth_slice", F.substring(F.col("padded"), F.lit(1), F.col("len").cast("int")).alias("data"))
+    data = wanted.hint("merge").join(images, "file_id").select("file", "array_index", "mip_level", "depth_slice", F.substring(F.col("padded"), F.lit(1), F.col("len").cast("int")).alias("data"))
     files.write(files.checked(headers, data), path)
     return path
 

@@ -1,7 +1,8 @@
 """Texture files as a Spark data source and sink, and reads of byte ranges.
 
-`spark.read.format("texture")` gives a row a file with the first bytes of each, so that opening a directory reads 148 bytes
-a file whatever its size. Headers, formats and layouts are Column expressions over that; the surfaces, strips or regions
+`opened` takes the first bytes of each file, so that opening a directory reads 148 bytes a file whatever its size; the
+folders are listed by tasks, and no list of files comes to the driver. `spark.read.format("texture")` gives the same rows
+(path, length, head) to SQL and options. Headers, formats and layouts are Column expressions over that; the surfaces, strips or regions
 asked for become rows (path, start, length), filters drop those that are not wanted, and `with_bytes` reads what is left.
 
 `write` sends pieces (file, start, data) to the sink: a file's pieces come sorted to one task, which appends them one by one
@@ -13,8 +14,11 @@ Paths are opened through pyarrow's file systems, so a folder may lie in any stor
 from __future__ import annotations
 
 import io
+import itertools
 import json
+import os
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,8 +33,10 @@ from texloom.operators import layout
 from texloom.sources import container
 
 HEAD_BYTES = 148
-#: Files of one read task, and bytes that one read takes at most.
-FILES_PER_TASK, READ_BYTES = 1000, 16 << 20
+#: Files of one read task of the source while it has fewer than that many tasks, and bytes that one read takes at most.
+FILES_PER_TASK, READ_TASKS, READ_BYTES = 1000, 32, 4 << 20
+#: Tasks that list folders, and rows of the batches in which paths and heads are passed on.
+LISTING_TASKS, BATCH_ROWS = 32, 10_000
 #: Bytes of the batches that the sink takes; a longer piece comes alone.
 BATCH_BYTES, _BATCH_BYTES = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -46,36 +52,126 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
 # -- source ------------------------------------------------------------------------------------------------------------
 
 
+def _all_entries(store: fs.FileSystem, folder: str) -> Iterator[tuple[str, fs.FileType]]:
+    """Path and type of what stands in a folder, one by one.
+
+    Only local folders (mounted ones too) are read piecemeal; other stores give a folder's names at once."""
+    if isinstance(store, fs.LocalFileSystem):
+        with os.scandir(folder) as found:
+            for entry in found:
+                yield entry.path, fs.FileType.Directory if entry.is_dir() else fs.FileType.File if entry.is_file() else fs.FileType.Unknown
+    else:
+        for info in store.get_file_info(fs.FileSelector(folder)):
+            yield info.path, info.type
+
+
+def _entries(store: fs.FileSystem, folder: str) -> Iterator[tuple[str, bool]]:
+    """Path of each file and folder in a folder, and whether it is a folder; names that begin with a dot or a line are hidden."""
+    for path, kind in _all_entries(store, folder):
+        if path.rsplit("/", 1)[-1][:1] not in ("", ".", "_") and kind in (fs.FileType.Directory, fs.FileType.File):
+            yield path, kind == fs.FileType.Directory
+
+
+def _below(store: fs.FileSystem, folder: str) -> Iterator[str]:
+    """The files in a folder and in those below it: what is held grows with the depth alone."""
+    for path, is_folder in _entries(store, folder):
+        if is_folder:
+            yield from _below(store, path)
+        else:
+            yield path
+
+
+def _top(store: fs.FileSystem, path: str) -> Iterator[tuple[str, bool]]:
+    """Files and folders of the first folder that holds more than one folder, and the files above it."""
+    only = path
+    while only is not None:
+        folder, only, many = only, None, False
+        for name, is_folder in _entries(store, folder):
+            if is_folder and not many and only is None:
+                only = name
+                continue
+            if is_folder and only is not None:
+                yield only, True
+                only, many = None, True
+            yield name, is_folder
+
+
+def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    while part := list(itertools.islice(rows, BATCH_ROWS)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), schema, strict=True)], schema=schema)
+
+
+def _heads(store: fs.FileSystem, paths: Iterator[str]) -> Iterator[tuple[str, int, bytes]]:
+    for path in paths:
+        with store.open_input_file(path) as file:
+            yield path, file.size(), file.read(HEAD_BYTES)
+
+
+_PATHS = pa.schema([("path", pa.string()), ("folder", pa.bool_())])
+_HEADS = pa.schema([("path", pa.string()), ("length", pa.int64()), ("head", pa.binary())])
+
+
+def heads(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
+    """path, length and head of the files under a folder, or of one file, in the order of their paths.
+
+    One task lists the top, some the folders below, then the files are dealt to all by ranges of paths. The plan holds `path`
+    alone, the driver a sample of paths that is bounded by the number of tasks."""
+
+    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            store, root = _open(path)
+            alone = store.get_file_info(root).type == fs.FileType.File
+            yield from _batches(iter([(root, False)]) if alone else (x for x in _top(store, root) if x[1] or x[0].endswith(suffix)), _PATHS)
+
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = _open(path)
+        for batch in batches:
+            for name, is_folder in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = (x for x in _below(store, name) if x.endswith(suffix)) if is_folder else iter([name])
+                yield from _batches(((x, False) for x in found), _PATHS)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = _open(path)
+        for batch in batches:
+            yield from _batches(_heads(store, iter(batch.column("path").to_pylist())), _HEADS)
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    first = spark.range(0, 1, 1, 1).mapInArrow(top, "path string, folder boolean")
+    listed = first.repartition(min(tasks, LISTING_TASKS)).mapInArrow(below, "path string, folder boolean")
+    dealt = listed.select("path").repartitionByRange(tasks, "path").sortWithinPartitions("path")
+    return dealt.mapInArrow(read, "path string, length long, head binary")
+
+
 @dataclass
-class Files(InputPartition):
-    names: list[str]
-    lengths: list[int]
+class Share(InputPartition):
+    """The files whose paths have this remainder: no names, so that the plan does not grow with the files."""
+
+    at: int
+    of: int
 
 
 class HeadReader(DataSourceReader):
-    """path, length and head of the files under a folder, or of one file; names that begin with a dot or a line are hidden."""
+    """path, length and head of the files under a folder, or of one file, in any order. Each task lists the folder and takes its share."""
 
     def __init__(self, options: dict[str, str]):
         self.path, self.suffix = options["path"], options.get("suffix", "")
         self.per_task = int(options.get("filespertask", FILES_PER_TASK))
 
-    def partitions(self) -> list[Files]:
+    def _paths(self) -> Iterator[str]:
         store, path = _open(self.path)
         if store.get_file_info(path).type == fs.FileType.File:
-            found = [store.get_file_info(path)]
-        else:
-            found = [i for i in store.get_file_info(fs.FileSelector(path, recursive=True)) if i.type == fs.FileType.File]
-            found = [i for i in found if not any(part[:1] in "._" for part in i.path[len(path) :].strip("/").split("/")) and i.path.endswith(self.suffix)]
-        found.sort(key=lambda i: i.path)
-        return [Files([i.path for i in part], [i.size for i in part]) for at in range(0, len(found), self.per_task) if (part := found[at : at + self.per_task])]
+            return iter([path])
+        return (x for x in _below(store, path) if x.endswith(self.suffix))
+
+    def partitions(self) -> list[Share]:
+        counted = sum(1 for _ in itertools.islice(self._paths(), self.per_task * READ_TASKS))
+        tasks = max(1, -(-counted // self.per_task))
+        return [Share(at, tasks) for at in range(tasks)]
 
-    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
         store, _ = _open(self.path)
-        heads = []
-        for name in partition.names:
-            with store.open_input_stream(name, buffer_size=None) as stream:
-                heads.append(stream.read(HEAD_BYTES))
-        yield pa.RecordBatch.from_arrays([pa.array(partition.names), pa.array(partition.lengths, pa.int64()), pa.array(heads, pa.binary())], ["path", "length", "head"])
+        own = (x for x in self._paths() if zlib.crc32(x.encode()) % partition.of == partition.at)
+        yield from _batches(_heads(store, own), _HEADS)
 
 
 class TextureSource(DataSource):
@@ -104,9 +200,7 @@ def opened(spark: SparkSession, path: str, options: container.ParseOptions = con
 
     Permissive options also repair headers by the file's length. `format` overrides what a header says, as for formats that
     no header can name. Bad files are rows with an error or a layout_error."""
-    register(spark)
-    files = spark.read.format("texture").option("path", path).option("suffix", suffix).load()
-    files = files.select(F.xxhash64("path").alias("file_id"), "path", "length", F.col("head").alias("content"))
+    files = heads(spark, path, suffix).select(F.xxhash64("path").alias("file_id"), "path", "length", F.col("head").alias("content"))
     headers = container.with_format(container.parse(container.raw_words(files, options), options))
     if format is not None:
         info = layout_info(spark, format)
@@ -229,9 +323,10 @@ class PieceWriter(DataSourceArrowWriter):
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         store, root = _open(self.path)
         _, hidden = _open(self.hidden)
-        store.create_dir(hidden, recursive=True)
-        name, out, size, at = None, None, 0, 0
-        noted = f"{hidden}/{uuid.uuid4().hex}.moves"
+        own = f"{hidden}/{uuid.uuid4().hex}"
+        store.create_dir(own, recursive=True)
+        name, out, size, at, count = None, None, 0, 0, itertools.count()
+        noted = f"{own}.moves"
         moves = store.open_output_stream(noted)
 
         def close() -> None:
@@ -247,7 +342,7 @@ class PieceWriter(DataSourceArrowWriter):
                     if file.as_py() != name:
                         close()
                         name, size, at = file.as_py(), total.as_py(), 0
-                        temporary = f"{hidden}/{uuid.uuid4().hex}"
+                        temporary = f"{own}/{next(count)}"
                         out = store.open_output_stream(temporary)
                         moves.write(json.dumps([temporary, f"{root}/{name}"]).encode() + b"\n")
                     piece = data.as_buffer()
@@ -270,16 +365,19 @@ class PieceWriter(DataSourceArrowWriter):
         """Move the files to their places: names only, no data, read one by one. What an overwritten folder held goes first."""
         store, root = _open(self.path)
         _, hidden = _open(self.hidden)
-        if self.overwrite:
-            for info in store.get_file_info(fs.FileSelector(root, allow_not_found=True)):
-                if info.path.rstrip("/") != hidden.rstrip("/"):
-                    store.delete_dir(info.path) if info.type == fs.FileType.Directory else store.delete_file(info.path)
+        if self.overwrite and store.get_file_info(root).type == fs.FileType.Directory:
+            for path, kind in _all_entries(store, root):
+                if path.rstrip("/") != hidden.rstrip("/"):
+                    store.delete_dir(path) if kind == fs.FileType.Directory else store.delete_file(path)
+        made = None
         for message in messages:
             if message:
                 with store.open_input_stream(message.moves) as stream:
                     for line in io.BufferedReader(stream):
                         source, target = json.loads(line)
-                        store.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                        if (folder := target.rsplit("/", 1)[0]) != made:
+                            store.create_dir(folder, recursive=True)
+                            made = folder
                         store.move(source, target)
         self._clear(store, hidden)
 
@@ -304,7 +402,8 @@ def checked(headers: DataFrame, data: DataFrame) -> DataFrame:
     own = sized.select("file_id", "file", "head", "n")
     first = words.select("file", (F.col("head") + F.col("n")).alias("file_size"), F.lit(0).cast("long").alias("start"), container.write_raw(words).alias("data"))
     wanted = layout.surfaces(headers).select("file_id", "array_index", "mip_level", "depth_slice", F.col("offset").cast("long").alias("offset"), F.col("len").cast("long").alias("len"))
-    given = data.join(own, "file").join(wanted, ["file_id", "array_index", "mip_level", "depth_slice"], "left")
+    # rows for each file and surface, few bytes of Parquet: by that size Spark would gather them on the driver to broadcast them
+    given = data.join(own.hint("merge"), "file").join(wanted.hint("merge"), ["file_id", "array_index", "mip_level", "depth_slice"], "left")
     start = F.col("head") + F.coalesce("offset", "n")
     return first.unionByName(given.select("file", (F.col("head") + F.col("n")).alias("file_size"), start.alias("start"), "data"))
 
