@@ -1,6 +1,7 @@
 """The file source and sink: bytes read back, options, bad files, incomplete writes, rectangles, strips."""
 
 import os
+import re
 import struct
 
 import pytest
@@ -308,4 +309,14 @@ def test_tables_of_surfaces_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(files, "write", lambda pieces, path: written.append(pieces))
     file_queries._stored(spark, "/root/testdata/sf0.001")
     joins = [line for line in written[0]._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line]
-    assert len(joins) == 3 and not [line for line in joins if "Broadcast" in line]
+    by_file = [line for line in joins if re.search(r"\bfile(_id)?#", line)]
+    assert by_file and not [line for line in by_file if "Broadcast" in line]
+    # the tables of formats alone are broadcast; the texts are joined once
+    assert len(by_file) == 1
+
+
+def test_a_surface_of_no_file_is_refused(spark, tmp_path):
+    headers = planned(spark, ["good.dds"])
+    with pytest.raises(Exception, match="TooManySurfaces: other.dds"):
+        files.write(pieces(spark, headers, ["good.dds", "other.dds"]), str(tmp_path / "out"))
+    assert left(tmp_path / "out") == []

@@ -33,13 +33,13 @@ def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("file_id", "rows", F.concat("text", blanks).cast("binary").alias("padded"))
 
 
-def _headers(images: DataFrame) -> DataFrame:
-    """Headers of grey 8-bit textures with two mip levels; every eleventh an array of two."""
+def _headers(images: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Headers of grey 8-bit textures with two mip levels; every eleventh an array of two. `keep` names columns that stay."""
     none, long = F.lit(None).cast("long"), lambda v: F.lit(v).cast("long")
     two = F.when(F.col("file_id") % 11 == 0, 2).otherwise(1).cast("long")
     rows = images.select(
         "file_id", F.concat(F.lit("d"), F.col("file_id") % 7, F.lit("/"), F.col("file_id"), F.lit(".dds")).alias("file"), F.lit("dx10").alias("version"), long(WIDTH).alias("width"), F.col("rows").alias("height"), none.alias("depth"), long(2).alias("mipmap_count"),
-        *(none.alias(c) for c in ("four_cc", "pf_flags", "bits", "r_mask", "g_mask", "b_mask", "a_mask", "caps2")), F.lit(61).alias("dxgi"), F.lit(3).alias("resource_dim"), long(0).alias("misc"), two.alias("array_size"), F.lit(0).alias("alpha_mode"),
+        *(none.alias(c) for c in ("four_cc", "pf_flags", "bits", "r_mask", "g_mask", "b_mask", "a_mask", "caps2")), F.lit(61).alias("dxgi"), F.lit(3).alias("resource_dim"), long(0).alias("misc"), two.alias("array_size"), F.lit(0).alias("alpha_mode"), *keep,
     )
     return layout.with_layout(container.with_format(rows))
 
@@ -47,10 +47,10 @@ def _headers(images: DataFrame) -> DataFrame:
 def _stored(spark: SparkSession, sf_dir: str) -> str:
     """Write a file for each document; the second mip level and the second element hold the first bytes again."""
     images, path = _images(spark, sf_dir), _folder(spark)
-    _headers(images).write.parquet(f"{path}-headers")  # used three times below
+    _headers(images).write.parquet(f"{path}-headers")  # used twice below
     headers = spark.read.parquet(f"{path}-headers")
-    wanted = layout.surfaces(headers, ["file"]).select("file_id", "file", "array_index", "mip_level", "depth_slice", "len")
-    data = wanted.hint("merge").join(images, "file_id").select("file", "array_index", "mip_level", "depth_slice", F.substring(F.col("padded"), F.lit(1), F.col("len").cast("int")).alias("data"))
+    # the texts stay in their rows: a text is shuffled to meet its places and to be written, no more
+    data = layout.surfaces(_headers(images, ("padded",)), ["file", "padded"]).select("file", "array_index", "mip_level", "depth_slice", F.substring(F.col("padded"), F.lit(1), F.col("len").cast("int")).alias("data"))
     files.write(files.checked(headers, data), path)
     return path
 

@@ -345,6 +345,8 @@ class PieceWriter(DataSourceArrowWriter):
                         temporary = f"{own}/{next(count)}"
                         out = store.open_output_stream(temporary)
                         moves.write(json.dumps([temporary, f"{root}/{name}"]).encode() + b"\n")
+                    if start.as_py() is None:
+                        raise TextureFileError(f"TooManySurfaces: {name} has a surface that its header does not want")
                     piece = data.as_buffer()
                     if start.as_py() > at:
                         raise TextureFileError(f"MissingSurfaces: {name} has nothing from byte {at} to {start.as_py()}")
@@ -395,17 +397,15 @@ def checked(headers: DataFrame, data: DataFrame) -> DataFrame:
     """file, file_size, start, data of the pieces of whole files: their headers, and `data` under the surfaces of its layout.
 
     `headers` comes from `layout.with_layout` and has a column file; `data` has file, array_index, mip_level, depth_slice and
-    data. A surface that is wanted and not there leaves a gap, one that is not wanted stands behind the end, and one of another
-    length does not fit: the sink then refuses the file."""
+    data. A surface that is wanted and not there leaves a gap, one that is not wanted (or whose file has no header) has no place,
+    and one of another length does not fit: the sink then refuses the file."""
     sized = headers.withColumns({"head": F.when(F.col("version") == "dx10", 148).otherwise(128).cast("long"), "n": F.col("data_len").cast("long")})
     words = container.to_words(sized, ["file", "head", "n"])
-    own = sized.select("file_id", "file", "head", "n")
     first = words.select("file", (F.col("head") + F.col("n")).alias("file_size"), F.lit(0).cast("long").alias("start"), container.write_raw(words).alias("data"))
-    wanted = layout.surfaces(headers).select("file_id", "array_index", "mip_level", "depth_slice", F.col("offset").cast("long").alias("offset"), F.col("len").cast("long").alias("len"))
-    # rows for each file and surface, few bytes of Parquet: by that size Spark would gather them on the driver to broadcast them
-    given = data.join(own.hint("merge"), "file").join(wanted.hint("merge"), ["file_id", "array_index", "mip_level", "depth_slice"], "left")
-    start = F.col("head") + F.coalesce("offset", "n")
-    return first.unionByName(given.select("file", (F.col("head") + F.col("n")).alias("file_size"), start.alias("start"), "data"))
+    places = layout.surfaces(sized, ["file", "head", "n"]).select("file", "array_index", "mip_level", "depth_slice", (F.col("head") + F.col("n")).alias("file_size"), (F.col("head") + F.col("offset").cast("long")).alias("start"))
+    # a row for each surface, few bytes of Parquet: by that size Spark would gather them on the driver to broadcast them
+    given = data.join(places.hint("merge"), ["file", "array_index", "mip_level", "depth_slice"], "left")
+    return first.unionByName(given.select("file", "file_size", "start", "data"))
 
 
 def write(pieces: DataFrame, path: str, overwrite: bool = False) -> None:
